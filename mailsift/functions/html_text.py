@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mailsift.functions.fixed_values import HTML_TAGS
 from mailsift.functions.patterns import AT_WORD_END, matches, trim_space, with_computed
@@ -135,7 +136,7 @@ def joined_pieces(pieces: Column) -> Column:
     return F.array_join(F.filter(cleaned, lambda p: p != ""), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _parsed_text(markup: pd.Series) -> pd.Series:
     return markup.map(lambda m: None if m is None else html_to_text(m))
 

@@ -119,10 +119,10 @@ def top_contributions(table: DataFrame, names: DataFrame, top: int = TOP_EXPLANA
 
 def explanation_maps(top: DataFrame) -> DataFrame:
     """(row_id, explanation): model -> its top contributions in order; at most ten entries each."""
-    entry = F.struct("rank", "feature", F.col("contribution").alias("shap_value"), "direction")
+    entry = F.struct("rank", "feature", "contribution", "direction")
     per_model = top.groupBy("row_id", "model").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     shown = F.transform("entries", lambda e: F.struct(
-        e.feature.alias("feature"), e.shap_value.alias("shap_value"), e.direction.alias("direction")))
+        e.feature.alias("feature"), e.contribution.alias("contribution"), e.direction.alias("direction")))
     return per_model.groupBy("row_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", shown.alias("top"))))).alias("explanation")
     )

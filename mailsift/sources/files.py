@@ -38,7 +38,9 @@ def read_csv_folder(spark: SparkSession, pattern: str, schema: str) -> DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, escape='"', quote='"').csv(path)
+    df.write.mode("overwrite").options(
+        header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def label_column(df: DataFrame) -> str | None:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mailsift.functions.patterns import matches, replace_all
 
@@ -32,7 +33,7 @@ def _flatten(raw: str | None) -> str | None:
         return raw
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _flattened(raw: pd.Series) -> pd.Series:
     return raw.map(_flatten)
 
