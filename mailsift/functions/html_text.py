@@ -26,11 +26,11 @@ _OPEN_REST = rf"(?:{_ATTRIBUTE})*+[ \t\r\n]*+/?>"
 # Elements whose content is hidden or not parsed as markup are left to the parser.
 _RAW_TEXT_TAGS = r"script|style|template|rt\b|rp\b|textarea|xmp|iframe|noembed|noframes|plaintext"
 PLAIN_MARKUP = (
-    r"(?is)<!--(?!-?>)(?:(?!--).)*+-->"
+    r"(?is)(?=<)(?:<!--(?!-?>)(?:(?!--).)*+-->"
     r"|<!doctype[^<>\[\]\"']*+>"
     rf"|<(script|style){_OPEN_REST}.*?</\1[ \t\r\n]*+>"
     rf"|<(?!{_RAW_TEXT_TAGS})[a-z][-a-z0-9:_.]*+{_OPEN_REST}"
-    rf"|</(?!{_RAW_TEXT_TAGS})[a-z][-a-z0-9:_.]*+[ \t\r\n]*+>"
+    rf"|</(?!{_RAW_TEXT_TAGS})[a-z][-a-z0-9:_.]*+[ \t\r\n]*+>)"
 )
 
 # Entities decoded on the JVM; "&amp;" last, so decoded text is not decoded twice.

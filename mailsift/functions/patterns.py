@@ -6,39 +6,51 @@ depend on the JVM's notion of ``\\b``, ``\\w``, ``\\d`` and ``\\s``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WORD_CHAR = r"\p{L}\p{N}_"
-AT_WORD_START = rf"(?<![{WORD_CHAR}])"
+# \w and the POSIX classes used as guards are ASCII-only and cost one table lookup.
+WORD_CHAR = r"\w\p{L}\p{N}"
+AT_WORD_START = rf"(?<!\w)(?<![{WORD_CHAR}])"
 AT_WORD_END = rf"(?![{WORD_CHAR}])"
 
 
 def unicode_classes(pattern: str) -> str:
     """Spell the shorthand classes of a fixed pattern as Unicode classes."""
-    return (
-        pattern.replace(r"[\w-]", rf"[{WORD_CHAR}-]")
-        .replace(r"\w", f"[{WORD_CHAR}]")
-        .replace(r"\d", r"\p{Nd}")
-        .replace(r"\s", f"[{SPACE}]")
-    )
+    worded = re.sub(r"(?<!\[)\\w", lambda _: f"[{WORD_CHAR}]", pattern.replace(r"[\w-]", rf"[{WORD_CHAR}-]"))
+    return worded.replace(r"\d", r"\p{Nd}").replace(r"\s", f"[{SPACE}]")
 
 
 def any_of(patterns: list[str]) -> str:
     return "(?:" + "|".join(unicode_classes(p) for p in patterns) + ")"
 
 
-def whole_phrases(phrases: list[str]) -> str:
-    """One alternation of whole phrases, any case.
+def first_letter_guard(patterns: list[str]) -> str:
+    """Look-ahead on the possible first characters in both cases; rejects most positions cheaply.
 
-    The guards on the first letter and on the character before it are plain ASCII classes
-    (plus the two characters that fold to ASCII letters); they reject most positions cheaply.
+    Besides the ASCII letters, two characters fold to "s" and "k".
     """
-    firsts = "".join(sorted({p[0].lower() for p in phrases}))
-    folded = ("ſ" if "s" in firsts else "") + ("\u212a" if "k" in firsts else "")
-    guard = f"(?=[{firsts}{firsts.upper()}{folded}])(?<![A-Za-z0-9_])"
-    return f"{guard}{AT_WORD_START}(?iu:{any_of(phrases)}){AT_WORD_END}"
+    firsts = sorted({re.sub(r"\A[\^\\(]+", "", p)[0].lower() for p in patterns})
+    both = sorted({*firsts, *(c.upper() for c in firsts)})
+    folded = ("ſ" if "s" in firsts else "") + ("K" if "k" in firsts else "")
+    return f"(?=[{''.join(map(re.escape, both))}{folded}])"
+
+
+def whole_phrases(phrases: list[str]) -> str:
+    """One alternation of whole phrases, any case."""
+    return rf"(?<!\w){first_letter_guard(phrases)}{AT_WORD_START}(?iu:{any_of(phrases)}){AT_WORD_END}"
+
+
+def phrase_starts(phrases: list[str]) -> str:
+    """Phrases that begin at a word start and may go on after their end, any case."""
+    return rf"(?<!\w){first_letter_guard(phrases)}{AT_WORD_START}(?iu:{any_of(phrases)})"
+
+
+def anywhere(patterns: list[str], flags: str) -> str:
+    return f"{first_letter_guard(patterns)}(?{flags}:{any_of(patterns)})"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -51,7 +63,7 @@ def replace_all(text: Column, pattern: str, by: str) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Trim every Unicode white space at both ends, not only blanks."""
-    return replace_all(text, rf"\A[{SPACE}]++|[{SPACE}]++\z", "")
+    return replace_all(text, rf"\A[{SPACE}]++|(?!\p{{Graph}})[{SPACE}]++\z", "")
 
 
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:

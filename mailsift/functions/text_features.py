@@ -11,18 +11,19 @@ from mailsift.functions.patterns import SPACE, whole_phrases
 URGENCY = whole_phrases(V.URGENCY_PHRASES)
 HEALTHCARE = whole_phrases(V.HEALTHCARE_TERMS)
 
+WORD = V.WORD.replace("[A-Za-z0-9]+", r"\p{Alnum}++")
+
 # A run of at least two letters between white space, none lower or title case, one upper case.
-# The first two guards are cheap and reject most positions: no ASCII character but a capital
-# letter can start such a run, and no ASCII letter can stand before it.
+# The first three guards are ASCII table lookups and reject most positions.
 SHOUTED = (
-    r"(?=[^\x00-@\[-\x7f])(?<![a-zA-Z])"
+    r"(?<!\p{Graph})(?=\p{Upper}|\P{ASCII})(?!\p{Upper}\p{Lower})"
     rf"(?<![^{SPACE}])(?=[\p{{L}}]*\p{{IsUppercase}})"
     rf"[\p{{L}}&&[^\p{{IsLowercase}}\p{{Lt}}]]{{2,}}+(?![^{SPACE}])"
 )
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(V.WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def urgency_matches(text: Column) -> Column:

@@ -13,7 +13,7 @@ from mailsift.functions import fixed_values as V
 from mailsift.functions.patterns import AT_WORD_START, SPACE, matches, replace_all
 
 _STOP = rf"{SPACE}<>\"'\)\]"
-URL = rf"(?iu)(?=[hw]){AT_WORD_START}(?:(?:https?|hxxps?)://[^{_STOP}]++|www\.[^{_STOP}]++)"
+URL = rf"(?<!\w)(?=[hwHW]){AT_WORD_START}(?iu)(?:(?:https?|hxxps?)://[^{_STOP}]++|www\.[^{_STOP}]++)"
 TRAILING_PUNCTUATION = r"[.,;:!?\)\]\"']++\z"
 # Authority of a URL; a "www." string holding "://" further on has no parsable authority.
 AUTHORITY = r"(?iu)\A(?:(?:https?|hxxps?)://|(?!.*://))([^/?#]*)"

@@ -12,6 +12,7 @@ from mailsift.functions import fixed_values as V
 from mailsift.functions.text_features import with_text_features
 from mailsift.functions.url_features import with_url_features
 from mailsift.operators.tfidf import Tfidf
+from mailsift.workspace import local_table
 
 
 def with_dense_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -117,7 +118,7 @@ class FeatureModel:
         """(feature_idx, feature, report_name); reports mark terms with a prefix."""
         size = len(self.tfidf.terms)
         rows = [(i, n, f"tfidf:{n}" if i < size else n) for i, n in enumerate(self.names)]
-        return spark.createDataFrame(rows, "feature_idx int, feature string, report_name string")
+        return local_table(spark, rows, "feature_idx int, feature string, report_name string")
 
     def save(self, spark, path: str) -> None:
         self.tfidf.save(f"{path}/tfidf")

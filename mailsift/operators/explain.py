@@ -80,7 +80,7 @@ def contributions(scored: DataFrame, detector: Detector, credits: DataFrame) ->
         return F.transform(f"{name}_leaves", lambda leaf, tree: F.struct(
             F.lit(name).alias("model"), tree.alias("tree"), leaf.alias("leaf")))
 
-    reached = scored.select("row_id", F.inline(F.concat(*map(reached_leaves, detector.base))))
+    reached = scored.select("row_id", F.inline_outer(F.concat(*map(reached_leaves, detector.base))))
     nodes = sum(model.totalNumNodes for model in detector.base.values())
     table = F.broadcast(credits) if nodes <= BROADCAST_NODE_LIMIT else credits
     return (

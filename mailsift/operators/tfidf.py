@@ -7,29 +7,62 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.fixed_values import MAX_VOCABULARY
-from mailsift.functions.terms import with_terms
+from mailsift.functions.terms import pair_term, with_pairs, with_terms, with_tokens
+from mailsift.workspace import local_table
 
 
-def term_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus frequency and document frequency of every term, in one pass.
+# Frequent tokens kept on the driver while the vocabulary is chosen.
+TOKEN_LIMIT = 50_000
 
-    Each term is counted where the text is read; only one partial row per term and input
-    partition is shuffled, so frequent terms are not hot.
-    """
-    row = with_terms(df.select(text), text)
-    occurrence = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    presence = F.transform(
-        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
+
+def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    # Outer generators here and below: for inner ones Spark adds a filter on the array's size and
+    # computes the array a second time for it.
+    found = with_tokens(df.select(text), text).select(F.explode_outer("_tokens").alias("term"))
+    return found.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("tf"))
+
+
+def bigram_counts(df: DataFrame, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """Corpus frequency of bigrams, on request only of those made of the given tokens."""
+    pairs = with_pairs(with_tokens(df.select(text), text)).select(F.inline_outer("pairs")).filter(
+        F.col("second").isNotNull()
     )
-    return (
-        row.select(F.inline(F.concat(occurrence, presence)))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    if tokens is not None:
+        pairs = pairs.join(tokens.select(F.col("term").alias("first")), "first", "left_semi")
+        pairs = pairs.join(tokens.select(F.col("term").alias("second")), "second", "left_semi")
+    return pairs.groupBy(pair_term(F.col("first"), F.col("second")).alias("term")).agg(F.count("*").alias("tf"))
+
+
+def frequent_terms(df: DataFrame, text: str, max_terms: int) -> DataFrame:
+    """(term, tf) of the ``max_terms`` most frequent tokens and bigrams, ties by term. Exact.
+
+    A bigram is never more frequent than its tokens. So once the tokens are counted, only bigrams
+    of two tokens that reach the frequency of the ``max_terms``-th token can still get in, and the
+    mass of rare bigrams is dropped where the text is read instead of being shuffled. Where too
+    many tokens reach that frequency, all bigrams are counted.
+    """
+    rows = token_counts(df, text).orderBy(F.desc("tf"), "term").limit(TOKEN_LIMIT + 1).collect()
+    floor = rows[max_terms - 1].tf if len(rows) >= max_terms else 0
+    frequent = [r for r in rows if r.tf >= floor]
+    if len(frequent) <= TOKEN_LIMIT:
+        table = local_table(df.sparkSession, frequent, "term string, tf bigint")
+        counts = table.unionByName(bigram_counts(df, text, table))
+    else:
+        counts = token_counts(df, text).unionByName(bigram_counts(df, text))
+    return counts.orderBy(F.desc("tf"), "term").limit(max_terms)
+
+
+def document_frequencies(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """(feature_idx, df): in how many texts each term occurs."""
+    counts = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="term_counts")
+    exploded = counts.transform(with_terms(df.select(text), text)).select(
+        F.explode_outer(F.unwrap_udt(F.col("term_counts")).getField("indices")).alias("feature_idx")
     )
+    return exploded.filter(F.col("feature_idx").isNotNull()).groupBy("feature_idx").agg(F.count("*").alias("df"))
 
 
 def idf(documents: Column | int, frequency: Column) -> Column:
@@ -39,12 +72,16 @@ def idf(documents: Column | int, frequency: Column) -> Column:
 
 
 def vocabulary(df: DataFrame, text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
-    """The most frequent terms (ties by term), numbered alphabetically, with df and idf."""
-    documents = df.count()
-    kept = term_statistics(df, text).orderBy(F.desc("tf"), "term").limit(max_terms)
-    # The window sees at most ``max_terms`` rows.
-    number = F.row_number().over(Window.orderBy("term")) - 1
-    return kept.select("term", number.alias("feature_idx"), "tf", "df", idf(documents, F.col("df")).alias("idf"))
+    """The most frequent terms, numbered alphabetically, with tf, df and idf.
+
+    Holds at most ``max_terms`` rows, which also pass through the driver.
+    """
+    kept = sorted(frequent_terms(df, text, max_terms).collect(), key=lambda r: r.term)
+    rows = [(r.term, i, r.tf) for i, r in enumerate(kept)]
+    numbered = local_table(df.sparkSession, rows, "term string, feature_idx int, tf bigint")
+    frequencies = document_frequencies(df, [r.term for r in kept], text)
+    weight = idf(df.count(), F.col("df")).alias("idf")
+    return numbered.join(frequencies, "feature_idx").select("term", "feature_idx", "tf", "df", weight)
 
 
 @dataclass
@@ -90,4 +127,4 @@ def long_form(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
     unwrapped = df.select(*keys, v.alias("v"))
     positions = F.coalesce(F.col("v.indices"), F.sequence(F.lit(0), F.size("v.values") - 1))
     entries = F.arrays_zip(positions.alias("feature_idx"), F.col("v.values").alias("value"))
-    return unwrapped.select(*keys, F.inline(entries)).toDF(*keys, "feature_idx", "value").filter("value <> 0")
+    return unwrapped.select(*keys, F.inline_outer(entries)).toDF(*keys, "feature_idx", "value").filter("value <> 0")

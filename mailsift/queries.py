@@ -220,7 +220,7 @@ def url_extract(spark, sf_dir):
         lambda z, i: F.struct((i + 1).alias("url_no"), z.urls.alias("url"), z["_parts"].host.alias("host"),
                               z["_parts"].suffix.alias("suffix"), z["_parts"].domain.alias("domain")),
     )
-    return parts.select("row_id", F.inline(numbered))
+    return parts.select("row_id", F.inline_outer(numbered)).filter(F.col("url").isNotNull())
 
 
 def url_features(spark, sf_dir):

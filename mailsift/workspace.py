@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -44,6 +45,11 @@ def materialise(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A table from rows the driver holds anyway; marked for broadcast, as Spark cannot see its size."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def localise(df: DataFrame, limit: int = LOCAL_ROW_LIMIT) -> DataFrame:
     """Turn a small result into a local table, so joins with it need no shuffle.
 
@@ -51,6 +57,4 @@ def localise(df: DataFrame, limit: int = LOCAL_ROW_LIMIT) -> DataFrame:
     unchanged and Spark joins it by shuffling, with adaptive skew handling.
     """
     rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df if len(rows) > limit else local_table(df.sparkSession, rows, df.schema)
