@@ -32,7 +32,7 @@ from mailsift.plans import train as training
 from mailsift.plans.build_table import build, cleaned_table
 from mailsift.plans.score import responses
 from mailsift.sources import files, mime
-from mailsift.sources.inbox import inbox, raw_sources
+from mailsift.sources.inbox import inbox, raw_sources, read_table
 from mailsift.sources.json_tree import json_tree_text
 from mailsift.streaming import scoring as streaming
 from mailsift.workspace import materialise, run_dir
@@ -55,10 +55,6 @@ def round_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: rounded(F.col(n)) for n in names})
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _usable(spark, sf_dir):
     return cleaning.without_blank(cleaning.eligible(inbox(spark, sf_dir)))
 
@@ -141,7 +137,7 @@ def became_blank(spark, sf_dir):
 
 
 def html_strip_pages(spark, sf_dir):
-    return with_visible_text(_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "text")
+    return with_visible_text(read_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "text")
 
 
 def class_balance(spark, sf_dir):
@@ -388,7 +384,7 @@ def explain_top10(spark, sf_dir):
 
 def _mbox_folder(spark, sf_dir) -> str:
     """Conversations as mbox messages: plain, base64 and HTML-only multipart."""
-    turns = _table(spark, sf_dir, "conversations")
+    turns = read_table(spark, sf_dir, "conversations")
     # Mail programs quote body lines that look like a separator.
     safe = F.regexp_replace("text", "(?m)^From ", ">From ")
     head = F.concat(
@@ -423,7 +419,7 @@ def mbox_message_total(spark, sf_dir):
 
 def _eml_folder(spark, sf_dir) -> str:
     """Benchmark items as single message files (a folder per item, as Spark writes them)."""
-    items = _table(spark, sf_dir, "benchmark")
+    items = read_table(spark, sf_dir, "benchmark")
     message = F.concat(
         F.lit("Subject: item "), F.col("item_id").cast("string"),
         F.lit('\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n'),
@@ -439,7 +435,7 @@ def eml_messages(spark, sf_dir):
 
 
 def json_tree_texts(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations")
+    turns = read_table(spark, sf_dir, "conversations")
     kind = (F.col("conv_id") + F.col("turn")) % 5
     flat = F.to_json(F.array("role", "text"))
     nested = F.to_json(F.array(F.array(F.lit("…"), F.col("text")), F.array(F.col("role"), F.lit(""))))
@@ -454,7 +450,7 @@ def json_tree_texts(spark, sf_dir):
 
 def csv_round_trip(spark, sf_dir):
     folder = f"{run_dir(spark, 'csv')}/general"
-    documents = _table(spark, sf_dir, "documents")
+    documents = read_table(spark, sf_dir, "documents")
     files.write_csv(documents.select("doc_id", F.col("text").alias("Email Text"), F.col("source").alias("Email Type")), folder)
     schema = "doc_id bigint, `Email Text` string, `Email Type` string"
     back = files.read_csv_folder(spark, f"{folder}/*.csv", schema)
@@ -487,7 +483,7 @@ def stream_score_eml(spark, sf_dir):
 
 def stream_score_json(spark, sf_dir):
     out = run_dir(spark, "stream-json")
-    turns = _table(spark, sf_dir, "conversations")
+    turns = read_table(spark, sf_dir, "conversations")
     threshold = F.when(F.col("turn") % 3 == 1, 0.5).when(F.col("turn") % 3 == 2, 1.5)
     turns.select(
         F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("request_id"),

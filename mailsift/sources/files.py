@@ -43,6 +43,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
+# Inputs up to this size are spread over the cores; larger ones are read as they are stored.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+SPREAD_BYTES = 512 * 1024
+
+
+def read_parquet(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """A Parquet table; a small one is redistributed by its keys so that all cores get work.
+
+    Parquet is only split between row groups, so a small file of one row group would be one task.
+    The size is checked first: large tables have many row groups and are never shuffled here.
+    """
+    table = spark.read.parquet(path)
+    size = path_bytes(spark, path)
+    tasks = min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    return table.repartition(tasks, *keys) if 1 < tasks and size <= SMALL_INPUT_BYTES else table
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
 def label_column(df: DataFrame) -> str | None:
     """The first known label column a table has."""
     return next((name for name in V.LABEL_COLUMN_CANDIDATES if name in df.columns), None)
