@@ -99,7 +99,7 @@ def with_url_parts(df: DataFrame, suffixes: str = DEFAULT_SUFFIXES) -> DataFrame
     def with_domain(p: Column) -> Column:
         return F.struct(
             p.host.alias("host"), p["at"].alias("at"), p.ip.alias("ip"), p.suffix.alias("suffix"),
-            domain_label(p.named, p.suffix).alias("domain"),
+            F.when(is_ipv4(p.named), p.named).otherwise(domain_label(p.named, p.suffix)).alias("domain"),
         )
 
     split = F.transform(hosts, split_host)

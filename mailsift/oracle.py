@@ -235,8 +235,8 @@ suffixed AS (
   SELECT *, CASE WHEN regexp_full_match(named, '{_IPV4}') THEN '' ELSE regexp_extract(named, '{_SUFFIXES}', 1) END AS suffix
   FROM named),
 url_parts AS (
-  SELECT *, string_split(CASE WHEN suffix = '' THEN named
-                              ELSE left(named, greatest(length(named) - length(suffix) - 1, 0)::BIGINT) END, '.')[-1] AS domain
+  SELECT *, CASE WHEN regexp_full_match(named, '{_IPV4}') THEN named ELSE string_split(CASE WHEN suffix = '' THEN named
+                              ELSE left(named, greatest(length(named) - length(suffix) - 1, 0)::BIGINT) END, '.')[-1] END AS domain
   FROM suffixed)"""
 
 
