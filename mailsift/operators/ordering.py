@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.fixed_values import SEED
+from mailsift.workspace import localise
 
 # 16**3 buckets per stratum: a draw key is uniform, so even a stratum of 10**11 rows has buckets
 # of some 10**7 narrow rows.
@@ -44,17 +45,25 @@ def draw_cuts(df: DataFrame, strata: list[str], ranks: dict[str, Column], seed:
         F.explode(F.array(*[
             F.struct(F.lit(name).alias("cut"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()
         ])).alias("w"),
-    ).select("*", "w.cut", "w.rank").drop("w")
-    hit = wanted.filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
+    ).select("*", "w.cut", "w.rank")
+    hit = (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n"))
+    # One row per stratum and cut: where the cut falls, NULL for rank 0. Being few, these rows are
+    # broadcast, so that finding the cut rows filters the keys instead of shuffling them.
+    places = localise(
+        wanted.groupBy(*strata, "cut").agg(
+            F.max("stratum_rows").alias("stratum_rows"),
+            F.max(F.when(hit, F.struct("bucket", "rank", "before"))).alias("place"),
+        ).select(*strata, "cut", "stratum_rows", "place.*")
+    )
     in_bucket = Window.partitionBy(*strata, "bucket", "cut").orderBy("draw", "row_id")
     cut_rows = (
-        keyed.join(hit.select(*strata, "bucket", "cut", "rank", "before"), [*strata, "bucket"])
+        keyed.join(places.filter(F.col("bucket").isNotNull()), [*strata, "bucket"])
         .withColumn("position", F.col("before") + F.row_number().over(in_bucket))
         .filter(F.col("position") == F.col("rank"))
         .groupBy(*strata)
         .agg(*[F.max(F.when(F.col("cut") == name, F.struct("draw", "row_id"))).alias(name) for name in ranks])
     )
-    sizes = buckets.groupBy(*strata).agg(F.max("stratum_rows").alias("stratum_rows"))
+    sizes = places.groupBy(*strata).agg(F.max("stratum_rows").alias("stratum_rows"))
     return sizes.join(cut_rows, strata, "left")
 
 
@@ -64,7 +73,7 @@ def up_to_cut(cut: str, seed: int = SEED) -> Column:
     return F.coalesce(own <= F.col(cut), F.lit(False))
 
 
-def running_total_below(df: DataFrame, groups: list[str], order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
+def running_total_below(df: DataFrame, groups: list[str], order: str, value: str, out: str, buckets: int = 1024) -> DataFrame:
     """Append, per row, the sum of ``value`` over rows of its group with a smaller ``order``.
 
     ``order`` is a double, unique within a group. Bucket borders are quantiles of the data, so no

@@ -73,10 +73,17 @@ def leftover(df: DataFrame, sample: DataFrame) -> DataFrame:
 
 def confound_slice(df: DataFrame, sample: DataFrame, per_label: Column | int = V.CONFOUND_PER_LABEL,
                    seed: int = V.SEED) -> DataFrame:
-    """Equal numbers of both labels from the rows left over, two-class sources only."""
-    pool = leftover(df, sample).filter(F.col("source_dataset").isin(V.CONFOUND_SOURCES))
+    """Equal numbers of both labels from the rows left over, two-class sources only.
+
+    Drawn with a key of its own: rows up to the cut are few before the sample is taken out of
+    them, so no mail text is shuffled.
+    """
+    draw_seed = seed + 2
+    eligible = df.filter(F.col("source_dataset").isin(V.CONFOUND_SOURCES))
     wanted = per_label if isinstance(per_label, Column) else F.lit(per_label)
-    return _with_cuts(pool, ["label"], {"_quota": wanted}, seed).filter(up_to_cut("_quota", seed)).select(*df.columns)
+    cuts = localise(draw_cuts(leftover(eligible, sample), ["label"], {"_quota": wanted}, draw_seed))
+    near = eligible.join(cuts, "label").filter(up_to_cut("_quota", draw_seed)).select(*df.columns)
+    return leftover(near, sample)
 
 
 def seeded_rows(df: DataFrame, rows: int, seed: int = V.SEED) -> DataFrame:

@@ -164,7 +164,7 @@ pool AS (
     AND source_dataset IN ('kaggle_chakraborty', 'synthetic_healthcare')),
 confound AS (
   SELECT * FROM pool
-  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42-' || row_id), row_id) <= {CONFOUND_PER_LABEL})"""
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('44-' || row_id), row_id) <= {CONFOUND_PER_LABEL})"""
 
 
 SAMPLED = f"{UNIQUE},{sampled('unique_mail')}"

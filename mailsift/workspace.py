@@ -14,14 +14,18 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_ROW_LIMIT = 20_000
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only where none is set (tests)."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="mailsift-")
-    spark.conf.set(CHECKPOINT_KEY, own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="mailsift-")
+    return _own_dirs[application]
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
