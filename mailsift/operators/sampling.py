@@ -117,6 +117,24 @@ def split_integrity(splits: DataFrame, sample: DataFrame, confound: DataFrame) -
     return reduce(DataFrame.unionByName, checks)
 
 
+def feature_alignment(mails: DataFrame, text_features: DataFrame, url_features: DataFrame) -> DataFrame:
+    """Both feature tables must have exactly the mails' rows, and the labels must be the mails' own."""
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    ids = mails.select("row_id")
+    other = mails.select("row_id", F.col("label").alias("own_label"))
+    changed = text_features.select("row_id", "label").join(other, "row_id").filter(
+        ~F.col("label").eqNullSafe(F.col("own_label"))
+    )
+    checks = [
+        check("mails_without_text_features", count(ids.exceptAll(text_features.select("row_id"))), 0),
+        check("text_features_without_mail", count(text_features.select("row_id").exceptAll(ids)), 0),
+        check("mails_without_url_features", count(ids.exceptAll(url_features.select("row_id"))), 0),
+        check("url_features_without_mail", count(url_features.select("row_id").exceptAll(ids)), 0),
+        check("changed_labels", count(changed), 0),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
 def output_sizes(splits: DataFrame, confound: DataFrame) -> DataFrame:
     """Rows and class counts of every output."""
     outputs = splits.select("split", "label").unionByName(confound.select(F.lit("confound").alias("split"), "label"))

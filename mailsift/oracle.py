@@ -462,6 +462,19 @@ FROM (SELECT split, label FROM splits UNION ALL SELECT 'confound', label FROM co
 SELECT source_dataset, label, count_if(url_count = 0) AS zero_urls, count(*) AS total,
        {rounded("avg((url_count = 0)::INT)", "zero_share")} FROM with_url GROUP BY ALL""",
     "joined_features": f"WITH {_DENSE} SELECT row_id, label, {_ROUND_TEXT}, {_ROUND_URL} FROM with_url",
+    "feature_alignment_checks": f"""WITH {_DENSE},
+checks AS (
+  SELECT 'mails_without_text_features' AS "check",
+         (SELECT count(*) FROM cleaned WHERE row_id NOT IN (SELECT row_id FROM with_text)) AS observed
+  UNION ALL SELECT 'text_features_without_mail',
+         (SELECT count(*) FROM with_text WHERE row_id NOT IN (SELECT row_id FROM cleaned))
+  UNION ALL SELECT 'mails_without_url_features',
+         (SELECT count(*) FROM cleaned WHERE row_id NOT IN (SELECT row_id FROM with_url))
+  UNION ALL SELECT 'url_features_without_mail',
+         (SELECT count(*) FROM with_url WHERE row_id NOT IN (SELECT row_id FROM cleaned))
+  UNION ALL SELECT 'changed_labels',
+         (SELECT count(*) FROM with_text t JOIN cleaned c USING (row_id) WHERE t.label IS DISTINCT FROM c.label))
+SELECT "check", observed, 0 AS expected, observed = 0 AS ok FROM checks""",
     "tfidf_vocabulary": f"WITH {_WEIGHTS} SELECT term, feature_idx, tf, df, {rounded('idf', 'idf')} FROM vocabulary",
     "tfidf_weights": f"WITH {_WEIGHTS} SELECT row_id, feature_idx, {rounded('value', 'value')} FROM tfidf",
     "scaled_dense": f"""WITH {_DENSE},{sampled('cleaned')}, {_scaling_ctes()}

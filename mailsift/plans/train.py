@@ -71,8 +71,32 @@ def tuning_report(val_scores: DataFrame, test_scores: DataFrame, selected: float
     return _document(parts).withColumn("selected_threshold", F.lit(selected))
 
 
-def evaluation_report(trained: Trained, selected: float, retrained: bool = True) -> DataFrame:
-    """One row: all models on test, headline, slice, comparison, importance and threshold summary."""
+def evaluate(splits: DataFrame, out: str) -> Trained:
+    """Score val and test with the detector stored below ``out``; nothing is fitted."""
+    detector = Detector.load(splits.sparkSession, f"{out}/detector")
+    judged = splits.filter(F.col("split").isin("val", "test"))
+    scored = detector.score_features(models.labelled(detector.features.transform(judged))).drop("features", "text")
+    stored = materialise(scored, f"{out}/evaluated", ["split"])
+    table = lambda split: models.score_table(stored.filter(F.col("split") == split), detector.names)
+    return Trained(detector, table("val"), table("test"))
+
+
+def benchmark(splits: DataFrame, out: str, retrain: bool = False, options: TrainingOptions = TrainingOptions(),
+              max_terms: int = V.MAX_VOCABULARY) -> DataFrame:
+    """The report of the stored models, or of newly trained ones. Without a meta-model the ensemble
+    and the threshold summary are left out."""
+    result = train(splits, out, options, max_terms) if retrain else evaluate(splits, out)
+    selected = None
+    if result.detector.meta is not None:
+        sweep = metrics.threshold_sweep(result.val_scores.filter(F.col("model") == metrics.ENSEMBLE))
+        picked = metrics.pick_thresholds(sweep, [V.SELECTED_FPR_TARGET]).first()
+        selected = picked.threshold if picked is not None else None
+    return evaluation_report(result, selected, retrain)
+
+
+def evaluation_report(trained: Trained, selected: float | None, retrained: bool = True) -> DataFrame:
+    """One row: all models on test, headline, slice, comparison, importance and, for a selected
+    threshold, the threshold summary."""
     spark = trained.test_scores.sparkSession
     results = metrics.full_metrics(trained.test_scores)
     overall = results.filter(F.col("source_dataset").isNull())
@@ -85,8 +109,9 @@ def evaluation_report(trained: Trained, selected: float, retrained: bool = True)
         "ensemble_against_baselines": metrics.compare_with_baselines(overall, BASE_MODELS),
         "top_features": models.top_importances(importance),
         "dense_share": models.dense_share(importance),
-        "threshold_tuning": tuning_report(trained.val_scores, trained.test_scores, selected),
     }
+    if selected is not None:
+        parts["threshold_tuning"] = tuning_report(trained.val_scores, trained.test_scores, selected)
     return _document(parts).select(
         F.current_timestamp().alias("created_utc"),
         F.lit(retrained).alias("retrained"),

@@ -242,6 +242,13 @@ def joined_features(spark, sf_dir):
     return round_columns(joined, ["urgency_score", "avg_word_length", "avg_domain_entropy"])
 
 
+def feature_alignment_checks(spark, sf_dir):
+    rows = _kept(spark, sf_dir)
+    return sampling.feature_alignment(
+        rows, with_text_features(rows).select("row_id", "label"), with_url_features(rows).select("row_id")
+    )
+
+
 def _train_rows(rows: DataFrame) -> DataFrame:
     return sampling.train_val_test(_sample(rows)).filter(F.col("split") == "train")
 
@@ -502,7 +509,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         non_email_first_tags, non_email_preview, became_blank, html_strip_pages, class_balance, seeded_class_rows,
         stratified_sample, train_val_test_split, confound_slice, split_integrity_checks, output_sizes,
         text_features, text_features_by_label, url_extract, url_features, url_features_by_label, zero_url_report,
-        joined_features, tfidf_vocabulary, tfidf_weights, scaled_dense, assembled_matrix,
+        joined_features, feature_alignment_checks, tfidf_vocabulary, tfidf_weights, scaled_dense, assembled_matrix,
         metrics_overall_by_source, roc_auc_by_source, threshold_sweep, threshold_pick, recall_cost,
         best_baseline_vs_ensemble, synthetic_slice,
         test_scores, model_metrics, model_threshold_sweep, feature_importance_top20, dense_importance,

@@ -55,6 +55,7 @@ RAW_SPAM_CORPUS = f"""
 SELECT CAST((conv_id * 100000 + turn) * 2 AS BIGINT) AS message_no,
        CASE WHEN turn = 0 AND conv_id % 29 = 7 THEN 'N/A'
             WHEN turn = 0 AND conv_id % 31 = 5 THEN '   '
+            WHEN turn = 0 AND conv_id % 37 = 3 THEN '<p> &nbsp; </p>'
             ELSE text || {LEGITIMATE_TAIL.format(n="length(text)")} END AS text,
        CASE WHEN conv_id % 6 = 0 THEN 0 ELSE 1 END AS label
 FROM conversations

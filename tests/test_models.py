@@ -114,6 +114,31 @@ def test_loaded_detector_scores_the_same(spark, table, result):
     assert own == pytest.approx(again)
 
 
+def test_benchmark_of_stored_models(spark, table, result):
+    out = result.detector.path.rsplit("/", 1)[0]
+    report = train.benchmark(table.splits, out).first()
+    assert not report.retrained
+    again = {r.model: r for r in report.headline}
+    first = {r.model: r for r in train.evaluation_report(result, None).first().headline}
+    for name, row in first.items():
+        assert again[name].auc_roc == pytest.approx(row.auc_roc) and again[name].f1 == pytest.approx(row.f1)
+
+
+def test_threshold_that_nothing_reaches_is_an_error(spark):
+    rows = [("stacked_ensemble", i, "s", i % 2, 1.0) for i in range(10)]
+    scores = spark.createDataFrame(rows, "model string, row_id long, source_dataset string, y int, score double")
+    with pytest.raises(ValueError, match="no threshold"):
+        train.select_threshold(scores)
+
+
+def test_spot_check(spark, table):
+    from mailsift.operators.assemble import spot_check, with_dense_features
+
+    ids = [r.row_id for r in table.splits.limit(3).collect()]
+    rows = spot_check(with_dense_features(table.splits), ids, ["label", "urgency_score"]).collect()
+    assert sorted(r.row_id for r in rows) == sorted(ids)
+
+
 def test_missing_models(spark, result, tmp_path):
     with pytest.raises(FileNotFoundError, match="boosting_b"):
         Detector.load(spark, str(tmp_path))
