@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
 from mailsift.operators.ordering import running_total_below
+from mailsift.workspace import materialise, run_dir
 
 CELLS = ["tn", "fp", "fn", "tp"]
 ENSEMBLE = "stacked_ensemble"
@@ -92,7 +93,6 @@ def roc_auc(scores: DataFrame) -> DataFrame:
     Equal scores are merged first. The number of legitimate rows below each distinct score comes
     from a bucketed running sum, so no group of scores is sorted in one task.
     """
-    # NaN scores do not occur; the source level is marked so that NULL sources stay apart.
     per_score = scores.groupBy("model", "source_dataset", "score").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
@@ -103,6 +103,8 @@ def roc_auc(scores: DataFrame) -> DataFrame:
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
         F.coalesce("source_dataset", F.lit("")).alias("level"),
     ).select("model", "level", "score", "pos", "neg")
+    # Written once: it is read for the bucket borders, the bucket totals and the ranks.
+    levels = materialise(levels, f"{run_dir(scores.sparkSession, 'auc')}/levels")
     ranked = running_total_below(levels, ["model", "level"], "score", "neg", "neg_below")
     pairs = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return ranked.groupBy("model", "level").agg(
@@ -136,10 +138,16 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float] | None = None) ->
     counted = placed.groupBy("model", F.col("interval").cast("int").alias("interval")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
-    # Every interval must exist, also those no score falls into.
+    # Every interval must exist, also those no score falls into; a model has at most 60 of them.
     steps = F.array(*[F.struct(F.lit(i).alias("interval"), F.lit(t).alias("threshold")) for i, t in enumerate([None, *grid])])
-    frame = counted.select("model").distinct().select("model", F.inline(steps))
-    filled = frame.join(counted, ["model", "interval"], "left").na.fill(0, ["pos", "neg"])
+    per_model = counted.groupBy("model").agg(
+        F.map_from_entries(F.collect_list(F.struct("interval", F.struct("pos", "neg")))).alias("counts")
+    )
+    here = F.col("counts")[F.col("interval")]
+    filled = per_model.select("model", "counts", F.inline(steps)).select(
+        "model", "interval", "threshold",
+        F.coalesce(here["pos"], F.lit(0)).alias("pos"), F.coalesce(here["neg"], F.lit(0)).alias("neg"),
+    )
     above = Window.partitionBy("model").orderBy(F.desc("interval"))
     below = Window.partitionBy("model").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
     cells = filled.select(
