@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailsift.functions import cleaning as C
 from mailsift.functions import fixed_values as V
 from mailsift.functions.patterns import with_computed
+from mailsift.workspace import sized
 
 QUALITY_FLAGS = ["html_tags", "mime_leftover", "mojibake_hint", "replacement_char"]
 
@@ -40,15 +41,16 @@ def blank_report(df: DataFrame) -> DataFrame:
 def first_copies(df: DataFrame) -> DataFrame:
     """One row per exact text: that of the earliest source, then the lowest row id.
 
-    A grouped minimum instead of a window: copies are combined before the shuffle, so a text
-    that makes up a third of all rows costs one row per input partition. The hash in front of
-    the text keeps the sort comparisons short; the text itself keeps the result exact.
+    Texts stay where they are. Only 256-bit digests are grouped, copies are combined before the shuffle,
+    and the later copies of digests seen more than once are written and taken out by row id; Spark knows
+    the size of that table and broadcasts it where it is small.
     """
-    others = [c for c in df.columns if c != "text"]
-    order = ["source_rank", "row_id"]
-    kept = F.min(F.struct(*order, *[c for c in others if c not in order])).alias("kept")
-    grouped = df.groupBy(F.xxhash64("text").alias("text_hash"), "text").agg(kept)
-    return grouped.select(*[F.col("text") if c == "text" else F.col(f"kept.{c}").alias(c) for c in df.columns])
+    ids = df.select("row_id", "source_rank", F.unhex(F.sha2("text", 256)).alias("digest"))
+    order = F.struct("source_rank", "row_id")
+    # Text is compared by digest here as in the report below; NULL is a text of its own.
+    firsts = ids.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = ids.join(firsts, ids.digest.eqNullSafe(firsts.digest)).filter(order != F.col("first")).select("row_id")
+    return df.join(sized(later, "copies"), "row_id", "left_anti").select(*df.columns)
 
 
 def duplicate_report(df: DataFrame) -> DataFrame:

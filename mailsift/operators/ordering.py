@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.fixed_values import SEED
-from mailsift.workspace import localise
+from mailsift.workspace import sized
 
 # 16**3 buckets per stratum: a draw key is uniform, so even a stratum of 10**11 rows has buckets
 # of some 10**7 narrow rows.
@@ -47,13 +47,14 @@ def draw_cuts(df: DataFrame, strata: list[str], ranks: dict[str, Column], seed:
         ])).alias("w"),
     ).select("*", "w.cut", "w.rank")
     hit = (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n"))
-    # One row per stratum and cut: where the cut falls, NULL for rank 0. Being few, these rows are
-    # broadcast, so that finding the cut rows filters the keys instead of shuffling them.
-    places = localise(
+    # One row per stratum and cut: where the cut falls, NULL for rank 0. Spark sees that these rows are
+    # few and broadcasts them, so finding the cut rows filters the keys instead of shuffling them.
+    places = sized(
         wanted.groupBy(*strata, "cut").agg(
             F.max("stratum_rows").alias("stratum_rows"),
             F.max(F.when(hit, F.struct("bucket", "rank", "before"))).alias("place"),
-        ).select(*strata, "cut", "stratum_rows", "place.*")
+        ).select(*strata, "cut", "stratum_rows", "place.*"),
+        "places",
     )
     in_bucket = Window.partitionBy(*strata, "bucket", "cut").orderBy("draw", "row_id")
     cut_rows = (

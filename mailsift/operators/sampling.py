@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
 from mailsift.operators.ordering import draw_cuts, draw_key, up_to_cut
-from mailsift.workspace import localise
+from mailsift.workspace import sized
 
 STRATA = ["source_dataset", "label"]
 SPLIT_SHARES = {"train": 0.70, "val": 0.85}
 
 
 def _with_cuts(df: DataFrame, strata: list[str], ranks: dict[str, Column], seed: int) -> DataFrame:
-    """Join the cut keys, one row per stratum. They are checked to be few and then broadcast,
-    so the mails themselves are not shuffled."""
-    cuts = localise(draw_cuts(df, strata, ranks, seed))
+    """Join the cut keys, one row per stratum. They are written, so Spark sees that they are few and
+    broadcasts them; the mails themselves are not shuffled."""
+    cuts = sized(draw_cuts(df, strata, ranks, seed), "cuts")
     return df.join(cuts, strata, "left")
 
 
@@ -73,7 +73,7 @@ def leftover(df: DataFrame, sample: DataFrame) -> DataFrame:
 
 def confound_slice(df: DataFrame, sample: DataFrame, per_label: Column | int = V.CONFOUND_PER_LABEL,
                    seed: int = V.SEED) -> DataFrame:
-    """Equal numbers of both labels from the rows left over, two-class sources only.
+    """Equal numbers of both labels from the rows left over, two-class sources only; an error if there are too few.
 
     Drawn with a key of its own: rows up to the cut are few before the sample is taken out of
     them, so no mail text is shuffled.
@@ -81,7 +81,13 @@ def confound_slice(df: DataFrame, sample: DataFrame, per_label: Column | int = V
     draw_seed = seed + 2
     eligible = df.filter(F.col("source_dataset").isin(V.CONFOUND_SOURCES))
     wanted = per_label if isinstance(per_label, Column) else F.lit(per_label)
-    cuts = localise(draw_cuts(leftover(eligible, sample), ["label"], {"_quota": wanted}, draw_seed))
+    enough = F.when(
+        wanted > F.col("stratum_rows"), F.raise_error(F.concat(F.lit("too few rows left over of "), "label")).cast("bigint")
+    ).otherwise(wanted)
+    cuts = sized(draw_cuts(leftover(eligible, sample), ["label"], {"_quota": enough}, draw_seed), "cuts")
+    missing = {V.PHISHING, V.LEGITIMATE} - {r.label for r in cuts.select("label").collect()}
+    if missing and not isinstance(per_label, Column) and per_label > 0:
+        raise ValueError(f"too few rows left over of {', '.join(sorted(missing))}")
     near = eligible.join(cuts, "label").filter(up_to_cut("_quota", draw_seed)).select(*df.columns)
     return leftover(near, sample)
 
@@ -91,48 +97,65 @@ def seeded_rows(df: DataFrame, rows: int, seed: int = V.SEED) -> DataFrame:
     return df.withColumn("_draw", draw_key(F.col("row_id"), seed)).orderBy("_draw", "row_id").limit(rows).drop("_draw")
 
 
-def check(name: str, observed: DataFrame, expected: int) -> DataFrame:
-    """One row (check, observed, expected, ok) from a one-number result."""
-    number = F.col(observed.columns[0]).cast("bigint")
-    return observed.select(
-        F.lit(name).alias("check"), number.alias("observed"), F.lit(expected).cast("bigint").alias("expected"),
-        (number == expected).alias("ok"),
-    )
+def _checks(counts: DataFrame, names: list[str]) -> DataFrame:
+    """One row (check, observed, expected, ok) per count; all of them must be 0."""
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("observed"))
+                     for n in names])
+    return counts.select(F.inline(rows)).select(
+        "check", "observed", F.lit(0).cast("bigint").alias("expected"), (F.col("observed") == 0).alias("ok"))
 
 
 def split_integrity(splits: DataFrame, sample: DataFrame, confound: DataFrame) -> DataFrame:
-    """Overlaps must be empty, all rows eligible, and the splits must add up to the sample."""
-    count = lambda df: df.agg(F.count("*").alias("n"))
-    twice = splits.groupBy("row_id").agg(F.count_distinct("split").alias("k")).filter("k > 1")
-    lost = sample.select("row_id").exceptAll(splits.select("row_id"))
-    not_eligible = splits.select("included_in_training").unionByName(confound.select("included_in_training")).filter(
-        ~F.coalesce("included_in_training", F.lit(False))
-    )
-    checks = [
-        check("sample_confound_overlap", count(sample.select("row_id").intersect(confound.select("row_id"))), 0),
-        check("split_overlap", count(twice), 0),
-        check("sample_rows_without_split", count(lost), 0),
-        check("not_eligible", count(not_eligible), 0),
+    """Overlaps must be empty, all rows eligible, and the splits must add up to the sample.
+
+    The three tables are put under each other and grouped by row id once.
+    """
+    ineligible = (~F.coalesce("included_in_training", F.lit(False))).cast("int")
+    tables = [
+        splits.select("row_id", F.lit(1).alias("bit"), "split", ineligible.alias("bad")),
+        sample.select("row_id", F.lit(2).alias("bit"), F.lit(None).cast("string").alias("split"), F.lit(0).alias("bad")),
+        confound.select("row_id", F.lit(4).alias("bit"), F.lit(None).cast("string").alias("split"), ineligible.alias("bad")),
     ]
-    return reduce(DataFrame.unionByName, checks)
+    rows = reduce(DataFrame.unionByName, tables).groupBy("row_id").agg(
+        F.bit_or("bit").alias("bits"), (F.min("split") != F.max("split")).alias("twice"), F.sum("bad").alias("bad"))
+    bits = F.col("bits")
+    counts = rows.agg(
+        F.count_if(bits.bitwiseAND(6) == 6).alias("sample_confound_overlap"),
+        F.count_if("twice").alias("split_overlap"),
+        F.count_if(bits.bitwiseAND(3) == 2).alias("sample_rows_without_split"),
+        F.sum("bad").alias("not_eligible"),
+    )
+    return _checks(counts, ["sample_confound_overlap", "split_overlap", "sample_rows_without_split", "not_eligible"])
 
 
 def feature_alignment(mails: DataFrame, text_features: DataFrame, url_features: DataFrame) -> DataFrame:
-    """Both feature tables must have exactly the mails' rows, and the labels must be the mails' own."""
-    count = lambda df: df.agg(F.count("*").alias("n"))
-    ids = mails.select("row_id")
-    other = mails.select("row_id", F.col("label").alias("own_label"))
-    changed = text_features.select("row_id", "label").join(other, "row_id").filter(
-        ~F.col("label").eqNullSafe(F.col("own_label"))
-    )
-    checks = [
-        check("mails_without_text_features", count(ids.exceptAll(text_features.select("row_id"))), 0),
-        check("text_features_without_mail", count(text_features.select("row_id").exceptAll(ids)), 0),
-        check("mails_without_url_features", count(ids.exceptAll(url_features.select("row_id"))), 0),
-        check("url_features_without_mail", count(url_features.select("row_id").exceptAll(ids)), 0),
-        check("changed_labels", count(changed), 0),
+    """Both feature tables must have exactly the mails' rows, and the labels must be the mails' own.
+
+    The three tables are put under each other and grouped by row id once; repeated ids show as a
+    difference in how often each table has them.
+    """
+    none = F.lit(None).cast("string").alias("label")
+    tables = [
+        mails.select("row_id", F.lit(0).alias("part"), "label"),
+        text_features.select("row_id", F.lit(1).alias("part"), "label"),
+        url_features.select("row_id", F.lit(2).alias("part"), none),
     ]
-    return reduce(DataFrame.unionByName, checks)
+    n = lambda part: F.count_if(F.col("part") == part)
+    label = lambda part: F.max(F.when(F.col("part") == part, F.col("label")))
+    rows = reduce(DataFrame.unionByName, tables).groupBy("row_id").agg(
+        n(0).alias("mails"), n(1).alias("texts"), n(2).alias("urls"),
+        label(0).alias("own"), label(1).alias("given"))
+    more = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
+    both = (F.col("mails") > 0) & (F.col("texts") > 0)
+    counts = rows.agg(
+        more("mails", "texts").alias("mails_without_text_features"),
+        more("texts", "mails").alias("text_features_without_mail"),
+        more("mails", "urls").alias("mails_without_url_features"),
+        more("urls", "mails").alias("url_features_without_mail"),
+        F.count_if(both & ~F.col("own").eqNullSafe(F.col("given"))).alias("changed_labels"),
+    )
+    return _checks(counts, ["mails_without_text_features", "text_features_without_mail", "mails_without_url_features",
+                            "url_features_without_mail", "changed_labels"])
 
 
 def output_sizes(splits: DataFrame, confound: DataFrame) -> DataFrame:

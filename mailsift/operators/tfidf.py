@@ -7,64 +7,66 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.fixed_values import MAX_VOCABULARY
 from mailsift.functions.terms import pair_term, with_pairs, with_terms, with_tokens
-from mailsift.workspace import local_table
+from mailsift.workspace import local_table, sized
 
 
-# Frequent tokens kept on the driver while the vocabulary is chosen.
-TOKEN_LIMIT = 50_000
+def _counted(df: DataFrame, terms: Column) -> DataFrame:
+    """(term, tf, df) of an array of terms per row: in sorted order, a term's first place stands for its text."""
+    # Outer generators here and below: for inner ones Spark adds a filter on the array's size and
+    # computes the array a second time for it.
+    ordered = df.select(F.array_sort(terms).alias("_terms"))
+    marked = F.transform("_terms", lambda t, i: F.struct(
+        t.alias("term"), ((i == 0) | (t != F.get(F.col("_terms"), i - 1))).cast("int").alias("first")))
+    found = ordered.select(F.inline_outer(marked)).filter(F.col("term").isNotNull())
+    return found.groupBy("term").agg(F.count("*").alias("tf"), F.sum("first").alias("df"))
 
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    # Outer generators here and below: for inner ones Spark adds a filter on the array's size and
-    # computes the array a second time for it.
-    found = with_tokens(df.select(text), text).select(F.explode_outer("_tokens").alias("term"))
-    return found.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("tf"))
+    return _counted(with_tokens(df.select(text), text), F.col("_tokens"))
 
 
 def bigram_counts(df: DataFrame, text: str = "text", tokens: DataFrame | None = None) -> DataFrame:
-    """Corpus frequency of bigrams, on request only of those made of the given tokens."""
-    pairs = with_pairs(with_tokens(df.select(text), text)).select(F.inline_outer("pairs")).filter(
-        F.col("second").isNotNull()
-    )
-    if tokens is not None:
-        pairs = pairs.join(tokens.select(F.col("term").alias("first")), "first", "left_semi")
-        pairs = pairs.join(tokens.select(F.col("term").alias("second")), "second", "left_semi")
-    return pairs.groupBy(pair_term(F.col("first"), F.col("second")).alias("term")).agg(F.count("*").alias("tf"))
+    """Frequencies of bigrams, on request only of those made of the given tokens.
+
+    A pair that is dropped is dropped in all texts, so what is left is counted in full.
+    """
+    if tokens is None:
+        paired = with_pairs(with_tokens(df.select(text), text))
+        return _counted(paired, F.transform("pairs", lambda p: pair_term(p.first, p.second)))
+    # A text's pairs are numbered by a place of their own, so its first of a kind can be told after the filter.
+    paired = with_pairs(with_tokens(df.select(text), text)).select(F.array_sort("pairs").alias("_pairs"))
+    marked = F.transform("_pairs", lambda p, i: F.struct(
+        p.first.alias("first"), p.second.alias("second"),
+        ((i == 0) | (p != F.get(F.col("_pairs"), i - 1))).cast("int").alias("new")))
+    pairs = paired.select(F.inline_outer(marked)).filter(F.col("second").isNotNull())
+    pairs = pairs.join(tokens.select(F.col("term").alias("first")), "first", "left_semi")
+    pairs = pairs.join(tokens.select(F.col("term").alias("second")), "second", "left_semi")
+    return pairs.groupBy("first", "second").agg(F.count("*").alias("tf"), F.sum("new").alias("df")).select(
+        pair_term(F.col("first"), F.col("second")).alias("term"), "tf", "df")
 
 
 def frequent_terms(df: DataFrame, text: str, max_terms: int) -> DataFrame:
-    """(term, tf) of the ``max_terms`` most frequent tokens and bigrams, ties by term. Exact.
+    """(term, tf, df) of the ``max_terms`` most frequent tokens and bigrams, ties by term. Exact.
 
     A bigram is never more frequent than its tokens. So once the tokens are counted, only bigrams
     of two tokens that reach the frequency of the ``max_terms``-th token can still get in, and the
-    mass of rare bigrams is dropped where the text is read instead of being shuffled. Where too
-    many tokens reach that frequency, all bigrams are counted.
+    mass of rare bigrams is dropped where the text is read instead of being shuffled. That frequency
+    is read off a histogram of the frequencies.
     """
-    rows = token_counts(df, text).orderBy(F.desc("tf"), "term").limit(TOKEN_LIMIT + 1).collect()
-    floor = rows[max_terms - 1].tf if len(rows) >= max_terms else 0
-    frequent = [r for r in rows if r.tf >= floor]
-    if len(frequent) <= TOKEN_LIMIT:
-        table = local_table(df.sparkSession, frequent, "term string, tf bigint")
-        counts = table.unionByName(bigram_counts(df, text, table))
-    else:
-        counts = token_counts(df, text).unionByName(bigram_counts(df, text))
+    tokens = sized(token_counts(df, text), "tokens")
+    down = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = tokens.groupBy("tf").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(down))
+    floor = reached.filter(F.col("upto") >= max_terms).agg(F.coalesce(F.max("tf"), F.lit(0)).alias("floor")).first().floor
+    frequent = sized(tokens.filter(F.col("tf") >= floor), "frequent-tokens")
+    counts = frequent.unionByName(bigram_counts(df, text, frequent))
     return counts.orderBy(F.desc("tf"), "term").limit(max_terms)
 
 
-def document_frequencies(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """(feature_idx, df): in how many texts each term occurs."""
-    counts = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="term_counts")
-    exploded = counts.transform(with_terms(df.select(text), text)).select(
-        F.explode_outer(F.unwrap_udt(F.col("term_counts")).getField("indices")).alias("feature_idx")
-    )
-    return exploded.filter(F.col("feature_idx").isNotNull()).groupBy("feature_idx").agg(F.count("*").alias("df"))
-
-
 def idf(documents: Column | int, frequency: Column) -> Column:
     """Smoothed: ln((1 + n) / (1 + df)) + 1."""
     documents = documents if isinstance(documents, Column) else F.lit(documents)
@@ -77,11 +79,9 @@ def vocabulary(df: DataFrame, text: str = "text", max_terms: int = MAX_VOCABULAR
     Holds at most ``max_terms`` rows, which also pass through the driver.
     """
     kept = sorted(frequent_terms(df, text, max_terms).collect(), key=lambda r: r.term)
-    rows = [(r.term, i, r.tf) for i, r in enumerate(kept)]
-    numbered = local_table(df.sparkSession, rows, "term string, feature_idx int, tf bigint")
-    frequencies = document_frequencies(df, [r.term for r in kept], text)
-    weight = idf(df.count(), F.col("df")).alias("idf")
-    return numbered.join(frequencies, "feature_idx").select("term", "feature_idx", "tf", "df", weight)
+    rows = [(r.term, i, r.tf, r.df) for i, r in enumerate(kept)]
+    numbered = local_table(df.sparkSession, rows, "term string, feature_idx int, tf bigint, df bigint")
+    return numbered.withColumn("idf", idf(df.count(), F.col("df")))
 
 
 @dataclass

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,9 +28,20 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, **options)
     """
     settings = {**_CSV, **options}
     rows = spark.read.options(**settings).schema(schema).csv(path)
-    # A file stays in one task and its rows in order, so the running id sorts like the file.
-    position = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
-    return rows.withColumn("message_no", F.concat_ws("#", F.col("_metadata.file_path"), position))
+    rows = rows.withColumn("message_no", F.col("_metadata.file_path"))
+    return rows.mapInArrow(_numbered_in_file, rows.schema)
+
+
+def _numbered_in_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append each row's number within its file to the file's name; a file's rows are in one task and in order."""
+    file, number = None, 0
+    for batch in batches:
+        at = batch.schema.get_field_index("message_no")
+        names = []
+        for name in batch.column(at).to_pylist():
+            file, number = (file, number + 1) if name == file else (name, 0)
+            names.append(f"{name}#{number:012d}")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))
 
 
 def read_csv_folder(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -43,28 +57,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-# Inputs up to this size are spread over the cores; larger ones are read as they are stored.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-SPREAD_BYTES = 512 * 1024
-
-
-def read_parquet(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """A Parquet table; a small one is redistributed by its keys so that all cores get work.
-
-    Parquet is only split between row groups, so a small file of one row group would be one task.
-    The size is checked first: large tables have many row groups and are never shuffled here.
-    """
-    table = spark.read.parquet(path)
-    size = path_bytes(spark, path)
-    tasks = min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
-    return table.repartition(tasks, *keys) if 1 < tasks and size <= SMALL_INPUT_BYTES else table
-
-
-def path_bytes(spark: SparkSession, path: str) -> int:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
-
-
 def label_column(df: DataFrame) -> str | None:
     """The first known label column a table has."""
     return next((name for name in V.LABEL_COLUMN_CANDIDATES if name in df.columns), None)

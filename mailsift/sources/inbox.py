@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsift.sources.files import read_parquet
 from mailsift.sources.merge import (
     conform_general_corpus,
     conform_mailbox,
@@ -87,17 +86,15 @@ SELECT CAST(doc_id AS BIGINT) AS message_no,
 FROM documents WHERE doc_id % 5 = 0"""
 
 
-TABLE_KEYS = {
-    "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "benchmark": ["item_id"],
-}
+TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet", TABLE_KEYS[name])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    tables = {name: read_table(spark, sf_dir, name) for name in TABLE_KEYS}
+    tables = {name: read_table(spark, sf_dir, name) for name in TABLES}
 
     def run(statement: str) -> DataFrame:
         used = {name: df for name, df in tables.items() if f"FROM {name}" in statement}

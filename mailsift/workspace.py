@@ -10,27 +10,28 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# A side is turned into a local table (which Spark then broadcasts) only up to this many rows.
-LOCAL_ROW_LIMIT = 20_000
-
-
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set (tests)."""
+    """The shared folder the cluster names. Where none is set, a local session (tests) gets its own."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    application = spark.sparkContext.applicationId
-    if application not in _own_dirs:
-        _own_dirs[application] = tempfile.mkdtemp(prefix="mailsift-")
-    return _own_dirs[application]
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="mailsift-")
+    return _own_dirs[context.applicationId]
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared one for one run of one job."""
-    return f"{shared_dir(spark)}/mailsift/{purpose}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared one for one run of one job; it goes when the session ends."""
+    path = f"{shared_dir(spark)}/mailsift/{purpose}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -54,11 +55,6 @@ def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def localise(df: DataFrame, limit: int = LOCAL_ROW_LIMIT) -> DataFrame:
-    """Turn a small result into a local table, so joins with it need no shuffle.
-
-    The size is checked by fetching at most ``limit + 1`` rows. A larger result is returned
-    unchanged and Spark joins it by shuffling, with adaptive skew handling.
-    """
-    rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else local_table(df.sparkSession, rows, df.schema)
+def sized(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that is expected to be small; Spark then knows its bytes and broadcasts it if they are few."""
+    return materialise(df, f"{run_dir(df.sparkSession, purpose)}/table")

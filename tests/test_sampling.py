@@ -79,6 +79,29 @@ def test_confound_slice_is_disjoint_and_balanced(mails):
     assert len(report) == 4 and all(r.ok for r in report)
 
 
+def test_short_confound_slice_is_an_error(spark):
+    rows = [(i, "kaggle_chakraborty", "phishing" if i < 30 else "legitimate", True) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, source_dataset string, label string, included_in_training boolean")
+    nothing = df.limit(0)
+    assert S.confound_slice(df, nothing, 10).count() == 20
+    for short in (df, df.filter("label = 'phishing'")):
+        with pytest.raises(Exception, match="too few rows left over"):
+            S.confound_slice(short, nothing, 15).collect()
+
+
+def test_checks_find_what_is_wrong(spark):
+    schema = "row_id long, source_dataset string, label string, included_in_training boolean, split string"
+    splits = spark.createDataFrame([(1, "s", "a", True, "train"), (1, "s", "a", True, "val"), (2, "s", "a", None, "test")], schema)
+    sample = spark.createDataFrame([(1, "a"), (3, "b"), (4, "b")], "row_id long, label string")
+    confound = spark.createDataFrame([(3, "s", "b", False, None)], schema)
+    got = {r.check: r.observed for r in S.split_integrity(splits, sample, confound).collect()}
+    assert got == {"sample_confound_overlap": 1, "split_overlap": 1, "sample_rows_without_split": 2, "not_eligible": 2}
+    texts = spark.createDataFrame([(1, "a"), (1, "a"), (3, "x"), (9, "b")], "row_id long, label string")
+    got = {r.check: r.observed for r in S.feature_alignment(sample, texts, sample.select("row_id").filter("row_id < 4")).collect()}
+    assert got == {"mails_without_text_features": 1, "text_features_without_mail": 2, "mails_without_url_features": 1,
+                   "url_features_without_mail": 0, "changed_labels": 1}
+
+
 def test_draws_do_not_depend_on_partitioning(mails):
     _, df = mails
     ids = lambda d: {r.row_id for r in S.stratified_sample(d, S.quota_by_share(0.3)).collect()}

@@ -1,10 +1,12 @@
 import base64
+import gzip
 import json
+import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
+from mailsift.operators import sampling
 from mailsift.sources import files, merge, mime
 from mailsift.sources.json_tree import json_tree_text
 
@@ -147,9 +149,46 @@ def test_report_round_trip(spark, tmp_path):
     assert files.read_report(spark, str(tmp_path / "r"), report.schema).collect() == report.collect()
 
 
-@pytest.mark.parametrize("rows", [3])
-def test_small_parquet_is_spread_and_whole(spark, tmp_path, rows):
-    spark.range(200_000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(str(tmp_path / "p"))
-    df = files.read_parquet(spark, str(tmp_path / "p"), ["id"])
-    assert df.count() == 200_000
-    assert "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()
+def with_split_size(spark, size, work):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if size < 10_000 else "4194304")
+    try:
+        return work()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_ids_and_splits_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    """Ids of mbox messages and CSV rows are places in files, so draws repeat under other read settings."""
+    (tmp_path / "box").mkdir()
+    for name in "ab":
+        (tmp_path / "box" / name).write_text("".join(
+            f"From s@x Thu Jan  1 00:00:00 2015\nSubject: m{i}\n\nbody {name} {i} {'x' * (i % 97)}\n\n" for i in range(300)))
+    for k in range(5):
+        (tmp_path / f"batch{k}.csv").write_text("email_type,subcategory,subject,body,source\n" + "".join(
+            f'Safe Email,memo,s{i},"b{k}\n{i}",x\n' for i in range(30)))
+
+    def read():
+        merged = merge.merge_sources(
+            merge.conform_mailbox(mime.read_mbox(spark, str(tmp_path / "box"))),
+            merge.conform_synthetic(files.read_csv_folder(spark, f"{tmp_path}/batch*.csv", files.SYNTHETIC_SCHEMA)))
+        splits = sampling.train_val_test(merged)
+        return {(r.row_id, r.text, r.split) for r in splits.collect()}
+
+    seen = [with_split_size(spark, size, read) for size in (3000, 4096, 128 << 20)]
+    assert len(seen[0]) == 750 and seen[0] == seen[1] == seen[2]
+    assert len({row_id for row_id, _, _ in seen[0]}) == 750
+
+
+def test_unreadable_mail_files_are_named(spark, tmp_path):
+    (tmp_path / "good").write_bytes(MBOX)
+    packed = gzip.compress(b"".join(b"From a Thu\nSubject: %d\n\n%s\n\n" % (i, random.Random(i).randbytes(200).hex().encode())
+                                    for i in range(2000)))
+    (tmp_path / "whole.gz").write_bytes(packed)
+    (tmp_path / "cut.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "no.gz").write_bytes(b"this is no archive")
+    states = {r.source_file.rsplit("/", 1)[1]: r for r in mime.file_states(spark, str(tmp_path)).collect()}
+    assert {name: r.state for name, r in states.items()} == {
+        "good": "whole", "whole.gz": "whole", "cut.gz": "cut", "no.gz": "unreadable"}
+    assert states["good"].bytes_read == len(MBOX)

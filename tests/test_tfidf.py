@@ -45,12 +45,12 @@ def test_vocabulary_against_brute_force(spark, corpus, max_terms):
         assert r.idf == pytest.approx(idf[r.term])
 
 
-def test_unpruned_way_gives_the_same(spark, corpus, monkeypatch):
+def test_pruned_and_whole_bigram_counts_agree(spark, corpus):
     df = spark.createDataFrame([(t,) for t in corpus], "text string")
-    rows = lambda: {(r.term, r.tf) for r in T.frequent_terms(df, "text", 60).collect()}
-    pruned = rows()
-    monkeypatch.setattr(T, "TOKEN_LIMIT", 10)
-    assert rows() == pruned
+    tokens = T.token_counts(df).filter("tf >= 30")
+    kept = {r.term for r in tokens.collect()}
+    pruned = {tuple(r) for r in T.bigram_counts(df, tokens=tokens).collect()}
+    assert pruned == {tuple(r) for r in T.bigram_counts(df).collect() if set(r.term.split(" ")) <= kept}
 
 
 def test_weights_against_brute_force(spark, corpus, tmp_path):
