@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -26,6 +27,16 @@ _RUN_OF_SPACE = regex.compile(r"\s[^\S\n]|\s\n|[^\S ] ")
 _LATIN = re.compile("[\x21-\x7e\xa1-\xff]+")
 
 
+def _lowered(text: str) -> str:
+    """Lower case where that is a matter of single characters (Latin-1), so more chunks are equal."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordPieces:
     """Ids of chunks by a tokenizers file of the word kind.
 
@@ -49,17 +60,16 @@ class WordPieces:
         self._shown = {b: 256 + i for i, b in enumerate(hidden)}
         self._known: dict[str, list[int]] = {}
 
-    def _of_chunk(self, chunk: str) -> list[int]:
-        if chunk.isascii() and chunk.isalpha():
-            return [token.id for token in self._model.tokenize(chunk.lower())]
+    def _of_chunk(self, chunk: str) -> list:
+        """Tokens of a chunk that is not a word of ASCII letters."""
         if not _LATIN.fullmatch(chunk):
             return self._whole.encode(chunk, add_special_tokens=False).ids
-        ids: list[int] = []
+        tokenize, ids = self._model.tokenize, []
         for piece in self._split.findall(chunk.lower()):
             known = self._known.get(piece)
             if known is None:
                 shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._shown)
-                known = [token.id for token in self._model.tokenize(shown)]
+                known = [token.id for token in tokenize(shown)]
                 if len(piece) < 4:
                     self._known[piece] = known
             ids += known
@@ -67,9 +77,12 @@ class WordPieces:
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, None]:
         """Ids of all chunks end to end, and the number of ids of each chunk."""
-        found = [self._of_chunk(c) for c in chunks]
+        tokenize = self._model.tokenize
+        found = [
+            [t.id for t in tokenize(c.lower())] if c.isascii() and c.isalpha() else self._of_chunk(c) for c in chunks
+        ]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for one in found for i in one), np.uint32, int(counts.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
         return ids, counts, None
 
 
@@ -91,7 +104,7 @@ class BytePieces:
         encode = self._coding.encode_ordinary
         found = [encode(c) for c in chunks]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for one in found for i in one), np.int64, int(counts.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
         end = np.cumsum(self._bytes[ids])
         # Characters of the chunks laid end to end, by byte.
         char = np.cumsum((np.frombuffer("".join(chunks).encode(), np.uint8) & 0xC0) != 0x80) - 1
@@ -100,6 +113,19 @@ class BytePieces:
         return ids.astype(np.uint32), counts, spans - np.repeat(np.cumsum(wide) - wide, counts)[:, None]
 
 
+class _Numbers(dict):
+    """Numbers of chunks; a new chunk gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class ChunkEncoder:
     """``kind`` is "word" (white space is dropped) or "byte" (a space belongs to the word after it)."""
 
@@ -109,15 +135,17 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._number: dict[str, int] = {}
+        self._number = _Numbers()
         self._count = np.zeros(1 << 16, np.int64)
         self._first = np.zeros(1 << 16, np.int64)
         self._ids = np.zeros(1 << 18, np.uint32)
         self._spans = np.zeros((1 << 18, 2), np.int32) if self._kind == "byte" else None
         self._used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        while len(self._number) + len(chunks) > len(self._count):
+    def _learn(self) -> None:
+        """Encode the chunks that were numbered since the last call."""
+        chunks, self._number.new = self._number.new, []
+        while len(self._number) > len(self._count):
             self._count = np.concatenate([self._count, np.zeros_like(self._count)])
             self._first = np.concatenate([self._first, np.zeros_like(self._first)])
         ids, counts, spans = self._pieces(chunks)
@@ -129,15 +157,14 @@ class ChunkEncoder:
         self._ids[self._used : upto] = ids
         if spans is not None:
             self._spans[self._used : upto] = spans
-        first = len(self._number)
-        self._number.update(zip(chunks, range(first, first + len(chunks))))
+        first = len(self._number) - len(chunks)
         self._count[first : first + len(chunks)] = counts
         self._first[first : first + len(chunks)] = self._used + np.cumsum(counts) - counts
         self._used = upto
 
     def _chunks(self, text: str) -> list[str]:
         if self._kind == "word":
-            return [c for c in _SPACE.split(text) if c] if _OTHER_SPACE.search(text) else text.split()
+            return [c for c in _SPACE.split(text) if c] if _OTHER_SPACE.search(text) else _lowered(text).split()
         if _RUN_OF_SPACE.search(text):
             return [c for c in _BEFORE_WORD.split(text) if c]
         chunks = text.split(" ")
@@ -151,29 +178,24 @@ class ChunkEncoder:
         Spans are the characters of the text that a token covers: its first, and the one after its last.
         """
         split = [self._chunks(t) for t in texts]
-        flat = [c for chunks in split for c in chunks]
-        get = self._number.get
-        numbers = [get(c, -1) for c in flat]
-        if -1 in numbers:
-            new = list({c: None for c, n in zip(flat, numbers) if n < 0})
-            if len(self._number) + len(new) > self._kept and self._number:
-                self._forget()
-                new = list(dict.fromkeys(flat))
-            self._learn(new)
-            numbers = list(map(self._number.__getitem__, flat))
-        number = np.array(numbers, np.int64)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        if len(self._number) + int(sizes.sum()) // 4 > self._kept:
+            self._forget()
+        number = np.fromiter(
+            map(self._number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self._number.new:
+            self._learn()
         counts = self._count[number]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         where = np.arange(total) + np.repeat(self._first[number] - (ends - counts), counts)
         ids = self._ids[where]
-        sizes = np.array([len(c) for c in split], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
         upto = np.concatenate([[0], ends])
         lengths = upto[at[1:]] - upto[at[:-1]]
         if self._spans is None:
             return ids, lengths
-        wide = np.array([len(c) for c in flat], np.int64)
+        wide = np.fromiter(map(len, chain.from_iterable(split)), np.int64, len(number))
         before = np.cumsum(wide) - wide
         held = sizes > 0
         starts = before - np.repeat(before[at[:-1][held]], sizes[held])

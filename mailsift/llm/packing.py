@@ -11,7 +11,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +27,13 @@ GROUPS = 1024
 def binary_lengths(tokens: int, limit: int) -> list[int]:
     """Pieces of a document: as many of the limit as fit, then the binary digits of the rest."""
     rest = tokens % limit
-    return [limit] * (tokens // limit) + [1 << b for b in range(limit.bit_length() - 1, -1, -1) if rest >> b & 1]
+    return [limit] * (tokens // limit) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def piece_table(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int | None = END) -> DataFrame:
-    """``doc_id, start, length, ids, ids_crc32, doc_tokens``: the pieces with their token ids."""
+def piece_table(
+    docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int | None = END, with_ids: bool = True
+) -> DataFrame:
+    """``doc_id, start, length, ids, ids_crc32, doc_tokens``: the pieces with their token ids, or null for these."""
     if limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
 
@@ -42,25 +43,26 @@ def piece_table(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int |
             for part in runs(batch, "text"):
                 texts = part.column("text").fill_null("").to_pylist()
                 ids, lengths = encoder.encode(texts)
-                ids = ids.astype("<u4")
-                rows: list[tuple] = []
+                raw, last = memoryview(ids.astype("<u4").tobytes()), b"" if end is None else end.to_bytes(4, "little")
+                docs_, starts, sizes, pieces, crcs, wholes = [], [], [], [], [], []
                 at = 0
-                for doc, length in zip(part.column("doc_id").to_pylist(), lengths.tolist()):
-                    own = ids[at : at + length]
+                for doc, length in zip(part.column("doc_id").to_pylist(), (4 * lengths).tolist()):
+                    own = bytes(raw[at : at + length]) + last
                     at += length
-                    if end is not None:
-                        own = np.append(own, np.uint32(end))
-                    raw, start = own.astype("<u4").tobytes(), 0
-                    for size in binary_lengths(len(own), limit):
-                        piece = raw[4 * start : 4 * (start + size)]
-                        rows.append((doc, start, size, piece, zlib.crc32(piece), len(own)))
+                    start, tokens = 0, len(own) // 4
+                    for size in binary_lengths(tokens, limit):
+                        piece = own[4 * start : 4 * (start + size)]
+                        docs_.append(doc)
+                        starts.append(start)
+                        sizes.append(size)
+                        crcs.append(zlib.crc32(piece))
+                        wholes.append(tokens)
+                        pieces.append(piece if with_ids else None)
                         start += size
-                if rows:
-                    doc, start, size, piece, crc, whole = zip(*rows)
-                    yield pa.record_batch(
-                        [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
-                         pa.array(piece, pa.binary()), pa.array(crc, pa.int64()), pa.array(whole, pa.int64())],
-                        ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+                yield pa.record_batch(
+                    [pa.array(docs_, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                     pa.array(pieces, pa.binary()), pa.array(crcs, pa.int64()), pa.array(wholes, pa.int64())],
+                    ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
@@ -93,4 +95,4 @@ def packed(docs: DataFrame, work: Workspace, tokenizer: str, limit: int = LIMIT,
     token alone (no piece at all if ``end`` is None); a null doc_id stays null. A long text gives many
     pieces. Other columns are not read; an empty table gives an empty one.
     """
-    return numbered(piece_table(docs, tokenizer, limit, end).drop("ids"), work)
+    return numbered(piece_table(docs, tokenizer, limit, end, with_ids=False).drop("ids"), work)
