@@ -2,22 +2,29 @@
 
 Every step from a tree's root to a leaf changes the tree's value; the change is credited to the
 feature the step tests. The credits of a leaf are the same for every mail that reaches it, so
-they are tabulated once per model, and explaining mails is a join on (model, tree, leaf)
-followed by a sum. Credits plus the base value give the model's score exactly: a probability for
-the forest, half log-odds for boosting.
+they are tabulated once and stored with the model. All leaves of a mail are in its own row: their
+credits are looked up and added there, so nothing is shuffled and ids play no part. Credits plus the
+base value give the model's score exactly: a probability for the forest, half log-odds for boosting.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
+import pyarrow.compute as arrow
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.fixed_values import TOP_EXPLANATIONS
 from mailsift.operators.models import Detector
+from mailsift.workspace import materialise, run_dir
 
-# The credit table grows with the nodes of the models, which every executor holds anyway.
-BROADCAST_NODE_LIMIT = 2_000_000
+# Credits of up to this many bytes are sent to every worker; larger tables are joined.
+CREDIT_BYTES = 256 * 1024 * 1024
+_BYTES_PER_CREDIT = 12
+ROWS_AT_ONCE = 256
 
 _CREDITS = "model string, tree int, leaf int, base double, credits array<struct<feature_idx: int, value: double>>"
 
@@ -74,21 +81,137 @@ def leaf_credits(detector: Detector, spark) -> DataFrame:
     return _tree_nodes(detector, spark).groupBy("model", "tree").applyInPandas(_leaf_credits, _CREDITS)
 
 
-def contributions(scored: DataFrame, detector: Detector, credits: DataFrame) -> DataFrame:
-    """(row_id, model, feature_idx, contribution) from a table with ``<model>_leaves`` columns."""
+_ENTRY = "struct<rank: int, feature: string, contribution: double, direction: string, bar_width: double>"
+EXPLAINED = f"array<struct<model: string, base: double, total: double, top: array<{_ENTRY}>>>"
+
+
+def save_credits(detector: Detector, spark) -> None:
+    leaf_credits(detector, spark).write.mode("overwrite").parquet(f"{detector.path}/credits")
+
+
+def stored_credits(detector: Detector, spark) -> DataFrame:
+    return spark.read.parquet(f"{detector.path}/credits")
+
+
+@dataclass
+class LeafTable:
+    """Credits of one model: leaf ``first[tree] + leaf`` has the entries ``at[i]`` to ``at[i + 1]``."""
+
+    base: float
+    first: np.ndarray
+    at: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+
+
+def _leaf_tables(credits: DataFrame) -> dict[str, LeafTable]:
+    feature, value = F.transform("credits", lambda c: c.feature_idx), F.transform("credits", lambda c: c.value)
+    rows = credits.select("model", "tree", "leaf", "base", feature.alias("f"), value.alias("v")).toArrow()
+    tables = {}
+    for name in rows.column("model").unique().to_pylist():
+        own = rows.filter(arrow.equal(rows.column("model"), name)).sort_by([("tree", "ascending"), ("leaf", "ascending")])
+        own = own.combine_chunks()
+        tree, leaf = (np.asarray(own.column(c)) for c in ("tree", "leaf"))
+        sizes = np.asarray(arrow.list_value_length(own.column("f").combine_chunks()))
+        tables[name] = LeafTable(
+            float(np.asarray(own.column("base"))[leaf == 0].sum()), np.searchsorted(tree, np.arange(tree.max() + 1)),
+            np.concatenate([[0], np.cumsum(sizes)]), np.asarray(arrow.list_flatten(own.column("f").combine_chunks())),
+            np.asarray(arrow.list_flatten(own.column("v").combine_chunks())),
+        )
+    return tables
+
+
+def _strongest(touched: np.ndarray, sums: np.ndarray, names: list[str], top: int) -> list[dict]:
+    """The strongest contributions in order, with direction and relative bar width."""
+    found = np.flatnonzero(touched)
+    found = found[np.lexsort((found, -np.abs(sums[found])))[:top]]
+    widest = float(np.abs(sums[found[0]])) if len(found) else 0.0
+    return [
+        {"rank": k + 1, "feature": names[f], "contribution": float(sums[f]),
+         "direction": "phishing" if sums[f] > 0 else "legitimate",
+         "bar_width": float(abs(sums[f])) / (widest or 1.0) * 100}
+        for k, f in enumerate(found.tolist())
+    ]
+
+
+def _summed(table: LeafTable, leaves: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Credits of each row added by feature, and which features the rows' paths test."""
+    leaf = (table.first[None, :] + leaves).ravel()
+    sizes = table.at[leaf + 1] - table.at[leaf]
+    ends = np.cumsum(sizes)
+    entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(table.at[leaf] - (ends - sizes), sizes)
+    cell = np.repeat(np.arange(len(leaves)).repeat(leaves.shape[1]), sizes) * features + table.feature[entry]
+    shape = (len(leaves), features)
+    count = len(leaves) * features
+    return (np.bincount(cell, table.value[entry], count).reshape(shape), np.bincount(cell, minlength=count).reshape(shape))
+
+
+def with_explanations(scored: DataFrame, detector: Detector, top: int = TOP_EXPLANATIONS) -> DataFrame:
+    """Append ``explained``: per model the base value, the sum of all credits and the strongest contributions.
+
+    ``scored`` has the leaves a mail reaches as ``<model>_leaves``.
+    """
+    spark = scored.sparkSession
+    credits = stored_credits(detector, spark)
+    entries = credits.agg(F.coalesce(F.sum(F.size("credits")), F.lit(0)).alias("n")).first().n
+    if entries * _BYTES_PER_CREDIT > CREDIT_BYTES:
+        return _joined_explanations(scored, detector, credits, top)
+    names, models = detector.features.names, list(detector.base)
+    shared = spark.sparkContext.broadcast(_leaf_tables(credits))
+
+    @F.pandas_udf(EXPLAINED)
+    def explain(rows: pd.DataFrame) -> pd.Series:
+        out: list[list[dict]] = [[] for _ in range(len(rows))]
+        for start in range(0, len(rows), ROWS_AT_ONCE):
+            part = rows.iloc[start : start + ROWS_AT_ONCE]
+            for model in models:
+                table = shared.value[model]
+                sums, touched = _summed(table, np.stack(part[f"{model}_leaves"].to_list()), len(names))
+                for i in range(len(part)):
+                    out[start + i].append({
+                        "model": model, "base": table.base, "total": float(sums[i].sum()),
+                        "top": _strongest(touched[i], sums[i], names, top)})
+        return pd.Series(out)
+
+    return scored.withColumn("explained", explain(F.struct(*[f"{m}_leaves" for m in models])))
+
+
+def _joined_explanations(scored: DataFrame, detector: Detector, credits: DataFrame, top: int) -> DataFrame:
+    """The same by a join on (model, tree, leaf), for credit tables too large to send around.
+
+    Rows are written with a number of their own, so rows that repeat an id, or have none, stay apart.
+    """
+    spark = scored.sparkSession
+    numbered = materialise(
+        scored.withColumn("_row", F.monotonically_increasing_id()), f"{run_dir(spark, 'explained')}/scored")
+
     def reached_leaves(name: str) -> Column:
         return F.transform(f"{name}_leaves", lambda leaf, tree: F.struct(
             F.lit(name).alias("model"), tree.alias("tree"), leaf.alias("leaf")))
 
-    reached = scored.select("row_id", F.inline_outer(F.concat(*map(reached_leaves, detector.base))))
-    nodes = sum(model.totalNumNodes for model in detector.base.values())
-    table = F.broadcast(credits) if nodes <= BROADCAST_NODE_LIMIT else credits
-    return (
-        reached.join(table.select("model", "tree", "leaf", "credits"), ["model", "tree", "leaf"])
-        .select("row_id", "model", F.inline("credits"))
-        .groupBy("row_id", "model", "feature_idx")
-        .agg(F.sum("value").alias("contribution"))
+    reached = numbered.select("_row", F.inline_outer(F.concat(*map(reached_leaves, detector.base))))
+    sums = (
+        reached.join(credits.select("model", "tree", "leaf", "credits"), ["model", "tree", "leaf"])
+        .select("_row", "model", F.inline_outer("credits")).groupBy("_row", "model", "feature_idx")
+        .agg(F.sum("value").alias("contribution")).join(detector.features.name_table(spark), "feature_idx", "left")
     )
+    size = F.abs("contribution")
+    own = Window.partitionBy("_row", "model")
+    sums = sums.withColumns({
+        "rank": F.row_number().over(own.orderBy(F.desc(size), "feature_idx")), "largest": F.max(size).over(own)})
+    entry = F.struct(
+        "rank", "feature", "contribution",
+        F.when(F.col("contribution") > 0, "phishing").otherwise("legitimate").alias("direction"),
+        (size / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0) * 100).alias("bar_width"))
+    shown = F.when((F.col("rank") <= top) & F.col("feature").isNotNull(), entry)
+    per_model = sums.groupBy("_row", "model").agg(
+        F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("total"), F.array_sort(F.collect_list(shown)).alias("top"))
+    place = F.array_position(F.array(*map(F.lit, detector.base)), F.col("model"))
+    per_model = per_model.join(F.broadcast(base_values(credits)), "model").select(
+        "_row", F.struct(place.alias("p"), "model", F.col("base_value").alias("base"), "total", "top").alias("m"))
+    per_row = per_model.groupBy("_row").agg(F.array_sort(F.collect_list("m")).alias("ms")).select(
+        "_row", F.transform("ms", lambda m: F.struct(m.model, m.base, m.total, m.top)).cast(EXPLAINED).alias("explained"))
+    return numbered.join(per_row, "_row", "left").drop("_row")
 
 
 def base_values(credits: DataFrame) -> DataFrame:
@@ -96,33 +219,14 @@ def base_values(credits: DataFrame) -> DataFrame:
     return credits.filter("leaf = 0").groupBy("model").agg(F.sum("base").alias("base_value"))
 
 
-def top_contributions(table: DataFrame, names: DataFrame, top: int = TOP_EXPLANATIONS) -> DataFrame:
-    """The strongest contributions per mail and model, with direction and relative bar width.
-
-    A group is one mail and one model and holds at most the features of the model.
-    """
-    size = F.abs("contribution")
-    own = Window.partitionBy("row_id", "model")
-    ranked = table.withColumns(
-        {
-            "rank": F.row_number().over(own.orderBy(F.desc(size), "feature_idx")),
-            "largest": F.max(size).over(own),
-        }
-    ).filter(F.col("rank") <= top)
-    width = F.col("largest")
-    return ranked.join(names.select("feature_idx", "feature"), "feature_idx").select(
-        "row_id", "model", "rank", "feature", "contribution",
-        F.when(F.col("contribution") > 0, "phishing").otherwise("legitimate").alias("direction"),
-        (size / F.when(width > 0, width).otherwise(1.0) * 100).alias("bar_width"),
-    )
+def top_contributions(explained: DataFrame) -> DataFrame:
+    """(row_id, model, rank, feature, contribution, direction, bar_width), row by row."""
+    per_model = explained.select("row_id", F.inline("explained"))
+    return per_model.select("row_id", "model", F.inline("top"))
 
 
-def explanation_maps(top: DataFrame) -> DataFrame:
-    """(row_id, explanation): model -> its top contributions in order; at most ten entries each."""
-    entry = F.struct("rank", "feature", "contribution", "direction")
-    per_model = top.groupBy("row_id", "model").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    shown = F.transform("entries", lambda e: F.struct(
-        e.feature.alias("feature"), e.contribution.alias("contribution"), e.direction.alias("direction")))
-    return per_model.groupBy("row_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", shown.alias("top"))))).alias("explanation")
-    )
+def explanation_map() -> Column:
+    """Model -> its top contributions in order, from ``explained``."""
+    return F.map_from_entries(F.transform("explained", lambda m: F.struct(m.model, F.transform(
+        m.top, lambda e: F.struct(e.feature.alias("feature"), e.contribution.alias("contribution"),
+                                  e.direction.alias("direction"))))))

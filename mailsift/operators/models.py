@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -65,10 +67,22 @@ def labelled(features: DataFrame) -> DataFrame:
     )
 
 
+# Rows of a training task, so that the many short stages of a boosting run have no more tasks than they need.
+TRAINING_TASK_ROWS = 50_000
+
+
 def fit_base_models(train: DataFrame, options: TrainingOptions) -> dict:
-    ensure_checkpoint_dir(train.sparkSession)
+    """Fit all base models. They do not depend on each other and are fitted side by side."""
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     rows = train.select("features", "y")
-    return {name: estimator.fit(rows) for name, estimator in estimators(options).items()}
+    rows = rows.coalesce(max(1, -(-rows.count() // TRAINING_TASK_ROWS))).persist()
+    kinds = estimators(options)
+    fit = inheritable_thread_target(spark)(lambda name: kinds[name].fit(rows))
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        fitted = dict(zip(kinds, pool.map(fit, kinds)))
+    rows.unpersist()
+    return fitted
 
 
 def with_base_scores(features: DataFrame, models: dict, leaves: bool = False) -> DataFrame:
@@ -127,6 +141,9 @@ class Detector:
         if self.meta is not None:
             self.meta.write().overwrite().save(f"{path}/meta")
         self.path = path
+        from mailsift.operators.explain import save_credits
+
+        save_credits(self, spark)
         return self
 
     @classmethod

@@ -147,12 +147,12 @@ tagged AS (
 # --- sampling ------------------------------------------------------------------------------------
 
 
-def sampled(rows: str) -> str:
+def sampled(rows: str, share: float = SAMPLE_SHARE) -> str:
     return f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source_dataset, label ORDER BY md5('42-' || row_id), row_id) AS draw,
          count(*) OVER (PARTITION BY source_dataset, label) AS stratum_rows FROM {rows}),
-sample AS (SELECT * EXCLUDE (draw, stratum_rows) FROM ranked WHERE draw <= floor(stratum_rows * {SAMPLE_SHARE}::DOUBLE)),
+sample AS (SELECT * EXCLUDE (draw, stratum_rows) FROM ranked WHERE draw <= floor(stratum_rows * {share}::DOUBLE)),
 split_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source_dataset, label ORDER BY md5('43-' || row_id), row_id) AS draw,
          count(*) OVER (PARTITION BY source_dataset, label) AS n FROM sample),
@@ -277,7 +277,7 @@ _TEXT = f"{CLEANED},{text_feature_ctes('cleaned')}"
 _URLS = f"{CLEANED},{url_feature_ctes('cleaned')}"
 _DENSE = f"{CLEANED},{text_feature_ctes('cleaned')},{url_feature_ctes('with_text')}"
 
-_WEIGHTS = f"""{CLEANED},{sampled('cleaned')},
+_WEIGHTS = f"""{CLEANED},{sampled('cleaned', 1.0)},
 tokenised AS (SELECT row_id, regexp_extract_all(lower(text), '[{WORD_CHAR}]{{2,}}') AS tokens FROM cleaned),
 terms AS (
   SELECT row_id, unnest(list_concat(tokens,
@@ -477,7 +477,7 @@ checks AS (
 SELECT "check", observed, 0 AS expected, observed = 0 AS ok FROM checks""",
     "tfidf_vocabulary": f"WITH {_WEIGHTS} SELECT term, feature_idx, tf, df, {rounded('idf', 'idf')} FROM vocabulary",
     "tfidf_weights": f"WITH {_WEIGHTS} SELECT row_id, feature_idx, {rounded('value', 'value')} FROM tfidf",
-    "scaled_dense": f"""WITH {_DENSE},{sampled('cleaned')}, {_scaling_ctes()}
+    "scaled_dense": f"""WITH {_DENSE},{sampled('cleaned', 1.0)}, {_scaling_ctes()}
 SELECT row_id, {_ROUNDED_SCALED} FROM with_url, stats""",
     "assembled_matrix": f"""WITH {_WEIGHTS},{text_feature_ctes('cleaned')},{url_feature_ctes('with_text')}, {_scaling_ctes()},
 entries AS (SELECT * FROM tfidf UNION ALL {_DENSE_ENTRIES}),

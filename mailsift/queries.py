@@ -26,11 +26,11 @@ from mailsift.operators.assemble import (
     with_dense_features,
     zero_url_breakdown,
 )
-from mailsift.operators.models import BASE_MODELS, TrainingOptions
+from mailsift.operators.models import BASE_MODELS
 from mailsift.operators.tfidf import Tfidf, long_form, vocabulary
 from mailsift.plans import train as training
 from mailsift.plans.build_table import build, cleaned_table
-from mailsift.plans.score import responses
+from mailsift.plans.score import classification, responses, with_scores
 from mailsift.sources import files, mime
 from mailsift.sources.inbox import inbox, raw_sources, read_table
 from mailsift.sources.json_tree import json_tree_text
@@ -39,12 +39,10 @@ from mailsift.workspace import materialise, run_dir
 
 SAMPLE_SHARE = 0.8
 CONFOUND_PER_LABEL = 15
-VOCABULARY_TERMS = 500
-
-# Trial settings: the shape of a full run at a fraction of its rounds.
-TRIAL = TrainingOptions(trees=20, forest_depth=10, rounds=8, boosting_depth=5)
+VOCABULARY_TERMS = V.MAX_VOCABULARY
 
 _trained: dict[tuple[str, str], training.Trained] = {}
+_stored: dict[tuple[str, str], str] = {}
 
 
 def rounded(value: Column) -> Column:
@@ -67,9 +65,13 @@ def _cleaned(spark, sf_dir):
     return cleaned_table(inbox(spark, sf_dir))
 
 
-def _kept(spark, sf_dir, purpose="cleaned"):
-    """The cleaned table written once, for queries that read it several times."""
-    return materialise(_cleaned(spark, sf_dir), f"{run_dir(spark, purpose)}/cleaned")
+def _kept(spark, sf_dir):
+    """The cleaned table, written once per session and data folder for queries that read it several times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = f"{run_dir(spark, 'cleaned')}/cleaned"
+        _cleaned(spark, sf_dir).write.parquet(_stored[key])
+    return spark.read.parquet(_stored[key])
 
 
 # --- sources, merging, cleaning -------------------------------------------------------------
@@ -250,7 +252,8 @@ def feature_alignment_checks(spark, sf_dir):
 
 
 def _train_rows(rows: DataFrame) -> DataFrame:
-    return sampling.train_val_test(_sample(rows)).filter(F.col("split") == "train")
+    """The train split of all rows."""
+    return sampling.train_val_test(rows).filter(F.col("split") == "train")
 
 
 def tfidf_vocabulary(spark, sf_dir):
@@ -333,7 +336,7 @@ def trained(spark: SparkSession, sf_dir: str) -> training.Trained:
     if key not in _trained:
         out = run_dir(spark, "training")
         table = build(inbox(spark, sf_dir), out, sampling.quota_by_share(SAMPLE_SHARE), CONFOUND_PER_LABEL)
-        _trained[key] = training.train(table.splits, out, TRIAL, VOCABULARY_TERMS)
+        _trained[key] = training.train(table.splits, out)
     return _trained[key]
 
 
@@ -357,9 +360,17 @@ def dense_importance(spark, sf_dir):
     return models.dense_share(models.importances(trained(spark, sf_dir).detector, spark))
 
 
+def _selected(result: training.Trained) -> float | None:
+    """The threshold that validation selects; None where none reaches the target."""
+    try:
+        return training.select_threshold(result.val_scores)
+    except ValueError:
+        return None
+
+
 def evaluation_report(spark, sf_dir):
     result = trained(spark, sf_dir)
-    report = training.evaluation_report(result, V.SERVING_THRESHOLD)
+    report = training.evaluation_report(result, _selected(result))
     path = f"{run_dir(spark, 'report')}/report"
     files.write_report(report, path)
     return files.read_report(spark, path, report.schema)
@@ -372,18 +383,16 @@ def _mails(spark, sf_dir) -> DataFrame:
 
 
 def score_mails(spark, sf_dir):
-    return responses(trained(spark, sf_dir).detector, _mails(spark, sf_dir), run_dir(spark, "responses"), False)
+    return responses(trained(spark, sf_dir).detector, _mails(spark, sf_dir), False)
 
 
-def explain_top10(spark, sf_dir):
+def _explained(spark, sf_dir) -> DataFrame:
     detector = trained(spark, sf_dir).detector
-    work = run_dir(spark, "explain")
-    features = detector.features.transform(text_cleaning.with_clean_text(_mails(spark, sf_dir)))
-    scored = materialise(detector.score_features(features, leaves=True).drop("text", "features"), f"{work}/scored")
-    credits = materialise(explain.leaf_credits(detector, spark), f"{work}/credits")
-    return explain.top_contributions(
-        explain.contributions(scored, detector, credits), detector.features.name_table(spark)
-    )
+    return explain.with_explanations(with_scores(detector, _mails(spark, sf_dir), leaves=True).drop("text"), detector)
+
+
+def explain_top10(spark, sf_dir):
+    return explain.top_contributions(_explained(spark, sf_dir))
 
 
 # --- file sources: the tables written in each source's format and read back --------------------------

@@ -1,3 +1,6 @@
+import math
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,32 +72,58 @@ def test_meta_model_is_at_its_optimum(result):
         assert gradient == pytest.approx(0.0, abs=1e-4)
 
 
+def explained(spark, table, result):
+    scored = score.with_scores(result.detector, mails(table), leaves=True)
+    return explain.with_explanations(scored, result.detector)
+
+
 def test_explanations_add_up_to_the_score(spark, table, result):
-    detector = result.detector
-    scored = score.with_scores(detector, mails(table), leaves=True).cache()
-    credits = explain.leaf_credits(detector, spark)
-    parts = explain.contributions(scored, detector, credits)
-    sums = parts.groupBy("row_id", "model").agg(F.sum("contribution").alias("total")).join(
-        explain.base_values(credits), "model").join(scored.select("row_id", *BASE_MODELS), "row_id")
-    rows = sums.withColumn("raw", F.col("total") + F.col("base_value")).withColumn(
-        "probability",
-        F.when(F.col("model") == "random_forest", F.col("raw")).otherwise(1 / (1 + F.exp(-2 * F.col("raw")))),
-    ).collect()
-    assert len(rows) == 3 * scored.count()
+    rows = explained(spark, table, result).collect()
+    assert len(rows) == mails(table).count()
     for r in rows:
-        assert r.probability == pytest.approx(r[r.model], abs=1e-9)
-    top = explain.top_contributions(parts, detector.features.name_table(spark)).collect()
-    assert all(r["rank"] <= 10 and 0 <= r.bar_width <= 100 + 1e-9 for r in top)
-    assert all((r.direction == "phishing") == (r.contribution > 0) for r in top)
-    firsts = [r for r in top if r["rank"] == 1 and r.contribution != 0]
-    assert firsts and all(r.bar_width == pytest.approx(100.0) for r in firsts)
+        assert [m.model for m in r.explained] == BASE_MODELS
+        for m in r.explained:
+            raw = m.base + m.total
+            assert (raw if m.model == "random_forest" else 1 / (1 + math.exp(-2 * raw))) == pytest.approx(r[m.model], abs=1e-9)
+            assert [e["rank"] for e in m.top] == list(range(1, len(m.top) + 1)) and len(m.top) <= 10
+            sizes = [abs(e.contribution) for e in m.top]
+            assert sizes == sorted(sizes, reverse=True)
+            assert all((e.direction == "phishing") == (e.contribution > 0) for e in m.top)
+            if sizes and sizes[0]:
+                assert [e.bar_width for e in m.top] == pytest.approx([s / sizes[0] * 100 for s in sizes])
+    plan = explained(spark, table, result)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Scan parquet")[0]
+
+
+def test_joined_explanations_are_the_same(spark, table, result, monkeypatch):
+    near = explained(spark, table, result).collect()
+    monkeypatch.setattr(explain, "CREDIT_BYTES", 0)
+    far = {r.row_id: r for r in explained(spark, table, result).collect()}
+    for r in near:
+        for a, b in zip(r.explained, far[r.row_id].explained):
+            assert (a.model, a.base, a.total) == (b.model, pytest.approx(b.base), pytest.approx(b.total))
+            assert [e.contribution for e in a.top] == pytest.approx([e.contribution for e in b.top])
+
+
+def test_repeated_and_missing_ids_are_explained_alike(spark, table, result):
+    text = mails(table).first().text
+    rows = spark.createDataFrame(
+        [("a", text), ("a", text), (None, text), (None, text), ("b", text)], "row_id string, text string").select(
+        "row_id", "text", F.lit(None).cast("double").alias("threshold"), F.lit("raw_text").alias("input_method"))
+    got = score.responses(result.detector, rows).collect()
+    assert len(got) == 5 and all(r.explanation == got[0].explanation for r in got) and got[0].explanation["random_forest"]
+
+
+def test_responses_need_the_ensemble(table, result):
+    with pytest.raises(ValueError, match="meta-model"):
+        score.responses(Detector(result.detector.features, result.detector.base), mails(table))
 
 
 def test_responses_and_thresholds(spark, table, result):
     batch = mails(table).withColumn(
         "threshold", F.when(F.col("row_id") % 3 == 0, 0.0).when(F.col("row_id") % 3 == 1, 1.5)
     )
-    rows = score.responses(result.detector, batch, run_dir(spark, "test")).collect()
+    rows = score.responses(result.detector, batch).collect()
     assert len(rows) == batch.count()
     for r in rows:
         kind = r.row_id % 3
@@ -158,6 +187,18 @@ def test_streams(spark, result, tmp_path):
     assert len(rows) == 5 and {r.batch for r in rows} == {0, 1, 2}
     assert all(r.input_method == "eml_upload" and r.threshold_used == 0.67 for r in rows)
 
+    late = tmp_path / "late"
+    late.mkdir()
+    out = run_dir(spark, "test")
+    query = scoring.score_stream(result.detector, scoring.eml_stream(spark, str(late)), out, f"{out}/state", every="1 second")
+    assert query.isActive
+    (late / "m.eml").write_bytes(b"Subject: later\n\nhello\n")
+    deadline = time.time() + 90
+    while time.time() < deadline and not any(p["numInputRows"] for p in query.recentProgress):
+        time.sleep(1)
+    query.stop()
+    assert spark.read.parquet(f"{out}/responses").count() == 1
+
     (tmp_path / "req").mkdir()
     (tmp_path / "req" / "a.json").write_text(
         '{"request_id": "a", "email_text": "hello"}\n{"request_id": "b", "email_text": "hello", "threshold": -1}\n')
