@@ -394,6 +394,9 @@ _ROUND_TEXT = ", ".join(
 )
 _ROUND_URL = ", ".join(rounded(c, c) if c == "avg_domain_entropy" else c for c in V.URL_FEATURES)
 
+_BASE_VALUES = ", ".join(f"({quoted(m)})" for m in BASE_MODELS)
+_ALL_VALUES = ", ".join(f"({quoted(m)})" for m in [*BASE_MODELS, ENSEMBLE])
+
 ORACLE: dict[str, str] = {
     "merge_sources_summary": f"""WITH {MERGED}
 SELECT source_dataset, label, included_in_training, count(*) AS rows, count(text) AS rows_with_text,
@@ -506,6 +509,30 @@ SELECT model, n_phishing, {rounded("d::DOUBLE / n_phishing - s::DOUBLE / n_phish
     "best_baseline_vs_ensemble": _comparison(),
     "synthetic_slice": f"""WITH {METRICS}
 SELECT model, {rounded(_FPR, "fpr")}, {rounded(_RECALL, "recall")} FROM cells WHERE source_dataset = 'synthetic_healthcare'""",
+    "explanation_checks": f"""WITH {MERGED}
+SELECT model, count(*) AS rows, 0 AS failing
+FROM (SELECT 1 FROM merged WHERE text IS NOT NULL), (VALUES {_BASE_VALUES}) AS m(model) GROUP BY model""",
+    "test_score_checks": f"""WITH {CLEANED},{sampled("cleaned")}
+SELECT model, source_dataset, count(*) AS rows, count_if(label = 'phishing') AS phishing, 0 AS failing
+FROM splits, (VALUES {_ALL_VALUES}) AS m(model) WHERE split = 'test' GROUP BY ALL""",
+    "importance_checks": f"SELECT model, 0 AS failing FROM (VALUES {_BASE_VALUES}) AS m(model)",
+    "model_metric_checks": f"""WITH {CLEANED},{sampled("cleaned")}
+SELECT model, count(DISTINCT source_dataset) + 1 AS rows, 0 AS failing
+FROM splits, (VALUES {_ALL_VALUES}) AS m(model) WHERE split = 'test' GROUP BY model""",
+    "threshold_checks": "SELECT 1 AS rows, 0 AS failing",
+    "report_checks": f"SELECT model, 1 AS rows, 0 AS failing FROM (VALUES {_ALL_VALUES}) AS m(model)",
+    "response_checks": """SELECT turn % 3 AS kind, count(*) AS rows, count_if(turn % 3 = 2) AS errors, 0 AS failing
+FROM conversations GROUP BY ALL""",
+    "stream_batch_checks": "SELECT count(*) AS rows, 0 AS failing FROM benchmark",
+    "formatted_metrics": f"""WITH {METRICS}
+SELECT model, source_dataset, {", ".join(
+        f"coalesce(printf('%.4f', round({value}, 6)), 'n/a') AS {name}" for value, name in (
+            (_PRECISION, "precision"), (_RECALL, "recall"), (_F1, "f1"), (_FPR, "false_positive_rate")))} FROM cells""",
+    "feature_spot_check": f"""WITH {_DENSE}
+SELECT row_id, label, {rounded("urgency_score", "urgency_score")}, {rounded("word_count", "word_count")},
+       {rounded("url_count", "url_count")} FROM with_url ORDER BY md5('42-' || row_id), row_id LIMIT 5""",
+    "mbox_file_states": "SELECT 'whole' AS state, count(*) AS records FROM conversations",
+    "mbox_without_mirror_files": "SELECT count(*) AS messages, 0 AS leftovers FROM conversations",
     "mbox_messages": f"""WITH quoted AS (
   SELECT *, CASE WHEN turn % 3 = 1 THEN text ELSE regexp_replace(text, '(?m)^From ', '>From ', 'g') END AS safe FROM conversations)
 SELECT 'turn ' || turn || ' of ' || conv_id AS subject,

@@ -23,6 +23,7 @@ from mailsift.operators.assemble import (
     Scaler,
     feature_means,
     join_features,
+    spot_check,
     with_dense_features,
     zero_url_breakdown,
 )
@@ -34,6 +35,7 @@ from mailsift.plans.score import classification, responses, with_scores
 from mailsift.sources import files, mime
 from mailsift.sources.inbox import inbox, raw_sources, read_table
 from mailsift.sources.json_tree import json_tree_text
+from mailsift.sources.merge import compose_mail
 from mailsift.streaming import scoring as streaming
 from mailsift.workspace import materialise, run_dir
 
@@ -42,6 +44,7 @@ CONFOUND_PER_LABEL = 15
 VOCABULARY_TERMS = V.MAX_VOCABULARY
 
 _trained: dict[tuple[str, str], training.Trained] = {}
+_splits: dict[tuple[str, str], DataFrame] = {}
 _stored: dict[tuple[str, str], str] = {}
 
 
@@ -331,15 +334,22 @@ def synthetic_slice(spark, sf_dir):
 
 
 def trained(spark: SparkSession, sf_dir: str) -> training.Trained:
-    """Train once per session and data folder; the model queries share the result."""
+    """Train once per session and data folder, with full settings; the model queries share the result."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trained:
         out = run_dir(spark, "training")
         table = build(inbox(spark, sf_dir), out, sampling.quota_by_share(SAMPLE_SHARE), CONFOUND_PER_LABEL)
+        _splits[key] = table.splits
         _trained[key] = training.train(table.splits, out)
     return _trained[key]
 
 
+def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits that the session's models were trained and judged on."""
+    trained(spark, sf_dir)
+    return _splits[(spark.sparkContext.applicationId, sf_dir)]
+
+
 def test_scores(spark, sf_dir):
     return trained(spark, sf_dir).test_scores
 
@@ -395,6 +405,174 @@ def explain_top10(spark, sf_dir):
     return explain.top_contributions(_explained(spark, sf_dir))
 
 
+# --- checks of the models: what must hold of every row, counted, so that SQL can supply the row counts -------
+
+
+def _failing(condition: Column) -> Column:
+    return F.count_if(~F.coalesce(condition, F.lit(False))).alias("failing")
+
+
+def _close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) < 1e-6
+
+
+def _logistic(x: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+
+def explanation_checks(spark, sf_dir):
+    """Per model over all mails: base value and credits give the score, and the strongest ones are in order."""
+    rows = _explained(spark, sf_dir).select(
+        F.map_from_arrays(F.array(*map(F.lit, BASE_MODELS)), F.array(*BASE_MODELS)).alias("scores"), F.inline("explained"))
+    raw = F.col("base") + F.col("total")
+    probability = F.when(F.col("model") == "random_forest", raw).otherwise(_logistic(2 * raw))
+    size = F.transform("top", lambda e: F.abs(e.contribution))
+    widths = F.forall("top", lambda e: (
+        _close(e.bar_width * size[0], F.abs(e.contribution) * 100) & e.bar_width.between(0, 100 + 1e-9)))
+    holds = (
+        _close(probability, F.col("scores")[F.col("model")])
+        & (F.size("top") <= V.TOP_EXPLANATIONS)
+        & (F.transform("top", lambda e: e["rank"]) == F.slice(F.sequence(F.lit(1), F.lit(V.TOP_EXPLANATIONS)), F.lit(1), F.size("top")))
+        & (F.sort_array(size, False) == size) & widths
+        & F.forall("top", lambda e: (e.direction == V.PHISHING) == (e.contribution > 0))
+    )
+    return rows.groupBy("model").agg(F.count("*").alias("rows"), _failing(holds))
+
+
+def test_score_checks(spark, sf_dir):
+    """Per model and source over the test split: scores are probabilities, the ensemble's the stored logistic of the others."""
+    result = trained(spark, sf_dir)
+    wide = result.test_scores.groupBy("row_id", "source_dataset", "y").pivot("model", result.detector.names).agg(F.first("score"))
+    meta = result.detector.meta
+    raw = F.lit(float(meta.intercept))
+    for weight, name in zip(meta.coefficients, BASE_MODELS):
+        raw = raw + F.lit(float(weight)) * F.col(name)
+    wide = wide.withColumn("expected", _logistic(raw))
+    long = wide.select("source_dataset", "y", "expected", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(n).alias("score")) for n in result.detector.names])))
+    ensemble = F.col("model") == metrics.ENSEMBLE
+    holds = F.col("score").between(0, 1) & F.col("y").isin(0, 1) & (~ensemble | _close(F.col("score"), F.col("expected")))
+    return long.groupBy("model", "source_dataset").agg(
+        F.count("*").alias("rows"), F.sum("y").alias("phishing"), _failing(holds))
+
+
+def importance_checks(spark, sf_dir):
+    """Per model: importances add up to 1, the first twenty are ranked by size, and the dense share is their part."""
+    table = models.importances(trained(spark, sf_dir).detector, spark)
+    dense = F.col("feature").isin(V.DENSE_FEATURES)
+    named = dense | F.col("feature").startswith("tfidf:")
+    sums = table.groupBy("model").agg(
+        F.sum("importance").alias("total"), F.sum(F.when(dense, F.col("importance")).otherwise(0.0)).alias("dense"),
+        F.count_if(~named | (F.col("importance") < 0)).alias("odd"))
+    top = models.top_importances(table)
+    ordered = top.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("rank", "importance"))).alias("top"))
+    sizes = F.transform("top", lambda e: e.importance)
+    holds = (
+        _close(F.col("total"), F.lit(1.0)) & (F.col("odd") == 0) & _close(F.col("dense"), F.col("dense_importance"))
+        & (F.transform("top", lambda e: e["rank"]) == F.sequence(F.lit(1), F.size("top")))
+        & (F.sort_array(sizes, False) == sizes) & (F.size("top") <= V.TOP_FEATURES)
+    )
+    joined = sums.join(ordered, "model").join(models.dense_share(table), "model")
+    return joined.select("model", F.when(holds, 0).otherwise(1).alias("failing"))
+
+
+def model_metric_checks(spark, sf_dir):
+    """Per model: its metrics by source and over all are those counted row by row from its scores."""
+    result = trained(spark, sf_dir)
+    table = metrics.full_metrics(result.test_scores)
+    hit, y = F.col("score") >= V.DEFAULT_CUT, F.col("y")
+    counted = result.test_scores.rollup("model", "source_dataset").agg(
+        F.sum(F.when(hit, y).otherwise(0)).alias("TP"), F.sum(F.when(hit, 1 - y).otherwise(0)).alias("FP"),
+        F.sum(F.when(hit, 0).otherwise(y)).alias("FN"), F.sum(F.when(hit, 0).otherwise(1 - y)).alias("TN"),
+    ).filter("model is not null").withColumnsRenamed({"model": "m", "source_dataset": "s"})
+    both = table.join(counted, F.expr("model = m and source_dataset <=> s"), "full")
+    holds = (
+        (F.col("cells") == F.col("own")) & F.coalesce(_close(F.col("recall"), F.col("own_recall")), F.col("recall").isNull())
+        & F.coalesce(_close(F.col("false_positive_rate"), F.col("own_fpr")), F.col("false_positive_rate").isNull())
+        & F.col("auc_roc").isNull().eqNullSafe(F.col("one_class")))
+    both = both.select(
+        F.coalesce("model", "m").alias("model"), "recall", "false_positive_rate", "auc_roc",
+        F.array(table.tp, table.fp, table.fn, table.tn).alias("cells"),
+        F.array(counted.TP, counted.FP, counted.FN, counted.TN).cast("array<bigint>").alias("own"),
+        (counted.TP / F.nullif(counted.TP + counted.FN, F.lit(0))).alias("own_recall"),
+        (counted.FP / F.nullif(counted.FP + counted.TN, F.lit(0))).alias("own_fpr"),
+        ((counted.TP + counted.FN == 0) | (counted.FP + counted.TN == 0)).alias("one_class"))
+    return both.groupBy("model").agg(F.count("*").alias("rows"), _failing(holds))
+
+
+def threshold_checks(spark, sf_dir):
+    """The selected threshold is the one that a search over the validation scores finds; one row, nothing failing."""
+    result = trained(spark, sf_dir)
+    val = result.val_scores.filter(F.col("model") == metrics.ENSEMBLE)
+    selected = _selected(result)
+    by_step = val.select("y", "score", F.explode(F.array(*map(F.lit, metrics.threshold_grid()))).alias("t")).groupBy("t").agg(
+        (F.count_if((F.col("y") == 0) & (F.col("score") >= F.col("t"))) / F.count_if(F.col("y") == 0)).alias("fpr"),
+        F.count_if((F.col("y") == 1) & (F.col("score") >= F.col("t"))).alias("found"))
+    low = by_step.filter(F.col("fpr") < V.SELECTED_FPR_TARGET).agg(F.min(F.struct(-F.col("found"), "t")).alias("best"))
+    return low.select(F.lit(1).alias("rows"), F.when(
+        F.col("best.t").eqNullSafe(F.lit(selected).cast("double")), 0).otherwise(1).alias("failing"))
+
+
+def report_checks(spark, sf_dir):
+    """The report of newly trained models, written and read back, and the benchmark of the stored ones agree with the tables."""
+    result = trained(spark, sf_dir)
+    again = training.benchmark(_training_table(spark, sf_dir), result.detector.path.rsplit("/", 1)[0])
+    parts = evaluation_report(spark, sf_dir).select(F.inline("headline")).alias("r")
+    stored = again.select(F.inline("headline")).alias("b")
+    overall = metrics.full_metrics(result.test_scores).filter(F.col("source_dataset").isNull()).alias("m")
+    rows = overall.join(parts, "model", "left").join(stored, "model", "left")
+    rates = ["precision", "recall", "f1", "false_positive_rate", "auc_roc"]
+    same = [_close(F.col(f"m.{c}"), F.col(f"r.{c}")) & _close(F.col(f"m.{c}"), F.col(f"b.{c}")) for c in rates]
+    holds = same[0]
+    for one in same[1:]:
+        holds = holds & one
+    return rows.groupBy("model").agg(F.count("*").alias("rows"), _failing(holds))
+
+
+def response_checks(spark, sf_dir):
+    """Responses to JSON requests, by turn: invalid thresholds give errors, the others a class by their threshold."""
+    rows = stream_score_json(spark, sf_dir).withColumn("turn", F.split("row_id", "-")[1].cast("bigint"))
+    kind = F.col("turn") % 3
+    wanted = F.when(kind == 1, 0.5).when(kind == 2, 1.5).otherwise(V.SERVING_THRESHOLD)
+    judged = classification(F.col("ensemble_probability"), F.col("threshold_used")) == F.col("classification")
+    holds = (F.col("threshold_used") == wanted) & F.when(
+        kind == 2, F.col("error").isNotNull() & F.col("classification").isNull()).otherwise(F.col("error").isNull() & judged)
+    return rows.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("rows"), F.count("error").alias("errors"), _failing(holds))
+
+
+def stream_batch_checks(spark, sf_dir):
+    """Message files scored as a stream and as a batch give the same classes, scores and explanations."""
+    folder = _eml_folder(spark, sf_dir)
+    detector = trained(spark, sf_dir).detector
+    out = run_dir(spark, "stream-check")
+    query = streaming.score_stream(detector, streaming.eml_stream(spark, folder, "*.txt"), out, f"{out}/state")
+    streamed = _drain(query, out, spark).alias("s")
+    mails = mime.read_eml(spark, folder, "*.txt").select(
+        F.col("message_no").alias("row_id"), compose_mail(F.col("subject"), F.col("body")).alias("text"),
+        F.lit(None).cast("double").alias("threshold"), F.lit("eml_upload").alias("input_method"))
+    batch = responses(detector, mails).alias("b")
+    same = F.expr("s.classification = b.classification and s.input_method = b.input_method"
+                  " and to_json(s.explanation) = to_json(b.explanation)")
+    both = streamed.join(batch, "row_id", "full")
+    return both.agg(F.count("*").alias("rows"), _failing(
+        same & _close(F.col("s.ensemble_probability"), F.col("b.ensemble_probability"))))
+
+
+def formatted_metrics(spark, sf_dir):
+    """Rates as reports show them: four decimals, n/a for missing ones."""
+    table = round_columns(metrics.metrics(pseudo_scores(spark, sf_dir)), _RATES)
+    return table.select("model", "source_dataset", *[metrics.shown(F.col(c)).alias(c) for c in _RATES])
+
+
+def feature_spot_check(spark, sf_dir):
+    """The features of a handful of seeded rows."""
+    rows = _kept(spark, sf_dir)
+    ids = [r.row_id for r in sampling.seeded_rows(rows.select("row_id"), 5).collect()]
+    return round_columns(spot_check(with_dense_features(rows), ids, ["label", "urgency_score", "word_count", "url_count"]),
+                         ["urgency_score", "word_count", "url_count"])
+
+
 # --- file sources: the tables written in each source's format and read back --------------------------
 
 
@@ -428,6 +606,25 @@ def mbox_messages(spark, sf_dir):
     return mime.read_mbox(spark, _mbox_folder(spark, sf_dir)).select("subject", trim_space(F.col("body")).alias("body"))
 
 
+def mbox_file_states(spark, sf_dir):
+    """Mail files by state, with the records that were read."""
+    states = mime.file_states(spark, _mbox_folder(spark, sf_dir))
+    return states.groupBy("state").agg(F.sum("records").alias("records"))
+
+
+def mbox_without_mirror_files(spark, sf_dir):
+    """Leftovers of a mirrored web folder among the mail files are passed over."""
+    folder = _mbox_folder(spark, sf_dir)
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = java.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in ("robots.txt", "index.html?C=M;O=A", "index.html"):
+        out = store.create(java.Path(f"{folder}/{name}"))
+        out.write(bytearray(b"From nobody Thu Jan  1 00:00:00 2015\nSubject: no mail\n\nno mail\n"))
+        out.close()
+    return mime.read_mbox(spark, folder).agg(
+        F.count("*").alias("messages"), F.count_if(F.col("subject") == "no mail").alias("leftovers"))
+
+
 def mbox_message_total(spark, sf_dir):
     counts = mime.message_counts(mime.read_mbox(spark, _mbox_folder(spark, sf_dir)))
     return counts.filter(F.col("source_file").isNull()).select("messages")
@@ -523,7 +720,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         best_baseline_vs_ensemble, synthetic_slice,
         test_scores, model_metrics, model_threshold_sweep, feature_importance_top20, dense_importance,
         evaluation_report, score_mails, explain_top10,
-        mbox_messages, mbox_message_total, eml_messages, json_tree_texts, csv_round_trip, materialise_status,
+        explanation_checks, test_score_checks, importance_checks, model_metric_checks, threshold_checks, report_checks,
+        response_checks, stream_batch_checks, formatted_metrics, feature_spot_check,
+        mbox_file_states, mbox_without_mirror_files, mbox_messages, mbox_message_total, eml_messages, json_tree_texts, csv_round_trip, materialise_status,
         stream_score_eml, stream_score_json,
     ]
 }

@@ -1,7 +1,11 @@
+from functools import partial
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from mailsift import queries
+from mailsift.operators.models import TrainingOptions
 from mailsift.oracle import ORACLE
 from mailsift.queries import QUERIES
 
@@ -16,6 +20,16 @@ def duck(sf_dir):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_rounds():
+    """The model queries' checks hold for any models, so tests train smaller ones."""
+    with pytest.MonkeyPatch.context() as patch:
+        small = TrainingOptions(trees=8, forest_depth=8, rounds=4, boosting_depth=4)
+        patch.setattr(queries.training, "train", partial(queries.training.train, options=small))
+        yield
+        queries._trained.clear()
+
+
 def shown(value):
     if isinstance(value, bool) or value is None or isinstance(value, str):
         return repr(value)
