@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from mailsift.functions.fixed_values import SEED
 from mailsift.workspace import sized
 
-# 16**3 buckets per stratum: a draw key is uniform, so even a stratum of 10**11 rows has buckets
-# of some 10**7 narrow rows.
-DRAW_BUCKET_CHARS = 3
+# Rows of a bucket, about; the number of buckets follows from the counted rows.
+BUCKET_ROWS = 50_000
+
+
+def _draw_bucket_chars(rows: int) -> int:
+    """Leading hexadecimal digits of a draw key that cut the rows into buckets; a draw key is uniform."""
+    chars = 1
+    while rows > BUCKET_ROWS * 16**chars:
+        chars += 1
+    return chars
 
 
 def draw_key(row_id: Column, seed: int = SEED) -> Column:
@@ -31,7 +38,7 @@ def draw_cuts(df: DataFrame, strata: list[str], ranks: dict[str, Column], seed:
     rows up to that key draws exactly r rows, so no row but those of the cut buckets is sorted.
     """
     keyed = df.select(*strata, "row_id", draw_key(F.col("row_id"), seed).alias("draw")).withColumn(
-        "bucket", F.substring("draw", 1, DRAW_BUCKET_CHARS)
+        "bucket", F.substring("draw", 1, _draw_bucket_chars(df.count()))
     )
     whole = Window.partitionBy(*strata)
     running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,15 +81,16 @@ def up_to_cut(cut: str, seed: int = SEED) -> Column:
     return F.coalesce(own <= F.col(cut), F.lit(False))
 
 
-def running_total_below(df: DataFrame, groups: list[str], order: str, value: str, out: str, buckets: int = 1024) -> DataFrame:
+def running_total_below(df: DataFrame, groups: list[str], order: str, value: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Append, per row, the sum of ``value`` over rows of its group with a smaller ``order``.
 
     ``order`` is a double, unique within a group. Bucket borders are quantiles of the data, so no
-    bucket is much larger than the others whatever the distribution; they are ``buckets - 1``
-    numbers on the driver.
+    bucket is much larger than the others whatever the distribution; they are one number on the
+    driver for ``bucket_rows`` rows.
     """
+    buckets = max(2, df.count() // bucket_rows)
     shares = [i / buckets for i in range(1, buckets)]
-    borders = sorted(set(df.agg(F.percentile_approx(order, shares, 10_000).alias("q")).first().q or []))
+    borders = sorted(set(df.agg(F.percentile_approx(order, shares, max(10_000, 10 * buckets)).alias("q")).first().q or []))
     splits = [float("-inf"), *(borders or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
     earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

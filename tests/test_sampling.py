@@ -114,7 +114,7 @@ def test_running_total_against_brute_force(spark):
     values = {round(0.99 + rng.random() / 1000, 9) if rng.random() < 0.8 else rng.random() for _ in range(3000)}
     rows = [("g" if rng.random() < 0.9 else "h", v, rng.randint(0, 3)) for v in values]
     df = spark.createDataFrame(rows, "g string, v double, n long")
-    got = {(r.g, r.v): r.below for r in running_total_below(df, ["g"], "v", "n", "below", buckets=16).collect()}
+    got = {(r.g, r.v): r.below for r in running_total_below(df, ["g"], "v", "n", "below", bucket_rows=150).collect()}
     totals = {"g": 0, "h": 0}
     for g, v, n in sorted(rows, key=lambda r: r[1]):
         assert got[g, v] == totals[g]
