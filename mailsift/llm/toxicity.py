@@ -31,6 +31,7 @@ SENTENCE_WORDS = 40
 SAMPLE = 2000
 # Characters of sampled texts that the driver holds, at most; long texts give whole sentences from a seeded place.
 SAMPLE_CHARS = 4000
+TEXTS_AT_ONCE = 100
 ROUNDS, STEPS = 3, 100
 # Weights are fitted for hashes that toxic documents hold more often than chance gives, by so many deviations.
 EVIDENCE = 4.0
@@ -156,37 +157,56 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
     labels = np.array(toxic, np.float64)
     if not len(texts) or labels.min() == labels.max():
         return Classifier(np.zeros(size, np.float32), -2.0)
-    pieces = [(i, s) for i, t in enumerate(texts) for s in sentences_of(t)]
-    owner = np.array([i for i, _ in pieces])
-    raw = features(*_of([s for _, s in pieces]))
-    # Sentences are cut by length, so a piece may be several sentences.
-    owner = owner[raw.text]
-    pairs = [(k, c) for k, (_, s) in enumerate(pieces) for c in swapped(s)]
-    twin = features(*_of([c for _, c in pairs])) if pairs else None
+
+    def parts():
+        """Sentences of the texts, some texts at a time: (text numbers, sentences, features)."""
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            pieces = [(i, s) for i in range(start, min(start + TEXTS_AT_ONCE, len(texts))) for s in sentences_of(texts[i])]
+            yield np.array([i for i, _ in pieces], np.int64), [s for _, s in pieces], features(*_of([s for _, s in pieces]))
 
     # Only hashes that tell toxic documents from others get a weight; it begins with the log odds.
-    used, dense = np.unique(raw.index, return_inverse=True)
-    dense = dense.reshape(raw.index.shape)
-    seen = np.unique(owner[raw.sentence][:, None] * len(used) + dense)
-    holds = np.bincount(seen % len(used), labels[seen // len(used)], len(used))
-    total = np.bincount(seen % len(used), minlength=len(used))
+    holds, total = np.zeros(size), np.zeros(size)
+    for numbers, _, raw in parts():
+        # Sentences are cut by length, so a piece may be several sentences.
+        seen = np.unique((numbers[raw.text][raw.sentence][:, None] << BITS) + raw.index)
+        holds += np.bincount(seen & (size - 1), labels[seen >> BITS], size)
+        total += np.bincount(seen & (size - 1), minlength=size)
     chance = total * labels.mean()
-    telling = (holds - chance) / np.sqrt(chance + 1) > EVIDENCE
+    used = np.flatnonzero((holds - chance) / np.sqrt(chance + 1) > EVIDENCE)
     odds = np.log((holds + 0.5) / (labels.sum() + 1)) - np.log((total - holds + 0.5) / ((1 - labels).sum() + 1))
-    kept = np.flatnonzero(telling)
-    w = odds[kept] / dense.shape[1]
+    w = odds[used] / (1 + len(STEMS))
     bias = -2.0
     # The last weight is that of all other hashes and stays zero.
-    number = np.full(len(used), len(kept))
-    number[kept] = np.arange(len(kept))
-    used = used[kept]
+    number = np.full(size, len(used), np.int32)
+    number[used] = np.arange(len(used))
 
-    def told(index, sentence):
+    def told(raw):
+        index = number[raw.index]
         words = np.flatnonzero((index < len(used)).any(axis=1))
-        return index[words], sentence[words]
-
-    dense, place_of = told(number[dense], raw.sentence)
-    n = raw.sentences
+        return index[words], raw.sentence[words]
+
+    n, twins, kept = 0, 0, {k: [] for k in ("dense", "place", "owner", "twin", "twin_place", "pair", "twin_first")}
+    for numbers, sentences, raw in parts():
+        dense, place_of = told(raw)
+        pairs = [(k, c) for k, s in enumerate(sentences) for c in swapped(s)]
+        if pairs:
+            twin = features(*_of([c for _, c in pairs]))
+            twin_dense, twin_place = told(twin)
+            kept["twin"].append(twin_dense)
+            kept["twin_place"].append(twin_place + twins)
+            kept["pair"].append(np.searchsorted(raw.text, [k for k, _ in pairs]) + n)
+            kept["twin_first"].append(np.searchsorted(twin.text, np.arange(len(pairs))) + twins)
+            twins += twin.sentences
+        kept["dense"].append(dense)
+        kept["place"].append(place_of + n)
+        kept["owner"].append(numbers[raw.text])
+        n += raw.sentences
+    if not n:
+        return Classifier(np.zeros(size, np.float32), -2.0)
+    dense, place_of, owner = (np.concatenate(kept[k]) for k in ("dense", "place", "owner"))
+    if twins:
+        twin_index, twin_place, first_sentence, twin_first = (
+            np.concatenate(kept[k]) for k in ("twin", "twin_place", "pair", "twin_first"))
 
     def values(index, sentence, count):
         return np.bincount(sentence, np.append(w, 0.0)[index].sum(axis=1), count)
@@ -194,11 +214,6 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
     def slopes(index, sentence, slope):
         return np.bincount(index.ravel(), np.repeat(slope[sentence], index.shape[1]), len(used) + 1)[:-1]
 
-    if twin is not None and len(used):
-        known = np.searchsorted(used, twin.index).clip(0, len(used) - 1)
-        twin_index, twin_place = told(np.where(used[known] == twin.index, known, len(used)), twin.sentence)
-        first_sentence = np.searchsorted(raw.text, [k for k, _ in pairs])
-        twin_first = np.searchsorted(twin.text, np.arange(len(pairs)))
     m = v = mb = vb = 0.0
     step = 0
     for _ in range(rounds):
@@ -216,10 +231,10 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
             alone = values(dense, place_of, n)
             slope = share * (_sigmoid(alone + bias) - y)
             g, gb = slopes(dense, place_of, slope) + 1e-4 * w, slope.sum()
-            if twin is not None and len(used):
-                other = values(twin_index, twin_place, twin.sentences)
-                apart = penalty * 2 * (alone[first_sentence] - other[twin_first]) / len(pairs)
-                back, away = np.zeros(n), np.zeros(twin.sentences)
+            if twins:
+                other = values(twin_index, twin_place, twins)
+                apart = penalty * 2 * (alone[first_sentence] - other[twin_first]) / len(first_sentence)
+                back, away = np.zeros(n), np.zeros(twins)
                 np.add.at(back, first_sentence, apart)
                 np.add.at(away, twin_first, apart)
                 g += slopes(dense, place_of, back) - slopes(twin_index, twin_place, away)
@@ -260,8 +275,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     start = F.floor(F.col("_order") * 7919 % 1 * F.greatest(F.length("text") - chars, F.lit(0))).cast("int") + 1
     text = F.when(F.col("toxic") > 0, F.substring("text", F.lit(1), F.lit(100 * chars))).otherwise(
         F.substring("text", start, F.lit(chars)))
+    # About 2 * sample rows, whatever the size of the tables: small enough to send around.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null").join(
-        chosen, "doc_id").select("doc_id", "toxic", text.alias("text")).collect()
+        F.broadcast(chosen.select("doc_id", "toxic", "_order")), "doc_id").select("doc_id", "toxic", text.alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
