@@ -6,7 +6,9 @@ derived with higher-order functions, and no shuffle is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
@@ -26,6 +28,45 @@ def suffix_pattern(generic: list[str], second_levels: dict[str, str]) -> str:
     return rf"(?:\A|\.)({'|'.join(registry)}|[a-z]{{2}}|{'|'.join(generic)})\z"
 
 
+@dataclass(frozen=True)
+class SuffixRules:
+    """Rules of a public suffix list: endings, parents of which every child is an ending, and exceptions to these."""
+
+    endings: frozenset[str]
+    parents: frozenset[str]
+    exceptions: frozenset[str]
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> SuffixRules:
+        """From a file with a rule a line: ``co.uk``, ``*.ck`` or ``!www.ck``; ``//`` begins a remark.
+
+        Such a list has some ten thousand lines; it is read to the driver and travels with the expression.
+        Rules in other scripts hold for their ASCII form too.
+        """
+        lines = [r.value.split()[0] for r in spark.read.text(path).collect() if r.value.split()]
+        rules = {line.lower() for line in lines if not line.startswith("//")}
+        rules |= {rule.encode("idna").decode() for rule in rules if not rule.isascii() and rule[0] not in "*!"}
+        return cls(
+            frozenset(r for r in rules if r[0] not in "*!"), frozenset(r[2:] for r in rules if r.startswith("*.")),
+            frozenset(r[1:] for r in rules if r.startswith("!")))
+
+    def longest(self, host: Column) -> Column:
+        """The host's longest ending by the rules, exceptions first; empty without any."""
+        labels = F.split(host, r"\.")
+        places = F.sequence(F.lit(1), F.size(labels))
+        endings = F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+        def rest(ending: Column) -> Column:
+            return F.when(F.contains(ending, F.lit(".")), F.regexp_replace(ending, r"\A[^.]*\.", "")).otherwise(F.lit(""))
+
+        def among(value: Column, names: frozenset[str]) -> Column:
+            return value.isin(sorted(names)) if names else F.lit(False)
+
+        kept = F.filter(endings, lambda e: among(e, self.exceptions))
+        found = F.filter(endings, lambda e: among(e, self.endings) | among(rest(e), self.parents))
+        return F.when(F.size(kept) > 0, rest(F.get(kept, 0))).otherwise(F.coalesce(F.get(found, 0), F.lit("")))
+
+
 DEFAULT_SUFFIXES = suffix_pattern(V.GENERIC_SUFFIXES, V.COUNTRY_SECOND_LEVELS)
 
 
@@ -50,7 +91,10 @@ def is_ipv4(host: Column) -> Column:
     return matches(host, IPV4)
 
 
-def public_suffix(host: Column, suffixes: str = DEFAULT_SUFFIXES) -> Column:
+def public_suffix(host: Column, suffixes: str | SuffixRules = DEFAULT_SUFFIXES) -> Column:
+    """By the rules of a list, or by a pattern; the default pattern is a short list of our own."""
+    if isinstance(suffixes, SuffixRules):
+        return suffixes.longest(host)
     return F.regexp_extract(host, suffixes, 1)
 
 
@@ -82,7 +126,7 @@ def with_urls(df: DataFrame, text: str = "text", out: str = "urls") -> DataFrame
     return df.withColumn(out, extract_urls(F.coalesce(F.col(text), F.lit(""))))
 
 
-def with_url_parts(df: DataFrame, suffixes: str = DEFAULT_SUFFIXES) -> DataFrame:
+def with_url_parts(df: DataFrame, suffixes: str | SuffixRules = DEFAULT_SUFFIXES) -> DataFrame:
     """Append ``_parts``: per URL its host, suffix, domain, IP flag and user-info flag."""
     hosts = F.transform("urls", lambda u: F.struct(url_host(u).alias("host"), has_user_info(u).alias("at")))
 
@@ -106,7 +150,7 @@ def with_url_parts(df: DataFrame, suffixes: str = DEFAULT_SUFFIXES) -> DataFrame
     return df.withColumn("_parts", F.transform(split, with_domain))
 
 
-def with_url_features(df: DataFrame, text: str = "text", suffixes: str = DEFAULT_SUFFIXES) -> DataFrame:
+def with_url_features(df: DataFrame, text: str = "text", suffixes: str | SuffixRules = DEFAULT_SUFFIXES) -> DataFrame:
     """Append the six URL features; mails without URLs get 0 / False / 0.0."""
     parts = with_url_parts(with_urls(df, text), suffixes)
     entropies = F.transform(

@@ -531,6 +531,10 @@ SELECT model, source_dataset, {", ".join(
     "feature_spot_check": f"""WITH {_DENSE}
 SELECT row_id, label, {rounded("urgency_score", "urgency_score")}, {rounded("word_count", "word_count")},
        {rounded("url_count", "url_count")} FROM with_url ORDER BY md5('42-' || row_id), row_id LIMIT 5""",
+    # What Latin-1 lacks was lost when the word was made.
+    "encoded_words": r"""SELECT doc_id, 'a ' || CASE WHEN doc_id % 4 = 2
+    THEN regexp_replace(substr(text, 1, 30), '[^\x00-\x{FF}]', '?', 'g') ELSE substr(text, 1, 30) END || ' z' AS decoded
+FROM documents WHERE text IS NOT NULL""",
     "mbox_file_states": "SELECT 'whole' AS state, count(*) AS records FROM conversations",
     "mbox_without_mirror_files": "SELECT count(*) AS messages, 0 AS leftovers FROM conversations",
     "mbox_messages": f"""WITH quoted AS (

@@ -141,6 +141,21 @@ def became_blank(spark, sf_dir):
     return cleaning.became_blank_report(text_cleaning.with_clean_text(_unique(spark, sf_dir)))
 
 
+def encoded_words(spark, sf_dir):
+    """Encoded words made of the documents' own beginnings, in four encodings, decoded again."""
+    start = F.substring("text", 1, 30)
+    hexed = lambda charset: F.regexp_replace(F.hex(F.encode(start, charset)), "(..)", "=$1")
+    word = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("=?UTF-8?b?"), F.base64(F.encode(start, "UTF-8"))))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("=?utf-8?Q?"), hexed("UTF-8")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("=?iso-8859-1?q?"), hexed("ISO-8859-1")))
+        .otherwise(F.concat(F.lit("=?utf-16be?B?"), F.base64(F.encode(start, "UTF-16BE"))))
+    )
+    text = F.concat(F.lit("a "), word, F.lit("?= z"))
+    documents = read_table(spark, sf_dir, "documents").filter("text is not null")
+    return documents.select("doc_id", text_cleaning.decode_mime_words(text).alias("decoded"))
+
+
 def html_strip_pages(spark, sf_dir):
     return with_visible_text(read_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "text")
 
@@ -712,7 +727,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in [
         merge_sources_summary, eligible_rows, blank_placeholder_filter, exact_dedup_first_source, duplicates_by_source,
         cleaned_text, quality_flags_before_after, non_email_tags, non_email_filtered, non_email_rate,
-        non_email_first_tags, non_email_preview, became_blank, html_strip_pages, class_balance, seeded_class_rows,
+        non_email_first_tags, non_email_preview, became_blank, encoded_words, html_strip_pages, class_balance, seeded_class_rows,
         stratified_sample, train_val_test_split, confound_slice, split_integrity_checks, output_sizes,
         text_features, text_features_by_label, url_extract, url_features, url_features_by_label, zero_url_report,
         joined_features, feature_alignment_checks, tfidf_vocabulary, tfidf_weights, scaled_dense, assembled_matrix,

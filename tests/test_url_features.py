@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.functions.url_features import extract_urls, url_host, with_url_features, with_url_parts, with_urls
+from mailsift.functions.url_features import SuffixRules, extract_urls, url_host, with_url_features, with_url_parts, with_urls
 
 EXTRACT = [
     ("Two links, http://one.example and https://two.example.net/a/b here.", ["http://one.example", "https://two.example.net/a/b"]),
@@ -61,6 +61,40 @@ def test_suffix_and_domain(spark):
     assert {(r.text, r.suffix, r.domain) for r in rows} == set(DOMAINS)
 
 
+RULES = """// a remark
+com
+co.uk
+uk
+photography
+*.ck
+!www.ck
+*.kawasaki.jp
+!city.kawasaki.jp
+jp
+公司.cn
+cn
+"""
+BY_RULES = [
+    ("http://studio.photography/", "photography", "studio"),
+    ("http://a.b.co.uk/", "co.uk", "b"),
+    ("http://shop.any.ck", "any.ck", "shop"),
+    ("http://www.ck", "ck", "www"),
+    ("http://x.y.kawasaki.jp", "y.kawasaki.jp", "x"),
+    ("http://x.city.kawasaki.jp", "kawasaki.jp", "city"),
+    ("http://name.xn--55qx5d.cn", "xn--55qx5d.cn", "name"),
+    ("http://box.unknowntld", "", "unknowntld"),
+    ("http://co.uk/", "co.uk", ""),
+]
+
+
+def test_suffixes_by_a_list_of_rules(spark, tmp_path):
+    (tmp_path / "rules.dat").write_text(RULES)
+    rules = SuffixRules.read(spark, str(tmp_path / "rules.dat"))
+    df = spark.createDataFrame([(u,) for u, _, _ in BY_RULES], "text string")
+    rows = with_url_parts(with_urls(df), rules).select("text", F.inline("_parts")).collect()
+    assert {(r.text, r.suffix, r.domain) for r in rows} == set(BY_RULES)
+
+
 FEATURES = [
     ("two http://a.com http://b.com", {"url_count": 2}),
     ("http://172.16.4.9/in", {"has_ip_literal": True, "avg_domain_entropy": 0.0, "suspicious_tld": False}),
