@@ -33,10 +33,14 @@ PLAIN_MARKUP = (
     rf"|</(?!{_RAW_TEXT_TAGS})[a-z][-a-z0-9:_.]*+[ \t\r\n]*+>)"
 )
 
-# Entities decoded on the JVM; "&amp;" last, so decoded text is not decoded twice.
-_PLAIN_ENTITIES = ["lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "bull", "hellip", "ndash", "mdash",
-                   "lsquo", "rsquo", "ldquo", "rdquo", "euro", "pound", "trade", "amp"]
-_LEFTOVER = rf"<[a-zA-Z/!?]|&(?!(?:{'|'.join(_PLAIN_ENTITIES)});)[a-zA-Z#]"
+# Character references decoded on the JVM: numbers, and all names that end with a semicolon, frequent ones first.
+_FREQUENT = ["amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "reg", "middot", "bull", "hellip", "ndash", "mdash",
+             "lsquo", "rsquo", "ldquo", "rdquo", "euro", "pound", "trade"]
+_RARE = sorted(name[:-1] for name in html5 if name.endswith(";") and name[:-1] not in _FREQUENT)
+_NUMBER = "#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6})"
+_LEFTOVER = rf"<[a-zA-Z/!?]|&(?!(?:{_NUMBER}|{'|'.join([*_FREQUENT, *_RARE])});)[a-zA-Z#]"
+# Numbers from 128 to 159 stand for characters of a code page; it lacks some.
+_CODE_PAGE = [bytes([code]).decode("windows-1252", "replace") for code in range(128, 160)]
 
 _VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -44,10 +48,30 @@ _VOID_TAGS = frozenset(
 _HIDDEN_CONTAINERS = frozenset(["script", "style", "template", "rt", "rp"])
 
 
+def _numbered_character(code: Column) -> Column:
+    in_page = F.get(F.array(*map(F.lit, _CODE_PAGE)), (code - 128).cast("int"))
+    other = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code.between(128, 159), in_page).when(code <= 0x10FFFF, other).otherwise(F.lit("\ufffd"))
+
+
+def _decoded_start(piece: Column) -> Column:
+    """A piece that begins at an ampersand, with the reference there decoded; nothing is decoded twice."""
+    name = F.regexp_extract(piece, rf"\A&({_NUMBER}|[a-zA-Z0-9]+);", 1)
+    digits = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
+    hexed = F.regexp_extract(name, r"\A#[xX](.+)\z", 1)
+    code = F.coalesce(F.nullif(digits, F.lit("")).cast("bigint"), F.conv(F.nullif(hexed, F.lit("")), 16, 10).cast("bigint"))
+    known = F.when(name == "amp", "&")
+    for frequent in _FREQUENT[1:]:
+        known = known.when(name == frequent, html5[f"{frequent};"])
+    rare = F.create_map(*[F.lit(v) for n in _RARE for v in (n, html5[f"{n};"])])
+    known = known.when(F.startswith(name, F.lit("#")), _numbered_character(code)).otherwise(rare[name])
+    rest = F.substring(piece, F.length(name) + 3, F.length(piece))
+    return F.when(name == "", piece).otherwise(F.coalesce(F.concat(known, rest), piece))
+
+
 def _decode_entities(piece: Column) -> Column:
-    decoded = piece
-    for name in _PLAIN_ENTITIES:
-        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(html5[f"{name};"]))
+    parts = F.split(piece, "(?=&)")
+    decoded = F.array_join(F.transform(parts, _decoded_start), "")
     return F.when(F.contains(piece, F.lit("&")), decoded).otherwise(piece)
 
 

@@ -106,10 +106,11 @@ def stepwise(text):
 
 def test_jvm_and_python_cleaning_agree(spark):
     """Random markup: whichever path a text takes, the result is the Python chain's."""
-    mild = ["<p>", "</p>", "<b>", "</b>", " text ", "word", "&amp;", "&lt;", "&nbsp;", "<br>", "<br/>", "\n", "é", "Ã©",
+    mild = ["&#39;", "&#8217;", "&#x1F600;", "&eacute;", "&NotEqualTilde;", "&#146;", "&#129;", "&#38;lt;", "&amp;lt;", "&apos;",
+            "&#1114112;", "<p>", "</p>", "<b>", "</b>", " text ", "word", "&amp;", "&lt;", "&nbsp;", "<br>", "<br/>", "\n", "é", "Ã©",
             '<a href="http://x.y/?a=1">', "</a>", "<a href=foo/bar>", "<!-- c -->", "<!doctype html>", "a < b", "1<2",
             '<script>var a="</p>";</script>', "<style>p{}</style>", '<IMG SRC=x ALT="y">', "<td nowrap width=10%>", "<hr />"]
-    odd = ["&eacute;", "&#146;", "&amp", "& ", "< b", '<a title="a>b">', "<!-->", "<textarea><b>x</b>", "<?php ?>", "<b", "</ p>",
+    odd = ["&#99999999;", "&#x;", "?a=1&b=2", "&amp", "& ", "< b", '<a title="a>b">', "<!-->", "<textarea><b>x</b>", "<?php ?>", "<b", "</ p>",
            "=?utf-8?B?w6k=?=", "<![CDATA[x]]>", "<p class=it's>", "<o:p>", "&unknown;", "<a/b>"]
     rng = random.Random(5)
     rows = [(i, "".join(rng.choices(mild + (odd if i % 3 == 0 else []), k=rng.randint(1, 10)))) for i in range(6000)]
