@@ -26,8 +26,8 @@ PATH_BITS, WORD_BITS = 10, 11
 PATH_SIZE, WORD_SIZE, UNITS = 16, 8, 16
 MEASURES = 5
 # Pages that are learnt from at most (each of at most so many characters), and layouts composed of them.
-SAMPLE, SAMPLE_CHARS, COMPOSED = 240, 60_000, 700
-STEPS, BATCH, RATE = 220, 24, 0.01
+SAMPLE, SAMPLE_CHARS, COMPOSED = 240, 60_000, 1600
+STEPS, BATCH, RATE = 500, 24, 0.01
 LONGEST_TRAINED = 60
 SEED = 8
 PAGE_BYTES = 1 << 20
@@ -320,18 +320,27 @@ def train(pages: list[list[tuple[Block, bool]]], steps: int = STEPS, seed: int =
 
 # Containers by what they hold, as (tag, class words); a plain tag has no class.
 MAIN = ("article", "main", "div.content", "div.post.content", "div.entry.content", "div.article.body", "section.story",
-        "div.story", "td.body", "div.main.text", "div.post", "section.content", "div.page.content", "div.body", "div")
+        "div.story", "td.body", "div.main.text", "div.post", "section.content", "div.page.content", "div.body", "div",
+        "main article.post div.entry.content", "div.main", "table tr td.text", "div.article.content", "article div.text",
+        "div.center", "div.blog.post", "table tr td", "main section", "body.text")
 OTHER = {
-    "menu": ("nav", "ul.menu", "div.navbar", "div.navigation", "div.breadcrumbs", "ul.nav.links", "div.topnav", "menu"),
-    "header": ("header", "div.header", "div.masthead", "div.topbar", "div.logo", "div.site.title"),
-    "footer": ("footer", "div.footer", "div.copyright", "div.legal", "div.site.info", "div.bottom"),
-    "sidebar": ("aside", "div.sidebar", "div.widget", "div.related", "div.recommended", "div.trending", "section.teaser"),
+    "menu": ("nav", "ul.menu", "div.navbar", "div.navigation", "div.breadcrumbs", "ul.nav.links", "div.topnav", "menu",
+             "div.menu", "table tr td.nav", "div.left", "div.toc", "div.pagination", "ul.pager", "div.links"),
+    "header": ("header", "div.header", "div.masthead", "div.topbar", "div.logo", "div.site.title",
+               "div.top", "header.site.header", "div.head", "td.top", "div.branding", "div.tagline"),
+    "footer": ("footer", "div.footer", "div.copyright", "div.legal", "div.site.info", "div.bottom",
+               "footer.site.footer", "div.foot", "td.bottom", "footer.entry.footer", "div.imprint", "div.colophon"),
+    "sidebar": ("aside", "div.sidebar", "div.widget", "div.related", "div.recommended", "div.trending", "section.teaser",
+                "div.right", "td.side", "aside.widget.area", "div.popular", "section.related", "div.more", "div.rail"),
     "notice": ("div.cookie.notice", "div.banner", "div.consent", "div.notice", "div.newsletter", "div.alert", "dialog",
-               "div.popup", "div.modal", "div.paywall"),
-    "advert": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "ins.adsbygoogle"),
+               "div.popup", "div.modal", "div.paywall", "div.cookie.consent", "div.cookie.banner", "div.gdpr", "section.notice",
+               "div.newsletter.signup", "div.message", "div.warning", "div.subscribe.box"),
+    "advert": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "ins.adsbygoogle",
+               "table tr td.ads", "td.ads", "div.ad.slot", "div.ad.container", "aside.ad", "section.sponsor", "div.banner.ad", "div.commercial"),
     "form": ("form", "div.search.form", "form.subscribe", "form.login", "fieldset", "label", "button", "select option"),
     "comments": ("div.comments", "section.comments", "ol.commentlist", "div.comment", "div.reply", "div.disqus",
-                 "article.comment", "ul.comment.list", "div.responses"),
+                 "article.comment", "ul.comment.list", "div.responses", "section.comments", "div.comments.area",
+                 "ol.comment.list li.comment", "section.discussion", "div.comment.body", "div.reader.comments", "div.replies"),
     "share": ("div.share", "div.social", "ul.share.buttons", "div.tags", "div.byline", "div.meta"),
     "title": ("head title", "noscript"),
 }
@@ -371,9 +380,9 @@ def _composed(texts: list[str], others: list[str], rng) -> list[tuple[Block, boo
             long = kind in ("comments", "sidebar", "notice", "advert", "footer") and rng.random() < 0.5
             words = pick(others).split()
             text = " ".join(words[: int(rng.integers(1, 5) if not long else rng.integers(5, 40))])
-            if SAYINGS[kind] and rng.random() < 0.5:
+            if SAYINGS[kind] and rng.random() < 0.35:
                 text = pick(SAYINGS[kind]) if rng.random() < 0.6 else f"{pick(SAYINGS[kind])} {text}"
-            leaf = pick((("li",), ("p",), ("div",), ("span",)[:0], ("h3",)))
+            leaf = pick((("li",), ("p",), ("p",), ("div",), (), ("h3",), ("h2",), ("div", "p"), ("li", "p")))
             out.append((Block(base + leaf, text, float(kind in ("menu", "share") or rng.random() < 0.3)), False))
         return out
 
@@ -386,19 +395,20 @@ def _composed(texts: list[str], others: list[str], rng) -> list[tuple[Block, boo
             page += other(kind, wrap)
     body: list[tuple[Block, bool]] = []
     if rng.random() < 0.7:
-        body.append((Block(inner + (pick(("h1", "h2")),), " ".join(texts[0].split()[:8]), 0.0), True))
+        heading = pick((("h1",), ("h1",), ("h2",), ("header", "h1"), ("header", "entry", "header", "h1", "entry", "title")))
+        body.append((Block(inner + heading, " ".join(texts[0].split()[:8]), 0.0), True))
     for text in texts:
         leaf = pick((("p",), ("p",), ("p",), ("p",), ("div",), ("blockquote", "p"), ("ul", "li"), ("h2",), ("pre",), ()))
         short = leaf in (("ul", "li"), ("h2",)) or rng.random() < 0.15
         body.append((Block(inner + leaf, " ".join(text.split()[:8]) if short else text,
                            0.1 * float(rng.random() < 0.2)), True))
-        if rng.random() < 0.08:
+        if rng.random() < 0.1:
             body += other(pick(("advert", "share", "sidebar", "notice", "form")), inner)
     page += body
     if rng.random() < 0.4:
         page += other("share", inner if rng.random() < 0.5 else wrap)
     if rng.random() < 0.5:
-        page += other("comments", inner if rng.random() < 0.4 else wrap)
+        page += other("comments", inner if rng.random() < 0.5 else wrap)
     for kind in ("sidebar", "form", "advert", "footer"):
         if rng.random() < 0.5:
             page += other(kind, wrap)
