@@ -344,6 +344,17 @@ def test_large_families_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 3, 90)
 
 
+def test_texts_with_a_passage_in_common_are_no_candidates(spark):
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: " ".join([f"a{i}_{k}" for k in range(40)] + passage + [f"b{i}_{k}" for k in range(40)]) for i in range(80)}
+    near = " ".join(passage * 2)
+    texts |= {100 + i: near + f" t{i}" for i in range(3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("text_code", F.lit(0))
+    keys = ngram_join.key_table(docs.repartition(3), 5, 80)
+    found = components(ngram_join.candidate_links(keys), Workspace(spark, "t")).collect()
+    assert len(found) == 3 and len({r.root for r in found}) == 1
+
+
 def test_star_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), Workspace(spark, "t")).collect()}
