@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from mailsift.functions.fixed_values import HTML_TAGS
 from mailsift.functions.patterns import AT_WORD_END, matches, trim_space, with_computed
@@ -172,3 +172,15 @@ def with_visible_text(df: DataFrame, text: str) -> DataFrame:
     parsed = _parsed_text(F.when(need_parser(F.col("_pieces")), F.col(text)))
     visible = F.coalesce(parsed, joined_pieces(F.col("_pieces")), F.col(text))
     return with_computed(cut, text, visible).drop("_pieces")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _parsed_parts(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda texts: None if texts is None else [html_to_text(t) for t in texts])
+
+
+def with_visible_parts(df: DataFrame, parts: str) -> DataFrame:
+    """Replace an array of HTML texts by their visible texts, whether or not they hold a known tag."""
+    cut = df.withColumn("_pieces", F.transform(parts, lambda t: F.split(t, PLAIN_MARKUP, -1)))
+    parsed = _parsed_parts(F.when(F.exists("_pieces", need_parser), F.col(parts)))
+    return with_computed(cut, parts, F.coalesce(parsed, F.transform("_pieces", joined_pieces))).drop("_pieces")

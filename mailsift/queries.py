@@ -161,6 +161,7 @@ def html_strip_pages(spark, sf_dir):
 
 
 def class_balance(spark, sf_dir):
+    """Labels of the general corpus as it comes; a fifth of the documents belongs to another source of the inbox."""
     return files.class_balance(raw_sources(spark, sf_dir)["general_corpus"])
 
 
