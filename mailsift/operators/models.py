@@ -45,15 +45,18 @@ class TrainingOptions:
 
 
 def estimators(options: TrainingOptions) -> dict:
-    """Three different tree ensembles; the second boosting variant sees row samples and larger leaves."""
+    """Three different tree ensembles. Boosting steps look at a third of the features each, as most are rare terms;
+    the second variant sees row samples and larger leaves."""
     boosting = dict(
         featuresCol="features", labelCol="y", maxIter=options.rounds, maxDepth=options.boosting_depth,
         stepSize=options.step, lossType="logistic", seed=options.seed, checkpointInterval=10, cacheNodeIds=True,
+        featureSubsetStrategy="onethird", maxMemoryInMB=512,
     )
     return {
         "random_forest": RandomForestClassifier(
             featuresCol="features", labelCol="y", numTrees=options.trees, maxDepth=options.forest_depth,
             featureSubsetStrategy="sqrt", seed=options.seed, checkpointInterval=10, cacheNodeIds=True,
+            maxMemoryInMB=512,
         ),
         "boosting_a": GBTClassifier(**boosting),
         "boosting_b": GBTClassifier(**{**boosting, "seed": options.seed + 1}, minInstancesPerNode=20, subsamplingRate=0.8),
