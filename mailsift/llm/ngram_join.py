@@ -7,12 +7,14 @@ threshold, and pairs that cannot reach it by their sizes are discarded before an
 1. *Identical sets* are one row of the matrix (hot groups of copies are one row).
 2. *Blocks.* Two sets whose Jaccard similarity reaches t differ in at most D = (1-t)/(1+t)(|A|+|B|)
    n-grams. The n-grams are dealt by hash into K = D + s segments, so at least s segments are equal in
-   both. Documents are keyed by each of their segments; documents that share a key are in one family,
+   both, and a document is keyed by each of its segments. Of its keys it keeps the D + 1 that fewest sets
+   have (ties by key): two sets that share s keys, put in one order for all, share one of these. So texts
+   that have a passage in common but little else do not meet. Documents that share a kept key are in one family,
    and no pair above the threshold has its ends in two families. Sizes are cut into bands whose ends
    stand in the ratio t, so that only equal or neighbouring bands meet: a document is keyed for its
    own band and the next one. A document with s or more empty segments could share only empty ones with
    a partner; that partner has them too, so all such documents are dealt anew under another seed, and
-   after the last seed they share one key per band.
+   after the last seed they share one key per band; they keep all their keys.
 3. *Product.* Each family is multiplied on its own. A family larger than one block is cut by size band
    and by hash, and each pair of blocks that the sizes allow is a task of bounded size. Columns held by
    few rows add to the overlaps pair by pair, columns held by many through a dense product.
@@ -96,13 +98,18 @@ def band_plan(percent: int, band: int) -> tuple[int, int]:
     return (most + spare, spare) if most else (0, 0)
 
 
-def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
-    """All keys of one set, whose pairs with an equal key form the candidate families."""
+def segment_keys(grams: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of one set, and for each what it needs to be ranked.
+
+    That is a number made of the deal it comes from (band and seed) and of how many more keys than the set
+    has in that deal it may keep (one or fewer; 0 keeps all).
+    """
     n = len(grams)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.int64)
+        return none, none
     own = int(np.searchsorted(band_starts(percent, 1 << max(n.bit_length(), 1)), n, side="right")) - 1
-    keys = []
+    keys, ranks = [], []
     for band in (own, own + 1):
         segments, spare = band_plan(percent, band)
         if not segments:
@@ -113,12 +120,20 @@ def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
             sums = np.add.reduceat(mixed(spread ^ np.uint64(77)), first)
             salt = mixed(np.array([(band << 8) + seed], np.uint64))[0]
-            keys.append(mixed(sums ^ mixed(which[first] + salt)))
-            if segments - len(first) < spare:
+            keys.append(mixed(sums ^ mixed(which[first] + salt)).astype(np.int64))
+            enough = segments - len(first) < spare
+            more = segments - spare + 1 - len(first) if enough else 0
+            ranks.append(np.full(len(first), _rank(band, seed, more), np.int64))
+            if enough:
                 break
         else:
-            keys.append(mixed(np.array([(1 << 40) + band], np.uint64)))
-    return (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).astype(np.int64)
+            keys.append(mixed(np.array([(1 << 40) + band], np.uint64)).astype(np.int64))
+            ranks.append(np.array([_rank(band, 255, 0)], np.int64))
+    return (np.concatenate(keys), np.concatenate(ranks)) if keys else (none, none)
+
+
+def _rank(band: int, seed: int, more: int) -> int:
+    return (((band << 8) + seed) << 32) + more + (1 << 31)
 
 
 def _sets(docs: DataFrame, words: int, names: dict[str, str], give) -> DataFrame:
@@ -151,27 +166,42 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
 
 
 def key_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``key, set_id``: the segment keys of each set, once per input partition."""
+    """``key, set_id, rank``: the segment keys of each set, once per input partition."""
 
     def give(sets, part, seen):
-        keys, ids = [], []
+        keys, ids, ranks = [], [], []
         for s in sets:
             code = set_code(s) if len(s) else None
             if code is None or code in seen:
                 continue
             seen.add(code)
-            keys.append(segment_keys(s, percent))
-            ids.append(np.full(len(keys[-1]), code, np.int64))
-        return pa.record_batch(
-            [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)),
-             pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["key", "set_id"],
-        )
-
-    return _sets(docs, words, {"key": "bigint", "set_id": "bigint"}, give)
+            own, rank = segment_keys(s, percent)
+            keys.append(own)
+            ranks.append(rank)
+            ids.append(np.full(len(own), code, np.int64))
+        flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        return pa.record_batch([flat(keys), flat(ids), flat(ranks)], ["key", "set_id", "rank"])
+
+    return _sets(docs, words, {"key": "bigint", "set_id": "bigint", "rank": "bigint"}, give)
+
+
+def candidate_links(keys: DataFrame) -> DataFrame:
+    """``a, b``: sets that follow each other among those that share a kept key, so each key's sets are connected."""
+    new = F.expr("coalesce(lag(set_id) over (partition by key order by set_id) <> set_id, true)")
+    keys = keys.withColumn("new", new.cast("int")).withColumn("sets", F.expr("sum(new) over (partition by key)"))
+    # Keys that one set alone has are counted by their absence; the rest is a small part of all.
+    shared = keys.filter("new = 1 and sets > 1").withColumn("deal", F.expr("shiftright(rank, 32)")).withColumn(
+        "more", F.expr("(rank & 4294967295L) - 2147483648L"))
+    place = F.expr("row_number() over (partition by set_id, deal order by sets, key)")
+    among = F.expr("count(*) over (partition by set_id, deal)")
+    kept = shared.withColumn("place", place).withColumn("among", among).filter("place <= among + more")
+    before = F.expr("lag(set_id) over (partition by key order by set_id)")
+    return kept.select("key", "set_id").withColumn("a", before).filter("a is not null").select(
+        "a", F.col("set_id").alias("b"))
 
 
 def gram_rows(docs: DataFrame, words: int) -> DataFrame:
-    """``family, m, set_id, grams``: rows of the matrix, the n-grams as packed 64-bit numbers."""
+    """``family, blocks, set_id, grams``: rows of the matrix, the n-grams as packed 64-bit numbers."""
 
     def give(sets, part, seen):
         codes, new = [set_code(s) for s in sets], []
@@ -181,11 +211,12 @@ def gram_rows(docs: DataFrame, words: int) -> DataFrame:
                 new.append(i)
         kept = part.take(pa.array(new, pa.int32()))
         return pa.record_batch(
-            [kept.column("family"), kept.column("m"), pa.array([codes[i] for i in new], pa.int64()),
-             pa.array([sets[i].tobytes() for i in new], pa.binary())], ["family", "m", "set_id", "grams"],
+            [kept.column("family"), kept.column("blocks"), pa.array([codes[i] for i in new], pa.int64()),
+             pa.array([sets[i].tobytes() for i in new], pa.binary())], ["family", "blocks", "set_id", "grams"],
         )
 
-    return _sets(docs, words, {"family": "bigint", "m": "int", "set_id": "bigint", "grams": "binary"}, give)
+    return _sets(
+        docs, words, {"family": "bigint", "blocks": "map<int,int>", "set_id": "bigint", "grams": "binary"}, give)
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,27 +279,34 @@ def _forest(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _band(size: Column, percent: int) -> Column:
+    starts = band_starts(percent, 1 << 40)
+    return F.size(F.filter(F.array(*[F.lit(int(s)) for s in starts]), lambda s: s <= size)) - 1
+
+
 def _spread(rows: DataFrame, percent: int) -> DataFrame:
     """Deal rows of the matrix to pairs of blocks.
 
-    A family of one block is one task. In a larger one, blocks are (size band, hash), and a row goes to
-    each pair of blocks that its block is part of: with blocks of its own band and of the next bands.
+    A family of one block (``blocks`` null) is one task. In a larger one, blocks are (size band, hash), as
+    many for a band as ``blocks`` says, and a row goes to each pair of blocks that its block is part of:
+    with blocks of its own band, of the next one and of the one before.
     """
-    n = F.length("grams") / 8
-    starts = band_starts(percent, 1 << 40)
-    band = F.size(F.filter(F.array(*[F.lit(int(s)) for s in starts]), lambda s: s <= n)) - 1
-    part = F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int")
-    rows = rows.withColumn("band", F.when(F.col("m") > 1, band).otherwise(0)).withColumn("part", part)
-    others = F.sequence(F.lit(0), F.col("m") - 1)
+    rows = rows.withColumn("band", F.when(F.col("blocks").isNotNull(), _band(F.length("grams") / 8, percent)).otherwise(0))
+    count = lambda band: F.coalesce(F.try_element_at("blocks", band), F.lit(0))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id"), F.greatest(count(F.col("band")), F.lit(1))).cast("int"))
+    b, p, no, yes = F.col("band"), F.col("part"), F.lit(False), F.lit(True)
 
     def pair(low: Column, i: Column, high: Column, j: Column, left: Column) -> Column:
         return F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), left.alias("left"))
 
-    b, p, no, yes = F.col("band"), F.col("part"), F.lit(False), F.lit(True)
-    own = F.transform(others, lambda o: pair(b, F.least(p, o), b, F.greatest(p, o), p <= o))
-    above = F.transform(others, lambda o: pair(b, p, b + 1, o, yes))
-    below = F.transform(others, lambda o: pair(b - 1, o, b, p, no))
-    places = F.when(F.col("m") > 1, F.concat(own, above, below)).otherwise(F.array(pair(b, p, b, p, yes)))
+    def each(band: Column, one) -> Column:
+        """``one`` for each block of a band, none if the family has none there."""
+        return F.transform(F.filter(F.sequence(F.lit(0), count(band)), lambda o: o < count(band)), one)
+
+    own = each(b, lambda o: pair(b, F.least(p, o), b, F.greatest(p, o), p <= o))
+    above = each(b + 1, lambda o: pair(b, p, b + 1, o, yes))
+    below = each(b - 1, lambda o: pair(b - 1, o, b, p, no))
+    places = F.when(F.col("blocks").isNotNull(), F.concat(own, above, below)).otherwise(F.array(pair(b, p, b, p, yes)))
     return rows.withColumn("place", F.explode(places)).select("family", "place.*", "set_id", "grams")
 
 
@@ -323,21 +361,24 @@ def linked_rows(docs: DataFrame, work: Workspace, words: int, percent: int) -> D
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_code", F.xxhash64("text"))
     base = work.keep(set_table(docs, words))
-    keys = key_table(docs, words, percent).withColumn(
-        "before", F.expr("lag(set_id) over (partition by key order by set_id)"))
-    near = keys.filter("before <> set_id").select(F.col("before").alias("a"), F.col("set_id").alias("b"))
-    family = components(near, work)
+    family = components(candidate_links(key_table(docs, words, percent)), work)
 
     # One document stands for each set of a family; only the texts of these are read again.
     heads = base.filter("set_id is not null").join(family, base.set_id == family.node).groupBy("node", "root").agg(
         F.min(F.struct("doc_id", "text_code")).alias("head"), F.max("n_shingles").alias("n"))
-    total = heads.groupBy("root").agg(F.sum("n").alias("grams"), F.count("*").alias("rows"))
+    # Families of more than one block get a number of blocks for each size band.
+    per_band = heads.groupBy("root", _band(F.col("n"), percent).alias("band")).agg(
+        F.sum("n").alias("grams"), F.count("*").alias("rows"))
     blocks = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int")
-    heads = heads.join(total.select("root", blocks.alias("m")), "root").select(
+    large = (F.sum("grams") > BLOCK_GRAMS) | (F.sum("rows") > BLOCK_ROWS)
+    per_family = per_band.groupBy("root").agg(
+        large.alias("large"), F.map_from_entries(F.collect_list(F.struct("band", blocks))).alias("blocks")
+    ).filter("large").drop("large")
+    heads = work.keep(heads.join(per_family, "root", "left").select(
         F.col("head.doc_id").alias("head_id"), F.col("head.text_code").alias("head_code"),
-        F.col("root").alias("family"), "m")
+        F.col("root").alias("family"), "blocks"))
     of_head = docs.text_code.eqNullSafe(heads.head_code) & docs.doc_id.eqNullSafe(heads.head_id)
-    rows = gram_rows(docs.join(heads, of_head).select("family", "m", "text"), words)
+    rows = gram_rows(docs.join(heads, of_head).select("family", "blocks", "text"), words)
     links = work.keep(_product(_spread(rows, percent), percent))
 
     found = components(links, work)
