@@ -13,7 +13,7 @@ from mailsift.workspace import materialise, run_dir
 
 # Texts of one Arrow batch are worked on in runs of at most this many bytes, so memory in a task is
 # bounded by this and by the longest single text.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
 
 # Rows whose crc32(doc_id as text) leaves no remainder by this number are never learnt from.
 HOLD_OUT = 5

@@ -378,7 +378,8 @@ def linked_rows(docs: DataFrame, work: Workspace, words: int, percent: int) -> D
         F.col("head.doc_id").alias("head_id"), F.col("head.text_code").alias("head_code"),
         F.col("root").alias("family"), "blocks"))
     of_head = docs.text_code.eqNullSafe(heads.head_code) & docs.doc_id.eqNullSafe(heads.head_id)
-    rows = gram_rows(docs.join(heads, of_head).select("family", "blocks", "text"), words)
+    # The table of heads grows with the documents: it is joined by shuffling at every size.
+    rows = gram_rows(docs.join(heads.hint("merge"), of_head).select("family", "blocks", "text"), words)
     links = work.keep(_product(_spread(rows, percent), percent))
 
     found = components(links, work)
@@ -415,15 +416,15 @@ def one_of_each(docs: DataFrame, work: Workspace, words: int = 5, percent: int =
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_code")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     rows = rows.join(first, "root").withColumn("stays", order == F.col("first"))
-    # Rows are named by id and code; the written tables hold only those that go or repeat, and their size is known.
+    # Rows are named by id and code; these tables grow with the documents and are joined by shuffling at every size.
     named = rows.groupBy("doc_id", "text_code").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     gone = work.keep(named.filter("not stays").select(F.col("doc_id").alias("id"), F.col("text_code").alias("code")))
     again = work.keep(named.filter("stays and n > 1").select(F.col("doc_id").alias("id"), F.col("text_code").alias("code")))
     this = F.expr("doc_id <=> id and xxhash64(text) = code")
-    kept = docs.join(gone, this, "left_anti")
+    kept = docs.join(gone.hint("merge"), this, "left_anti")
     if not again.take(1):
         return kept
     every = [F.col(f"`{c}`") for c in docs.columns]
     place = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*every)))
-    once = kept.join(again, this, "left_semi").withColumn("_place", place).filter("_place = 1").drop("_place")
-    return kept.join(again, this, "left_anti").unionByName(once)
+    once = kept.join(again.hint("merge"), this, "left_semi").withColumn("_place", place).filter("_place = 1").drop("_place")
+    return kept.join(again.hint("merge"), this, "left_anti").unionByName(once)
