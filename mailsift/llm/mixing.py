@@ -89,10 +89,6 @@ def seats(votes: DataFrame, group: list[str], vote: str, total: str, order: list
         *kept, (F.col("_low") + F.col("_won")).alias("seats"))
 
 
-def _overlap(a: Column, b: Column, low: Column, high: Column) -> Column:
-    return F.greatest(F.least(b, high) - F.greatest(a, low), F.lit(0))
-
-
 def mix(
     docs: DataFrame, work: Workspace, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES,
     block: int = BLOCK_WORDS, seed: str = SEED,
@@ -142,32 +138,43 @@ def mix(
     quotas = work.keep(quotas.select("source", "shard", "shards", "shard_size", "source_size", "target", "held",
                                      "copies", "rest", "first"))
 
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source.alias("_source"),
-        word_count("text").alias("_size"), _number(key, 1, 8).alias("_deal"),
-        F.substring(F.md5(key), 9, 16).alias("_order"), F.col("doc_id").cast("bigint").alias("_id"))
-    by_source = aims.select(F.col("source").alias("_s"), F.col("shards").alias("_shards"))
-    rows = rows.join(by_source, F.expr("_source <=> _s")).withColumn("_shard", F.pmod("_deal", "_shards"))
-    rows = rows.join(quotas, F.expr("_source <=> source and _shard = shard"))
-    order = W.partitionBy("_source", "_shard").orderBy("_order", "_id", "_size").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_end", F.sum("_size").over(order)).withColumn("_begin", F.expr("_end - _size"))
-    low, high = F.col("first") * block, (F.col("first") + F.col("rest")) * block
-    around = F.greatest((F.col("first") + F.col("rest") - F.col("held")) * block, F.lit(0))
-    begin, end = F.col("_begin"), F.col("_end")
+    # Names of our own beside those of the rows; columns that nobody asks for are not carried along.
+    own = "_mix_"
+    while any(c.startswith(own) for c in docs.columns):
+        own = f"_{own}"
+
+    def mine(name: str) -> Column:
+        return F.col(own + name)
+
+    def renamed(df: DataFrame) -> DataFrame:
+        return df.select([F.col(c).alias(own + c) for c in df.columns])
+
+    rows = docs.withColumns({
+        f"{own}key": source, f"{own}size": word_count("text"), f"{own}deal": _number(key, 1, 8),
+        f"{own}order": F.substring(F.md5(key), 9, 16), f"{own}id": F.col("doc_id").cast("bigint")})
+    of_source = renamed(aims.select(F.col("source").alias("s"), F.col("shards").alias("of")))
+    rows = rows.join(of_source, mine("key").eqNullSafe(mine("s"))).withColumn(f"{own}dealt", F.pmod(mine("deal"), mine("of")))
+    rows = rows.join(renamed(quotas), mine("key").eqNullSafe(mine("source")) & (mine("dealt") == mine("shard")))
+    order = W.partitionBy(mine("key"), mine("dealt")).orderBy(mine("order"), mine("id"), mine("size"))
+    end = F.sum(mine("size")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn(f"{own}end", end)
+    begin, end = mine("end") - mine("size"), mine("end")
+    low, high = mine("first") * block, (mine("first") + mine("rest")) * block
+    around = F.greatest((mine("first") + mine("rest") - mine("held")) * block, F.lit(0))
 
     def cut(a: Column, b: Column) -> Column:
         return F.struct((F.greatest(begin, a) - begin).alias("from"), (F.least(end, b) - begin).alias("to"))
 
     parts = F.filter(F.array(cut(F.lit(0).cast("bigint"), around), cut(low, high)), lambda p: p["to"] > p["from"])
-    rows = rows.withColumn("_parts", parts)
-    cut_words = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, p: n + p["to"] - p["from"])
-    rows = rows.withColumn("_cut", cut_words)
-    full = (F.col("_cut") >= F.col("_size")) & (F.col("_size") > 0)
-    return rows.select("_row.*", F.struct(
-        F.col("_size").alias("size"), "source_size", "target",
-        (F.col("copies") * F.col("_size") + F.col("_cut")).alias("taken"),
-        (F.col("copies") + full.cast("bigint")).alias("whole"),
-        F.when(full, F.array().cast("array<struct<from:bigint,to:bigint>>")).otherwise(F.col("_parts")).alias("ranges"),
+    rows = rows.withColumn(f"{own}parts", parts)
+    rows = rows.withColumn(f"{own}cut", F.aggregate(
+        mine("parts"), F.lit(0).cast("bigint"), lambda n, p: n + p["to"] - p["from"]))
+    full = (mine("cut") >= mine("size")) & (mine("size") > 0)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
+        mine("size").alias("size"), mine("source_size").alias("source_size"), mine("target").alias("target"),
+        (mine("copies") * mine("size") + mine("cut")).alias("taken"),
+        (mine("copies") + full.cast("bigint")).alias("whole"),
+        F.when(full, F.array().cast("array<struct<from:bigint,to:bigint>>")).otherwise(mine("parts")).alias("ranges"),
     ).alias("mix_plan"))
 
 
