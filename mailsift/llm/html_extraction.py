@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import runs
+from mailsift.llm.common import runs, seeded_share
 
 PATH_BITS, WORD_BITS = 10, 11
 PATH_SIZE, WORD_SIZE, UNITS = 16, 8, 16
@@ -416,9 +416,10 @@ def _composed(texts: list[str], others: list[str], rng) -> list[tuple[Block, boo
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE, composed: int = COMPOSED) -> Labeller:
-    """Train on at most ``sample`` pages, the first by a hash of their address, of bounded size."""
-    chosen = pages.filter(F.length("html").between(1, SAMPLE_CHARS)).select(
-        F.xxhash64("url", "page_id").alias("_order"), "html").orderBy("_order", "html").limit(sample).collect()
+    """Train on about ``sample`` pages of bounded size, drawn by a hash of their address; all if there are fewer."""
+    pool = pages.filter(F.length("html").between(1, SAMPLE_CHARS))
+    drawn = pool.filter(seeded_share(SEED, "url", "page_id") < min(1.0, sample / max(pool.count(), 1)))
+    chosen = sorted(drawn.select("html").collect())
     real = [blocks_of(r["html"]) for r in chosen]
     marked = [m for m in map(_marked, real) if m]
     others = [b.text for m in marked for b, y in m if not y] or ["Home", "Contact"]
