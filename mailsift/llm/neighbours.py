@@ -138,7 +138,8 @@ def nearest(
         F.greatest(F.ceil(F.sum((F.col("id") % every == 0).cast("int")) / BLOCK_QUERIES), F.lit(1)).cast("int")
         .alias("query_blocks"),
     )
-    rows = coded.join(sizes, "dimension")
+    # One row for each length of vector that occurs.
+    rows = coded.join(F.broadcast(sizes), "dimension")
     spot = F.xxhash64("id")
     candidates = rows.select(
         "dimension", F.pmod(spot, F.col("blocks")).cast("int").alias("c"),
