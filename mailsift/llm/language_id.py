@@ -27,6 +27,9 @@ WINDOWS_AT_ONCE = 4096
 SAMPLE, PASSAGES, PASSAGE = 400, 4, 60
 STEPS, BATCH, RATE = 160, 192, 0.02
 SEED = 4
+# A text is accepted from the probability on that all but this share of labelled documents give to their own language,
+# and from this far up the way from equal probabilities to certainty.
+REJECTED, MARGIN = 0.01, 0.25
 UNKNOWN = "und"
 
 LETTER_BYTES = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -272,6 +275,34 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def least_probability(docs: DataFrame, net: Network, sample: int = SAMPLE, rejected: float = REJECTED) -> float:
+    """The probability from which on a text counts as one of a learnt language, from labelled documents not held out.
+
+    Whole texts of at most about ``sample`` seeded documents of each language are scored; the low quantile of their own
+    language's probability is taken. With less than two languages nothing can be told from the probability: 0.
+    """
+    if len(net.languages) < 2:
+        return 0.0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, "text"):
+                p = document_probabilities(net, *utf8(part.column("text")))
+                own = [net.languages.index(lang) for lang in part.column("lang").to_pylist()]
+                yield pa.record_batch([pa.array(p[np.arange(len(p)), own])], ["own"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
+    rows = rows.filter(F.col("lang").isin(net.languages) & F.col("text").rlike(r"\p{L}")).filter(~held_out())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    floor = (1 + MARGIN * (len(net.languages) - 1)) / len(net.languages)
+    if not counts:
+        return floor
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
+    drawn = rows.filter(seeded_share(SEED + 2, "doc_id") < share[F.col("lang")]).select("text", "lang")
+    own = [r["own"] for r in drawn.mapInArrow(work, "own double").collect()]
+    return max(floor, float(np.quantile(own, rejected))) if own else floor
+
+
 def accepted(docs: DataFrame, net: Network, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learnt language with a probability of ``least`` or more.
 

@@ -140,6 +140,28 @@ def test_language_on_held_out_documents(spark, documents):
     assert (rows.lang == rows.lang_pred)[rows.held_out].mean() > 0.97 and found.score.between(0, 1).all()
 
 
+def test_letter_junk_and_unlearnt_languages_are_rejected(spark, sf_dir, documents):
+    rng = np.random.default_rng(3)
+    junk = [" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60)) for _ in range(100)]
+    schema = "doc_id bigint, text string, lang string"
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(
+        [*documents[["doc_id", "text", "lang"]].itertuples(index=False, name=None), *[(10**6 + i, t, None) for i, t in enumerate(junk)]],
+        schema), sf_dir).toPandas()
+    assert (kept.doc_id >= 10**6).sum() <= 0.2 * len(junk) and (kept.doc_id < 10**6).sum() > 0.95 * len(documents)
+    # German documents without labels: a language that is not learnt.
+    unlearnt = documents.assign(lang=documents.lang.where(documents.lang != "de", None))[["doc_id", "text", "lang"]]
+    kept = corpus_pipeline.identify_language(
+        spark, spark.createDataFrame(list(unlearnt.itertuples(index=False, name=None)), schema), sf_dir).toPandas()
+    assert kept.lang.isna().sum() <= 0.2 * unlearnt.lang.isna().sum()
+    assert kept.lang.notna().sum() > 0.95 * unlearnt.lang.notna().sum()
+
+
+def test_one_language_leaves_only_the_letters_to_decide(spark):
+    docs = spark.createDataFrame([(i, f"some words in English {i}", "en") for i in range(30)], "doc_id bigint, text string, lang string")
+    net = language_id.learn(docs, steps=2)
+    assert language_id.least_probability(docs, net) == 0 and language_id.accepted(docs, net, 0.0).count() == 30
+
+
 def test_gradients_of_the_byte_network():
     rng = np.random.default_rng(0)
     net = language_id.fresh(["a", "b"], units=3, seed=1)
