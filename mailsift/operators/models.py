@@ -45,12 +45,12 @@ class TrainingOptions:
 
 
 def estimators(options: TrainingOptions) -> dict:
-    """Three different tree ensembles. Boosting steps look at a third of the features each, as most are rare terms;
-    the second variant sees row samples and larger leaves."""
+    """Three different tree ensembles. Boosting looks at all features in each split; the second variant sees row samples
+    and larger leaves."""
     boosting = dict(
         featuresCol="features", labelCol="y", maxIter=options.rounds, maxDepth=options.boosting_depth,
         stepSize=options.step, lossType="logistic", seed=options.seed, checkpointInterval=10, cacheNodeIds=True,
-        featureSubsetStrategy="onethird", maxMemoryInMB=512,
+        featureSubsetStrategy="all", maxMemoryInMB=512,
     )
     return {
         "random_forest": RandomForestClassifier(

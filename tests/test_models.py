@@ -45,6 +45,13 @@ def test_build_options(spark, sf_dir):
     assert deduped.count() == deduped.select("text").distinct().count() <= default
 
 
+def test_boosting_looks_at_all_features():
+    kinds = models.estimators(TrainingOptions())
+    for name in ("boosting_a", "boosting_b"):
+        assert kinds[name].getFeatureSubsetStrategy() == "all"
+        assert (kinds[name].getMaxIter(), kinds[name].getMaxDepth(), kinds[name].getStepSize()) == (200, 6, 0.1)
+
+
 def test_missing_targets_stop_the_build(spark, sf_dir):
     with pytest.raises(ValueError, match="too few rows"):
         build_table.build(inbox(spark, sf_dir), run_dir(spark, "test"))
