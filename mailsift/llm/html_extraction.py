@@ -38,7 +38,11 @@ BLOCK_TAGS = frozenset(
     " optgroup option p pre section select summary table tbody td tfoot th thead title tr ul video audio iframe"
     " object label template".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea xmp svg math".split())
+# Elements that are skipped, and those whose text is no mark-up but belongs to their block.
+RAW_TAGS = frozenset("script style textarea".split())
+PLAIN_TAGS = frozenset(("xmp",))
+# What a drawing holds besides the words that it shows.
+UNSEEN_IN_SVG = frozenset("title desc metadata".split())
 # Elements that end when one of the same set begins within the same parent.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -125,8 +129,12 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[depth:]
                 links = sum(t == "a" for t, _ in stack)
             continue
-        if tag in RAW_TAGS:
+        unseen = tag in UNSEEN_IN_SVG and not attributes.endswith("/") and any(t == "svg" for t, _ in stack)
+        if tag in RAW_TAGS or tag in PLAIN_TAGS or unseen:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if tag in PLAIN_TAGS:
+                # Shown as it stands, so that it comes out of the decoding of references unchanged.
+                pieces.append((page[at : close.start() if close else end].replace("&", "&amp;"), links > 0))
             at = close.end() if close else end
             continue
         if tag in BLOCK_TAGS:

@@ -402,6 +402,16 @@ def test_blocks_are_leaves_with_decoded_text():
     assert [b.text for b in html_extraction.blocks_of("<p>&amp;amp; a<br>b")] == ["&amp; a b"]
 
 
+def test_formulas_and_closed_drawings_swallow_nothing():
+    read = lambda page: [b.text for b in html_extraction.blocks_of(page)]
+    assert read("<p>before <svg width='9' /> after</p><p>next</p>") == ["before after", "next"]
+    drawing = "<svg><title>no</title><path d='M0'/><style>no</style><text>label</text></svg>"
+    assert read(f"<p>before {drawing} after <svg/></p><p>next <svg><g/></svg></p>") == ["before label after", "next"]
+    assert read("<p>sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> of both <math/></p><p>next</p>") == ["sum a+b of both", "next"]
+    assert read("<p>say <xmp><b>&amp; x</b></xmp> so</p>") == ["say <b>&amp; x</b> so"]
+    assert read("<form><textarea>no</textarea>yes</form><script>no</script>") == ["yes"]
+
+
 def test_articles_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").toPandas()
     found = run(spark, sf_dir, "op8_html_extraction").set_index("page_id").text
