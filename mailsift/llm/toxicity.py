@@ -29,8 +29,6 @@ STEMS = (4, 5, 6)
 SENTENCE_WORDS = 40
 # Labelled documents that are learnt from, at most so many of each label.
 SAMPLE = 2000
-# Characters of sampled texts that the driver holds, at most; long texts give whole sentences from a seeded place.
-SAMPLE_CHARS = 4000
 TEXTS_AT_ONCE = 100
 ROUNDS, STEPS = 3, 100
 # Weights are fitted for hashes that toxic documents hold more often than chance gives, by so many deviations.
@@ -259,11 +257,11 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
     return Classifier(weights, bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit to a bounded sample of labelled documents that are not held out, equally many of both labels.
 
-    Of a text longer than ``chars`` a toxic document gives all sentences (its toxic one may be anywhere) up to
-    a hundred times ``chars``, a clean one a seeded passage.
+    Texts of both labels are taken whole, as in scoring: words of long texts are no evidence, and one half is set on
+    the highest sentences of whole texts.
     """
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(~held_out()).withColumn("_order", seeded_share(SEED, "doc_id"))
@@ -272,12 +270,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     for label, n in counts.items():
         keep = keep | ((F.col("toxic") == label) & (F.col("_order") < min(1.0, sample / n)))
     chosen = marked.filter(keep)
-    start = F.floor(F.col("_order") * 7919 % 1 * F.greatest(F.length("text") - chars, F.lit(0))).cast("int") + 1
-    text = F.when(F.col("toxic") > 0, F.substring("text", F.lit(1), F.lit(100 * chars))).otherwise(
-        F.substring("text", start, F.lit(chars)))
     # About 2 * sample rows, whatever the size of the tables: small enough to send around.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null").join(
-        F.broadcast(chosen.select("doc_id", "toxic", "_order")), "doc_id").select("doc_id", "toxic", text.alias("text")).collect()
+        F.broadcast(chosen.select("doc_id", "toxic", "_order")), "doc_id").select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 

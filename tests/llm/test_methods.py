@@ -97,6 +97,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in found[found.held_out].doc_id)
 
 
+def test_toxicity_learns_from_whole_texts_of_both_labels(spark, monkeypatch):
+    texts = {i: f"text {i}. " * 2000 for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda found, toxic: list(zip(found, toxic)))
+    found = toxicity.learn(docs, labels)
+    assert {y for _, y in found} == {0, 1} and {t for t, _ in found} <= set(texts.values())
+
+
+def test_long_clean_documents_that_are_held_out_pass(spark):
+    sf = "/root/testdata/sf0.1"
+    found = run(spark, sf, "op2_toxicity").merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "length(text) AS chars").toPandas()
+    rows = found.merge(sizes, on="doc_id")
+    rows = rows[rows.held_out & (rows.toxic == 0) & (rows.chars > 4000)]
+    assert len(rows) >= 50 and rows.predicted.mean() <= 0.05
+
+
 # --- fingerprints
 
 
