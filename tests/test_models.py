@@ -45,7 +45,7 @@ def test_build_options(spark, sf_dir):
     assert deduped.count() == deduped.select("text").distinct().count() <= default
 
 
-def test_boosting_looks_at_all_features():
+def test_boosting_looks_at_all_features(spark):
     kinds = models.estimators(TrainingOptions())
     for name in ("boosting_a", "boosting_b"):
         assert kinds[name].getFeatureSubsetStrategy() == "all"
