@@ -7,9 +7,11 @@ against brute force instead.
 
 from __future__ import annotations
 
-from mailsift.llm import mixing
+from mailsift.llm import hard_negatives as negatives
+from mailsift.llm import lexical_search, mixing, sharding
 
 _WEIGHTS = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
+_SCALE = negatives.SCALE
 _BLOCK, _MOST = mixing.BLOCK_WORDS, mixing.MOST_COPIES
 
 
@@ -106,8 +108,90 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= {k}"""
 
 
+def search(k: int) -> str:
+    """The k documents that score highest for every item."""
+    terms = f"regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {terms} AS t FROM documents WHERE text IS NOT NULL),
+held AS (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM docs WHERE len(t) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(len(t))::BIGINT AS big_l FROM docs WHERE len(t) > 0),
+postings AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM held GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, totals GROUP BY term, big_n),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest({terms}) AS term FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)) GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, r,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= {k}"""
+
+
+def hard_negatives(every: int, positives: int, negatives: int, least: int) -> str:
+    """Negatives in the window below each positive of every anchor."""
+    finite = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+    return f"""WITH usable AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({_SCALE} * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND {finite}),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM usable a JOIN usable r ON a.vec_id % {every} = 0 AND a.vec_id <> r.vec_id AND len(a.v) = len(r.v)),
+first AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {positives})
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM first JOIN scored USING (anchor_id)
+WHERE NOT same AND {least} * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= {negatives}"""
+
+
+# CRC-32 byte by byte, with the table of the reflected polynomial.
+_CRC_TABLE = ("list_transform(range(256), lambda b: list_reduce(range(8), lambda c, s: "
+              "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b))")
+_BYTES = "list_transform(range(1, 2 * octet_length(encode(text)), 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)"
+
+
+def shards(count: int, group_share: int) -> str:
+    """Contiguous shards of near equal bytes in the order of the texts' digests."""
+    return f"""WITH tab AS (SELECT {_CRC_TABLE} AS t),
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+distinct_texts AS (SELECT DISTINCT text FROM texts),
+sums AS (
+  SELECT text, xor(list_reduce({_BYTES}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)::BIGINT AS crc
+  FROM distinct_texts, tab),
+placed AS (
+  SELECT doc_id, octet_length(encode(text)) + 1 AS size, crc, md5(text) AS digest,
+         sum(octet_length(encode(text)) + 1) OVER (ORDER BY md5(text), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto,
+         row_number() OVER (ORDER BY md5(text), doc_id NULLS FIRST) - 1 AS place,
+         sum(octet_length(encode(text)) + 1) OVER () AS total,
+         sum(octet_length(encode(text)) + 1) OVER (PARTITION BY md5(text)) AS group_size
+  FROM texts JOIN sums USING (text)),
+lined AS (
+  SELECT *, upto - size AS start, min(upto - size) OVER (PARTITION BY digest) AS group_start,
+         group_size * {count} * {group_share} <= total AS whole FROM placed),
+units AS (
+  SELECT *, CASE WHEN whole THEN group_start ELSE start END AS a,
+         CASE WHEN whole THEN group_start + group_size ELSE upto END AS b FROM lined),
+cuts AS (
+  SELECT k, CASE WHEN k * total - a * {count} <= b * {count} - k * total THEN a ELSE b END AS edge
+  FROM units, range(1, {count}) r(k) WHERE start * {count} <= k * total AND k * total < upto * {count}),
+dealt AS (
+  SELECT doc_id, size, crc, place, coalesce((SELECT max(k) FROM cuts WHERE edge <= start), 0) AS shard FROM lined)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard FROM dealt"""
+
+
 ORACLE: dict[str, str] = {
     "op5_mixing": MIXING,
     "op7_ngram_join": jaccard(3, 90),
     "op10_neighbours": nearest(20, 20),
+    "op11_lexical_search": search(lexical_search.TOP),
+    "op12_hard_negatives": hard_negatives(negatives.EVERY, negatives.POSITIVES, negatives.NEGATIVES, negatives.LEAST_PERCENT),
+    "op13_sharding": shards(sharding.SHARDS, sharding.GROUP_SHARE),
 }

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from mailsift.llm import (
     fingerprints,
+    hard_negatives,
     html_extraction,
     language_id,
+    lexical_search,
     license_scan,
     mixing,
     neighbours,
     ngram_join,
     packing,
+    sharding,
     token_attribution,
     toxicity,
 )
@@ -67,6 +70,21 @@ def op10_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "lexical-search"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(
+        table(spark, sf_dir, "embeddings").withColumn("label", moved), Workspace(spark, "hard-negatives"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"), Workspace(spark, "sharding"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -78,4 +96,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_neighbours": op10_neighbours,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_sharding": op13_sharding,
 }

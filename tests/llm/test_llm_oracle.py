@@ -10,7 +10,7 @@ from mailsift.llm.queries import QUERIES
 def test_query_equals_duckdb(spark, name, folder):
     sf_dir = f"/root/testdata/{folder}"
     duck = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     ours = QUERIES[name](spark, sf_dir)
     result = duck.execute(ORACLE[name])
