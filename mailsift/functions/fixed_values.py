@@ -231,6 +231,8 @@ FPR_TARGETS = [0.005, 0.01, 0.02]
 SELECTED_FPR_TARGET = 0.005
 TOP_FEATURES = 20
 TOP_EXPLANATIONS = 10
+# Train rows that a forest's explanations refer to.
+BACKGROUND_ROWS = 20
 
 SAMPLE_TARGETS = {
     (GENERAL_CORPUS, PHISHING): 5500,

@@ -1,222 +1,98 @@
-"""Per-mail explanations of the tree ensembles.
+"""Per-mail explanations of the tree ensembles: Shapley values.
 
-Every step from a tree's root to a leaf changes the tree's value; the change is credited to the
-feature the step tests. The credits of a leaf are the same for every mail that reaches it, so
-they are tabulated once and stored with the model. All leaves of a mail are in its own row: their
-credits are looked up and added there, so nothing is shuffled and ids play no part. Credits plus the
-base value give the model's score exactly: a probability for the forest, half log-odds for boosting.
+Both boosting models are explained in their margin (log-odds), path-dependent; the forest in its probability, against
+a seeded background of train rows that is stored with the detector. Base value and contributions of all
+features give the model's score exactly. All that is needed is the mail's own feature vector, so nothing is
+shuffled and ids play no part. The models' arrays are sent to the tasks, as scoring does with the models.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
-import pyarrow.compute as arrow
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.functions.fixed_values import TOP_EXPLANATIONS
+from mailsift.functions.fixed_values import BACKGROUND_ROWS, TOP_EXPLANATIONS
 from mailsift.operators.models import Detector
-from mailsift.workspace import materialise, run_dir
+from mailsift.operators.ordering import draw_key
+from mailsift.operators.trees import NODE_SCHEMA, BackgroundShapley, PathShapley, Trees, rows_of
 
-# Credits of up to this many bytes are sent to every worker; larger tables are joined.
-CREDIT_BYTES = 256 * 1024 * 1024
-_BYTES_PER_CREDIT = 12
 ROWS_AT_ONCE = 256
 
-_CREDITS = "model string, tree int, leaf int, base double, credits array<struct<feature_idx: int, value: double>>"
-
-
-def _tree_nodes(detector: Detector, spark) -> DataFrame:
-    """(model, tree, weight, id, left, right, split_feature, value) of all saved trees."""
-    parts = []
-    for name, model in detector.base.items():
-        nodes = spark.read.parquet(f"{detector.path}/{name}/data")
-        stats = F.col("nodeData.impurityStats")
-        if name == "random_forest":
-            value = stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
-            weights = [1.0 / model.getNumTrees] * model.getNumTrees
-        else:
-            value = F.col("nodeData.prediction")
-            weights = list(model.treeWeights)
-        parts.append(nodes.select(
-            F.lit(name).alias("model"),
-            F.col("treeID").alias("tree"),
-            F.element_at(F.lit(weights), F.col("treeID") + 1).alias("weight"),
-            F.col("nodeData.id").alias("id"),
-            F.col("nodeData.leftChild").alias("left"),
-            F.col("nodeData.rightChild").alias("right"),
-            F.col("nodeData.split.featureIndex").alias("split_feature"),
-            value.alias("value"),
-        ))
-    first, *others = parts
-    for other in others:
-        first = first.unionByName(other)
-    return first
-
-
-def _leaf_credits(tree: pd.DataFrame) -> pd.DataFrame:
-    """Credits of every leaf of one tree; leaves are numbered from left to right."""
-    nodes = {n.id: n for n in tree.itertuples()}
-    root = nodes[0]
-    rows, pending = [], [(root, {})]
-    while pending:
-        node, credits = pending.pop()
-        if node.left < 0:
-            entries = [{"feature_idx": f, "value": v * root.weight} for f, v in credits.items()]
-            rows.append((root.model, root.tree, len(rows), root.value * root.weight, entries))
-            continue
-        # The left child is pushed last and therefore visited first.
-        for child in (nodes[node.right], nodes[node.left]):
-            step = dict(credits)
-            step[node.split_feature] = step.get(node.split_feature, 0.0) + child.value - node.value
-            pending.append((child, step))
-    return pd.DataFrame(rows, columns=["model", "tree", "leaf", "base", "credits"])
-
-
-def leaf_credits(detector: Detector, spark) -> DataFrame:
-    """(model, tree, leaf, base, credits). One group is one tree of a model."""
-    return _tree_nodes(detector, spark).groupBy("model", "tree").applyInPandas(_leaf_credits, _CREDITS)
-
-
 _ENTRY = "struct<rank: int, feature: string, contribution: double, direction: string, bar_width: double>"
 EXPLAINED = f"array<struct<model: string, base: double, total: double, top: array<{_ENTRY}>>>"
 
 
-def save_credits(detector: Detector, spark) -> None:
-    leaf_credits(detector, spark).write.mode("overwrite").parquet(f"{detector.path}/credits")
-
+def background(train: DataFrame, rows: int = BACKGROUND_ROWS) -> DataFrame:
+    """``features`` of so many train rows, the first in the seeded order of their ids."""
+    return train.select("features", draw_key(F.col("row_id")).alias("draw"), "row_id").orderBy("draw", "row_id").limit(rows).select("features")
 
-def stored_credits(detector: Detector, spark) -> DataFrame:
-    return spark.read.parquet(f"{detector.path}/credits")
 
+def forest_trees(detector: Detector, spark: SparkSession) -> Trees:
+    """The stored forest's nodes; a node's value is its share of phishing."""
+    nodes = spark.read.parquet(f"{detector.path}/random_forest/data")
+    stats, split = F.col("nodeData.impurityStats"), F.col("nodeData.split")
+    rows = nodes.select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), split.featureIndex.alias("feature"),
+        F.coalesce(F.get(split.leftCategoriesOrThreshold, F.lit(0)), F.lit(0.0)).alias("threshold"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        (stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)).alias("value"),
+        F.col("nodeData.rawCount").cast("double").alias("cover"), F.greatest("nodeData.gain", F.lit(0.0)).alias("gain"))
+    return Trees.from_rows(rows.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in NODE_SCHEMA.split(", ")]))
 
-@dataclass
-class LeafTable:
-    """Credits of one model: leaf ``first[tree] + leaf`` has the entries ``at[i]`` to ``at[i + 1]``."""
 
-    base: float
-    first: np.ndarray
-    at: np.ndarray
-    feature: np.ndarray
-    value: np.ndarray
-
-
-def _leaf_tables(credits: DataFrame) -> dict[str, LeafTable]:
-    feature, value = F.transform("credits", lambda c: c.feature_idx), F.transform("credits", lambda c: c.value)
-    rows = credits.select("model", "tree", "leaf", "base", feature.alias("f"), value.alias("v")).toArrow()
-    tables = {}
-    for name in rows.column("model").unique().to_pylist():
-        own = rows.filter(arrow.equal(rows.column("model"), name)).sort_by([("tree", "ascending"), ("leaf", "ascending")])
-        own = own.combine_chunks()
-        tree, leaf = (np.asarray(own.column(c)) for c in ("tree", "leaf"))
-        sizes = np.asarray(arrow.list_value_length(own.column("f").combine_chunks()))
-        tables[name] = LeafTable(
-            float(np.asarray(own.column("base"))[leaf == 0].sum()), np.searchsorted(tree, np.arange(tree.max() + 1)),
-            np.concatenate([[0], np.cumsum(sizes)]), np.asarray(arrow.list_flatten(own.column("f").combine_chunks())),
-            np.asarray(arrow.list_flatten(own.column("v").combine_chunks())),
-        )
-    return tables
+def explainers(detector: Detector, spark: SparkSession) -> dict:
+    """One explainer per base model, in the detector's order."""
+    out = {}
+    for name, model in detector.base.items():
+        if name == "random_forest":
+            trees = forest_trees(detector, spark)
+            # At most BACKGROUND_ROWS rows.
+            rows = spark.read.parquet(f"{detector.path}/background").toArrow().column("features").combine_chunks()
+            out[name] = BackgroundShapley(trees, rows_of(rows, trees.used_features()))
+        else:
+            out[name] = PathShapley(model.trees, model.base)
+    return out
 
 
-def _strongest(touched: np.ndarray, sums: np.ndarray, names: list[str], top: int) -> list[dict]:
-    """The strongest contributions in order, with direction and relative bar width."""
-    found = np.flatnonzero(touched)
-    found = found[np.lexsort((found, -np.abs(sums[found])))[:top]]
-    widest = float(np.abs(sums[found[0]])) if len(found) else 0.0
+def strongest(values: np.ndarray, names: list[str], top: int) -> list[dict]:
+    """The strongest contributions in order, ties by name's place, with direction and relative bar width."""
+    found = np.flatnonzero(values)
+    found = found[np.lexsort((found, -np.abs(values[found])))[:top]]
+    widest = float(np.abs(values[found[0]])) if len(found) else 0.0
     return [
-        {"rank": k + 1, "feature": names[f], "contribution": float(sums[f]),
-         "direction": "phishing" if sums[f] > 0 else "legitimate",
-         "bar_width": float(abs(sums[f])) / (widest or 1.0) * 100}
+        {"rank": k + 1, "feature": names[f], "contribution": float(values[f]),
+         "direction": "phishing" if values[f] > 0 else "legitimate",
+         "bar_width": float(abs(values[f])) / widest * 100}
         for k, f in enumerate(found.tolist())
     ]
 
 
-def _summed(table: LeafTable, leaves: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Credits of each row added by feature, and which features the rows' paths test."""
-    leaf = (table.first[None, :] + leaves).ravel()
-    sizes = table.at[leaf + 1] - table.at[leaf]
-    ends = np.cumsum(sizes)
-    entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(table.at[leaf] - (ends - sizes), sizes)
-    cell = np.repeat(np.arange(len(leaves)).repeat(leaves.shape[1]), sizes) * features + table.feature[entry]
-    shape = (len(leaves), features)
-    count = len(leaves) * features
-    return (np.bincount(cell, table.value[entry], count).reshape(shape), np.bincount(cell, minlength=count).reshape(shape))
-
-
 def with_explanations(scored: DataFrame, detector: Detector, top: int = TOP_EXPLANATIONS) -> DataFrame:
-    """Append ``explained``: per model the base value, the sum of all credits and the strongest contributions.
+    """Append ``explained``: per model the base value, the sum of all contributions and the strongest ones.
 
-    ``scored`` has the leaves a mail reaches as ``<model>_leaves``.
-    """
-    spark = scored.sparkSession
-    credits = stored_credits(detector, spark)
-    entries = credits.agg(F.coalesce(F.sum(F.size("credits")), F.lit(0)).alias("n")).first().n
-    if entries * _BYTES_PER_CREDIT > CREDIT_BYTES:
-        return _joined_explanations(scored, detector, credits, top)
-    names, models = detector.features.names, list(detector.base)
-    shared = spark.sparkContext.broadcast(_leaf_tables(credits))
-
-    @F.pandas_udf(EXPLAINED)
-    def explain(rows: pd.DataFrame) -> pd.Series:
-        out: list[list[dict]] = [[] for _ in range(len(rows))]
-        for start in range(0, len(rows), ROWS_AT_ONCE):
-            part = rows.iloc[start : start + ROWS_AT_ONCE]
-            for model in models:
-                table = shared.value[model]
-                sums, touched = _summed(table, np.stack(part[f"{model}_leaves"].to_list()), len(names))
-                for i in range(len(part)):
-                    out[start + i].append({
-                        "model": model, "base": table.base, "total": float(sums[i].sum()),
-                        "top": _strongest(touched[i], sums[i], names, top)})
-        return pd.Series(out)
-
-    return scored.withColumn("explained", explain(F.struct(*[f"{m}_leaves" for m in models])))
-
-
-def _joined_explanations(scored: DataFrame, detector: Detector, credits: DataFrame, top: int) -> DataFrame:
-    """The same by a join on (model, tree, leaf), for credit tables too large to send around.
-
-    Rows are written with a number of their own, so rows that repeat an id, or have none, stay apart.
+    ``scored`` has the mail's ``features``.
     """
     spark = scored.sparkSession
-    numbered = materialise(
-        scored.withColumn("_row", F.monotonically_increasing_id()), f"{run_dir(spark, 'explained')}/scored")
-
-    def reached_leaves(name: str) -> Column:
-        return F.transform(f"{name}_leaves", lambda leaf, tree: F.struct(
-            F.lit(name).alias("model"), tree.alias("tree"), leaf.alias("leaf")))
-
-    reached = numbered.select("_row", F.inline_outer(F.concat(*map(reached_leaves, detector.base))))
-    sums = (
-        reached.join(credits.select("model", "tree", "leaf", "credits"), ["model", "tree", "leaf"])
-        .select("_row", "model", F.inline_outer("credits")).groupBy("_row", "model", "feature_idx")
-        .agg(F.sum("value").alias("contribution")).join(detector.features.name_table(spark), "feature_idx", "left")
-    )
-    size = F.abs("contribution")
-    own = Window.partitionBy("_row", "model")
-    sums = sums.withColumns({
-        "rank": F.row_number().over(own.orderBy(F.desc(size), "feature_idx")), "largest": F.max(size).over(own)})
-    entry = F.struct(
-        "rank", "feature", "contribution",
-        F.when(F.col("contribution") > 0, "phishing").otherwise("legitimate").alias("direction"),
-        (size / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0) * 100).alias("bar_width"))
-    shown = F.when((F.col("rank") <= top) & F.col("feature").isNotNull(), entry)
-    per_model = sums.groupBy("_row", "model").agg(
-        F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("total"), F.array_sort(F.collect_list(shown)).alias("top"))
-    place = F.array_position(F.array(*map(F.lit, detector.base)), F.col("model"))
-    per_model = per_model.join(F.broadcast(base_values(credits)), "model").select(
-        "_row", F.struct(place.alias("p"), "model", F.col("base_value").alias("base"), "total", "top").alias("m"))
-    per_row = per_model.groupBy("_row").agg(F.array_sort(F.collect_list("m")).alias("ms")).select(
-        "_row", F.transform("ms", lambda m: F.struct(m.model, m.base, m.total, m.top)).cast(EXPLAINED).alias("explained"))
-    return numbered.join(per_row, "_row", "left").drop("_row")
-
-
-def base_values(credits: DataFrame) -> DataFrame:
-    """The value every explanation of a model starts from."""
-    return credits.filter("leaf = 0").groupBy("model").agg(F.sum("base").alias("base_value"))
+    made = explainers(detector, spark)
+    names = {model: [detector.features.names[f] for f in one.features] for model, one in made.items()}
+    shared = spark.sparkContext.broadcast((made, names))
+    entry = pa.struct([("rank", pa.int32()), ("feature", pa.string()), ("contribution", pa.float64()),
+                       ("direction", pa.string()), ("bar_width", pa.float64())])
+    kind = pa.list_(pa.struct([("model", pa.string()), ("base", pa.float64()), ("total", pa.float64()), ("top", pa.list_(entry))]))
+
+    def explain(vectors: pa.Array) -> pa.Array:
+        models, labels = shared.value
+        out: list[list[dict]] = []
+        for start in range(0, len(vectors), ROWS_AT_ONCE):
+            part = vectors.slice(start, ROWS_AT_ONCE)
+            per_model = [(n, m.base, m.values(rows_of(part, m.used))) for n, m in models.items()]
+            out += [[{"model": n, "base": base, "total": float(v[i].sum()), "top": strongest(v[i], labels[n], top)}
+                     for n, base, v in per_model] for i in range(len(part))]
+        return pa.array(out, kind)
+
+    return scored.withColumn("explained", F.arrow_udf(explain, EXPLAINED)("features"))
 
 
 def top_contributions(explained: DataFrame) -> DataFrame:

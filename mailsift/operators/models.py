@@ -5,10 +5,9 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassificationModel,
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
+from mailsift.operators import boosting
 from mailsift.operators.assemble import FeatureModel
 from mailsift.operators.metrics import ENSEMBLE
 from mailsift.workspace import ensure_checkpoint_dir
@@ -27,8 +27,8 @@ from mailsift.workspace import ensure_checkpoint_dir
 BASE_MODELS = ["random_forest", "boosting_a", "boosting_b"]
 _LOADERS = {
     "random_forest": RandomForestClassificationModel,
-    "boosting_a": GBTClassificationModel,
-    "boosting_b": GBTClassificationModel,
+    "boosting_a": boosting.Boosted,
+    "boosting_b": boosting.Boosted,
 }
 
 
@@ -44,22 +44,19 @@ class TrainingOptions:
     seed: int = V.SEED
 
 
-def estimators(options: TrainingOptions) -> dict:
-    """Three different tree ensembles. Boosting looks at all features in each split; the second variant sees row samples
-    and larger leaves."""
-    boosting = dict(
-        featuresCol="features", labelCol="y", maxIter=options.rounds, maxDepth=options.boosting_depth,
-        stepSize=options.step, lossType="logistic", seed=options.seed, checkpointInterval=10, cacheNodeIds=True,
-        featureSubsetStrategy="all", maxMemoryInMB=512,
+def forest(options: TrainingOptions) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        featuresCol="features", labelCol="y", numTrees=options.trees, maxDepth=options.forest_depth,
+        featureSubsetStrategy="sqrt", seed=options.seed, checkpointInterval=10, cacheNodeIds=True, maxMemoryInMB=512,
     )
+
+
+def growths(options: TrainingOptions) -> dict[str, boosting.Growth]:
+    """Level-wise trees with L2, and best-leaf-first trees of 31 leaves of at least 20 rows. Both look at all features."""
+    same = dict(rounds=options.rounds, depth=options.boosting_depth, step=options.step)
     return {
-        "random_forest": RandomForestClassifier(
-            featuresCol="features", labelCol="y", numTrees=options.trees, maxDepth=options.forest_depth,
-            featureSubsetStrategy="sqrt", seed=options.seed, checkpointInterval=10, cacheNodeIds=True,
-            maxMemoryInMB=512,
-        ),
-        "boosting_a": GBTClassifier(**boosting),
-        "boosting_b": GBTClassifier(**{**boosting, "seed": options.seed + 1}, minInstancesPerNode=20, subsamplingRate=0.8),
+        "boosting_a": boosting.Growth(**same, l2=1.0, least_hessian=1.0),
+        "boosting_b": boosting.Growth(**same, l2=0.0, least_hessian=1e-3, least_rows=20, leaves=31),
     }
 
 
@@ -70,8 +67,8 @@ def labelled(features: DataFrame) -> DataFrame:
     )
 
 
-# Rows of a training task, so that the many short stages of a boosting run have no more tasks than they need.
-TRAINING_TASK_ROWS = 50_000
+# Least rows of a training task, as the stages of training are many and short.
+TRAINING_TASK_ROWS = 4_000
 
 
 def fit_base_models(train: DataFrame, options: TrainingOptions) -> dict:
@@ -79,25 +76,33 @@ def fit_base_models(train: DataFrame, options: TrainingOptions) -> dict:
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     rows = train.select("features", "y")
-    rows = rows.coalesce(max(1, -(-rows.count() // TRAINING_TASK_ROWS))).persist()
-    kinds = estimators(options)
-    fit = inheritable_thread_target(spark)(lambda name: kinds[name].fit(rows))
-    with ThreadPoolExecutor(len(kinds)) as pool:
-        fitted = dict(zip(kinds, pool.map(fit, kinds)))
+    count = rows.count()
+    # Few rows make few tasks; many keep the partitions they are read in.
+    if count < TRAINING_TASK_ROWS * spark.sparkContext.defaultParallelism:
+        rows = rows.coalesce(max(1, -(-count // TRAINING_TASK_ROWS)))
+    rows = rows.persist()
+    first = rows.select("features").first()
+    bins = boosting.find_bins(rows, first.features.size if first else 0)
+    blocks = boosting.write_blocks(rows, bins)
+    fits = {"random_forest": lambda: forest(options).fit(rows)}
+    for name, growth in growths(options).items():
+        fits[name] = lambda growth=growth: boosting.fit(rows, growth, bins, blocks)
+    run = inheritable_thread_target(spark)(lambda name: fits[name]())
+    with ThreadPoolExecutor(len(fits)) as pool:
+        fitted = dict(zip(fits, pool.map(run, fits)))
     rows.unpersist()
     return fitted
 
 
-def with_base_scores(features: DataFrame, models: dict, leaves: bool = False) -> DataFrame:
-    """Append one phishing probability per base model, and on request the leaf reached per tree."""
+def with_base_scores(features: DataFrame, models: dict) -> DataFrame:
+    """Append one phishing probability per base model."""
     scored = features
     for name, model in models.items():
+        if isinstance(model, boosting.Boosted):
+            scored = scored.withColumn(name, boosting.probability(model))
+            continue
         named = model.copy().setPredictionCol("").setRawPredictionCol("_raw").setProbabilityCol("_probability")
-        named = named.setLeafCol(f"{name}_leaves" if leaves else "")
-        scored = named.transform(scored).withColumn(name, vector_to_array("_probability")[1])
-        scored = scored.drop("_raw", "_probability")
-        if leaves:
-            scored = scored.withColumn(f"{name}_leaves", vector_to_array(f"{name}_leaves").cast("array<int>"))
+        scored = named.transform(scored).withColumn(name, vector_to_array("_probability")[1]).drop("_raw", "_probability")
     return scored
 
 
@@ -133,20 +138,23 @@ class Detector:
     def names(self) -> list[str]:
         return [*self.base, *([ENSEMBLE] if self.meta is not None else [])]
 
-    def score_features(self, features: DataFrame, leaves: bool = False) -> DataFrame:
-        scored = with_base_scores(features, self.base, leaves)
+    def score_features(self, features: DataFrame) -> DataFrame:
+        scored = with_base_scores(features, self.base)
         return with_ensemble_score(scored, self.meta) if self.meta is not None else scored
 
-    def save(self, spark, path: str) -> "Detector":
+    def save(self, spark, path: str, background: DataFrame | None = None) -> "Detector":
+        """Store the detector, with the rows that the forest's explanations refer to."""
         self.features.save(spark, f"{path}/features")
         for name, model in self.base.items():
-            model.write().overwrite().save(f"{path}/{name}")
+            if isinstance(model, boosting.Boosted):
+                model.save(spark, f"{path}/{name}")
+            else:
+                model.write().overwrite().save(f"{path}/{name}")
         if self.meta is not None:
             self.meta.write().overwrite().save(f"{path}/meta")
+        if background is not None:
+            background.coalesce(1).write.mode("overwrite").parquet(f"{path}/background")
         self.path = path
-        from mailsift.operators.explain import save_credits
-
-        save_credits(self, spark)
         return self
 
     @classmethod
@@ -158,7 +166,8 @@ class Detector:
         if missing:
             raise FileNotFoundError(f"missing base models: {', '.join(missing)}; train first")
         meta = LogisticRegressionModel.load(f"{path}/meta") if path_exists(spark, f"{path}/meta/metadata") else None
-        base = {name: _LOADERS[name].load(f"{path}/{name}") for name in BASE_MODELS}
+        base = {name: kind.load(spark, f"{path}/{name}") if kind is boosting.Boosted else kind.load(f"{path}/{name}")
+                for name, kind in _LOADERS.items()}
         return cls(FeatureModel.load(spark, f"{path}/features"), base, meta, path)
 
 
@@ -173,6 +182,9 @@ def importances(detector: Detector, spark) -> DataFrame:
     """(model, feature_idx, feature, importance) of all used features; sums to 1 per model."""
     rows = []
     for name, model in detector.base.items():
+        if isinstance(model, boosting.Boosted):
+            rows += [(name, int(i), float(model.importance[i])) for i in np.flatnonzero(model.importance)]
+            continue
         weights = model.featureImportances
         total = float(sum(weights.values)) or 1.0
         rows += [(name, int(i), float(w) / total) for i, w in zip(weights.indices, weights.values)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
-from mailsift.operators import metrics, models
+from mailsift.operators import explain, metrics, models
 from mailsift.operators.assemble import FeatureModel
 from mailsift.operators.models import BASE_MODELS, Detector, TrainingOptions
 from mailsift.workspace import materialise
@@ -38,7 +38,8 @@ def train(splits: DataFrame, out: str, options: TrainingOptions = TrainingOption
     base = models.fit_base_models(features.filter("split = 'train'"), options)
     val = models.with_base_scores(features.filter("split = 'val'"), base)
     val = materialise(val.drop("features"), f"{out}/val_base_scores")
-    detector = Detector(fitted, base, models.fit_meta_model(val)).save(spark, f"{out}/detector")
+    detector = Detector(fitted, base, models.fit_meta_model(val)).save(
+        spark, f"{out}/detector", explain.background(features.filter("split = 'train'")))
 
     names = detector.names
     val_scores = materialise(models.score_table(models.with_ensemble_score(val, detector.meta), names), f"{out}/val_scores")

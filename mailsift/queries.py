@@ -413,8 +413,7 @@ def score_mails(spark, sf_dir):
 
 
 def _explained(spark, sf_dir) -> DataFrame:
-    detector = trained(spark, sf_dir).detector
-    return explain.with_explanations(with_scores(detector, _mails(spark, sf_dir), leaves=True).drop("text"), detector)
+    return with_scores(trained(spark, sf_dir).detector, _mails(spark, sf_dir), explained=True).drop("text")
 
 
 def explain_top10(spark, sf_dir):
@@ -437,11 +436,11 @@ def _logistic(x: Column) -> Column:
 
 
 def explanation_checks(spark, sf_dir):
-    """Per model over all mails: base value and credits give the score, and the strongest ones are in order."""
+    """Per model over all mails: base value and Shapley values give the score, and the strongest ones are in order."""
     rows = _explained(spark, sf_dir).select(
         F.map_from_arrays(F.array(*map(F.lit, BASE_MODELS)), F.array(*BASE_MODELS)).alias("scores"), F.inline("explained"))
     raw = F.col("base") + F.col("total")
-    probability = F.when(F.col("model") == "random_forest", raw).otherwise(_logistic(2 * raw))
+    probability = F.when(F.col("model") == "random_forest", raw).otherwise(_logistic(raw))
     size = F.transform("top", lambda e: F.abs(e.contribution))
     widths = F.forall("top", lambda e: (
         _close(e.bar_width * size[0], F.abs(e.contribution) * 100) & e.bar_width.between(0, 100 + 1e-9)))

@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.operators import explain, metrics, models, sampling
+from mailsift.operators import metrics, models, sampling
 from mailsift.operators.models import BASE_MODELS, Detector, TrainingOptions
 from mailsift.plans import build_table, score, train
 from mailsift.sources.inbox import inbox
@@ -45,11 +45,9 @@ def test_build_options(spark, sf_dir):
     assert deduped.count() == deduped.select("text").distinct().count() <= default
 
 
-def test_boosting_looks_at_all_features(spark):
-    kinds = models.estimators(TrainingOptions())
-    for name in ("boosting_a", "boosting_b"):
-        assert kinds[name].getFeatureSubsetStrategy() == "all"
-        assert (kinds[name].getMaxIter(), kinds[name].getMaxDepth(), kinds[name].getStepSize()) == (200, 6, 0.1)
+def test_full_settings():
+    for growth in models.growths(TrainingOptions()).values():
+        assert (growth.rounds, growth.depth, growth.step) == (200, 6, 0.1)
 
 
 def test_missing_targets_stop_the_build(spark, sf_dir):
@@ -80,8 +78,7 @@ def test_meta_model_is_at_its_optimum(result):
 
 
 def explained(spark, table, result):
-    scored = score.with_scores(result.detector, mails(table), leaves=True)
-    return explain.with_explanations(scored, result.detector)
+    return score.with_scores(result.detector, mails(table), explained=True)
 
 
 def test_explanations_add_up_to_the_score(spark, table, result):
@@ -91,7 +88,7 @@ def test_explanations_add_up_to_the_score(spark, table, result):
         assert [m.model for m in r.explained] == BASE_MODELS
         for m in r.explained:
             raw = m.base + m.total
-            assert (raw if m.model == "random_forest" else 1 / (1 + math.exp(-2 * raw))) == pytest.approx(r[m.model], abs=1e-9)
+            assert (raw if m.model == "random_forest" else 1 / (1 + math.exp(-raw))) == pytest.approx(r[m.model], abs=1e-9)
             assert [e["rank"] for e in m.top] == list(range(1, len(m.top) + 1)) and len(m.top) <= 10
             sizes = [abs(e.contribution) for e in m.top]
             assert sizes == sorted(sizes, reverse=True)
@@ -102,16 +99,6 @@ def test_explanations_add_up_to_the_score(spark, table, result):
     assert "Exchange" not in plan.split("Scan parquet")[0]
 
 
-def test_joined_explanations_are_the_same(spark, table, result, monkeypatch):
-    near = explained(spark, table, result).collect()
-    monkeypatch.setattr(explain, "CREDIT_BYTES", 0)
-    far = {r.row_id: r for r in explained(spark, table, result).collect()}
-    for r in near:
-        for a, b in zip(r.explained, far[r.row_id].explained):
-            assert (a.model, a.base, a.total) == (b.model, pytest.approx(b.base), pytest.approx(b.total))
-            assert [e.contribution for e in a.top] == pytest.approx([e.contribution for e in b.top])
-
-
 def test_repeated_and_missing_ids_are_explained_alike(spark, table, result):
     text = mails(table).first().text
     rows = spark.createDataFrame(
