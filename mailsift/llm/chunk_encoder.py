@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
 
-CHUNKS_KEPT = 1_000_000
+# A table of so many chunks takes some 30 MB.
+CHUNKS_KEPT = 150_000
 
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 # White space that str.split() sees beside the ASCII white space above.
@@ -132,9 +135,10 @@ class ChunkEncoder:
     def __init__(self, path: str, kind: str, pattern: str = "", kept: int = CHUNKS_KEPT):
         self._kind, self._kept = kind, kept
         self._pieces = WordPieces(path) if kind == "word" else BytePieces(path, pattern)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give the table of chunks up; what is encoded does not depend on it."""
         self._number = _Numbers()
         self._count = np.zeros(1 << 16, np.int64)
         self._first = np.zeros(1 << 16, np.int64)
@@ -180,7 +184,7 @@ class ChunkEncoder:
         split = [self._chunks(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         if len(self._number) + int(sizes.sum()) // 4 > self._kept:
-            self._forget()
+            self.forget()
         number = np.fromiter(
             map(self._number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if self._number.new:
@@ -203,6 +207,15 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def worker_encoder(path: str, kind: str, pattern: str = "") -> ChunkEncoder:
-    """The encoder of this Python worker, kept from task to task."""
+def _loaded(path: str, kind: str, pattern: str) -> ChunkEncoder:
     return ChunkEncoder(path, kind, pattern)
+
+
+@contextmanager
+def worker_encoder(path: str, kind: str, pattern: str = "") -> Iterator[ChunkEncoder]:
+    """The encoder of this Python worker: its files are read once, its table of chunks goes when a task ends."""
+    encoder = _loaded(path, kind, pattern)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()

@@ -68,6 +68,19 @@ def runs(batch: pa.RecordBatch, text: str, most: int = BYTES_AT_ONCE) -> Iterato
         start = end
 
 
+def passing(judge: Callable[[pa.Array], np.ndarray]):
+    """A function of a text column that is true where ``judge`` says so of the texts of one run.
+
+    Only the texts travel to Python and one bit a row comes back; the other columns stay in the JVM.
+    """
+
+    def told(texts: pa.Array) -> pa.Array:
+        parts = [judge(part.column("text")) for part in runs(pa.record_batch([texts], ["text"]), "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+
+    return F.arrow_udf(told, "boolean")
+
+
 def grouped(
     batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]
 ) -> Iterator[pa.RecordBatch]:

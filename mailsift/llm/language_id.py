@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import byte_set, held_out, runs, seeded_share, utf8
+from mailsift.llm.common import byte_set, held_out, passing, runs, seeded_share, utf8
 
 UNITS = 8
 WINDOW, CONTEXT = 192, 8
@@ -309,13 +309,10 @@ def accepted(docs: DataFrame, net: Network, least: float) -> DataFrame:
     Nothing is rejected for its language if none was learnt, but for having no letter.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in runs(batch, "text"):
-                column = part.column("text")
-                lettered = np.array([t is not None and bool(_LETTER.search(t)) for t in column.to_pylist()], bool)
-                if net.languages:
-                    lettered &= document_probabilities(net, *utf8(column)).max(axis=1) >= least
-                yield part.filter(pa.array(lettered))
+    def judge(texts: pa.Array) -> np.ndarray:
+        good = np.array([t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()], bool)
+        if net.languages:
+            good &= document_probabilities(net, *utf8(texts)).max(axis=1) >= least
+        return good
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.filter(passing(judge)(F.col("text").cast("string")))

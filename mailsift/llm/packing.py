@@ -38,31 +38,31 @@ def piece_table(
         raise ValueError("the limit must be a power of two")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, "word")
-        for batch in batches:
-            for part in runs(batch, "text"):
-                texts = part.column("text").fill_null("").to_pylist()
-                ids, lengths = encoder.encode(texts)
-                raw, last = memoryview(ids.astype("<u4").tobytes()), b"" if end is None else end.to_bytes(4, "little")
-                docs_, starts, sizes, pieces, crcs, wholes = [], [], [], [], [], []
-                at = 0
-                for doc, length in zip(part.column("doc_id").to_pylist(), (4 * lengths).tolist()):
-                    own = bytes(raw[at : at + length]) + last
-                    at += length
-                    start, tokens = 0, len(own) // 4
-                    for size in binary_lengths(tokens, limit):
-                        piece = own[4 * start : 4 * (start + size)]
-                        docs_.append(doc)
-                        starts.append(start)
-                        sizes.append(size)
-                        crcs.append(zlib.crc32(piece))
-                        wholes.append(tokens)
-                        pieces.append(piece if with_ids else None)
-                        start += size
-                yield pa.record_batch(
-                    [pa.array(docs_, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array(pieces, pa.binary()), pa.array(crcs, pa.int64()), pa.array(wholes, pa.int64())],
-                    ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+        with worker_encoder(tokenizer, "word") as encoder:
+            for batch in batches:
+                for part in runs(batch, "text"):
+                    texts = part.column("text").fill_null("").to_pylist()
+                    ids, lengths = encoder.encode(texts)
+                    raw, last = memoryview(ids.astype("<u4").tobytes()), b"" if end is None else end.to_bytes(4, "little")
+                    docs_, starts, sizes, pieces, crcs, wholes = [], [], [], [], [], []
+                    at = 0
+                    for doc, length in zip(part.column("doc_id").to_pylist(), (4 * lengths).tolist()):
+                        own = bytes(raw[at : at + length]) + last
+                        at += length
+                        start, tokens = 0, len(own) // 4
+                        for size in binary_lengths(tokens, limit):
+                            piece = own[4 * start : 4 * (start + size)]
+                            docs_.append(doc)
+                            starts.append(start)
+                            sizes.append(size)
+                            crcs.append(zlib.crc32(piece))
+                            wholes.append(tokens)
+                            pieces.append(piece if with_ids else None)
+                            start += size
+                    yield pa.record_batch(
+                        [pa.array(docs_, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                         pa.array(pieces, pa.binary()), pa.array(crcs, pa.int64()), pa.array(wholes, pa.int64())],
+                        ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(

@@ -4,10 +4,13 @@ A sentence's logit is the sum of weights of its words; a word's weight is that o
 hashes of its first letters, so unseen endings of a known stem count. Labels are given for documents, so
 the sentence that scores highest stands for its document, in training as in scoring: labels pass to
 sentences in rounds, each round labels the highest sentence of a toxic document as toxic and the highest
-ones of a clean document as clean, and fits the weights anew by logistic regression. In every fit each
-sentence that names a group is paired with copies in which the name is swapped for others of its kind,
-and the squared change of the logit is a penalty: weight cannot stay on names, so sentences that name a
-group are not taken for toxic because toxic sentences often do.
+ones of a clean document as clean, and fits the weights anew by logistic regression. Counterfactual pairs
+are sentences whose logit must not differ: one that names a group, and its copies in which the name is
+swapped for others of its kind; and, as a corpus may name no group at all, the highest sentence of every labelled
+document, the same with a seeded name put in at a seeded place, and that with another name of the kind. The
+sentence with the name in it is learnt from with the label its source has, and the squared
+change of the logit within each pair, over all its words, is a penalty: weight cannot stay on names, so
+sentences that name a group are not taken for toxic because toxic sentences often do.
 """
 
 from __future__ import annotations
@@ -21,19 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import BYTE_CODE, LOWER, Words, byte_set, held_out, mixed, runs, seeded_share, utf8
+from mailsift.llm.common import BYTE_CODE, LOWER, Words, byte_set, held_out, mixed, passing, runs, seeded_share, utf8
 
 BITS = 18
 # First bytes of a word that have weights of their own.
 STEMS = (4, 5, 6)
 SENTENCE_WORDS = 40
-# Labelled documents that are learnt from, at most so many of each label.
-SAMPLE = 2000
+# Labelled documents that are learnt from: at most so many of each label, and so many bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
 TEXTS_AT_ONCE = 100
 ROUNDS, STEPS = 3, 100
 # Weights are fitted for hashes that toxic documents hold more often than chance gives, by so many deviations.
 EVIDENCE = 4.0
-SWAP_PENALTY = 1.0
+SWAP_PENALTY = 10.0
 SEED = 17
 
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -116,6 +119,15 @@ def swapped(sentence: str, per_name: int = 2) -> list[str]:
     return [other(step) for step in range(1, per_name + 1)]
 
 
+def inserted(sentence: str, seed: int) -> tuple[str, str]:
+    """The sentence with a name of a group put in, and with another name of the same kind in its place."""
+    draw = np.random.default_rng([SEED, seed])
+    words = sentence.split(" ")
+    at, kind = int(draw.integers(len(words) + 1)), GROUPS[int(draw.integers(len(GROUPS)))]
+    one, other = draw.choice(len(kind), 2, replace=False).tolist()
+    return tuple(" ".join([*words[:at], kind[i], *words[at:]]) for i in (one, other))
+
+
 def _sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -149,12 +161,19 @@ def sentences_of(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?\n])", text) if re.search(r"[^\W\d_]", s)]
 
 
-def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps: int = STEPS, rounds: int = ROUNDS) -> Classifier:
+@dataclass
+class Fitted(Classifier):
+    """A classifier and the number of counterfactual pairs it was held to."""
+
+    pairs: int = 0
+
+
+def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps: int = STEPS, rounds: int = ROUNDS) -> Fitted:
     """Fit weights to labelled texts; without texts of both labels everything scores below one half."""
     size = 1 << BITS
     labels = np.array(toxic, np.float64)
     if not len(texts) or labels.min() == labels.max():
-        return Classifier(np.zeros(size, np.float32), -2.0)
+        return Fitted(np.zeros(size, np.float32), -2.0)
 
     def parts():
         """Sentences of the texts, some texts at a time: (text numbers, sentences, features)."""
@@ -173,6 +192,10 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
     used = np.flatnonzero((holds - chance) / np.sqrt(chance + 1) > EVIDENCE)
     odds = np.log((holds + 0.5) / (labels.sum() + 1)) - np.log((total - holds + 0.5) / ((1 - labels).sum() + 1))
     w = odds[used] / (1 + len(STEMS))
+    # Names have weights too, so that there is something to hold down.
+    names = features(*_of([n for group in GROUPS for n in group])).index.ravel()
+    used = np.append(used, np.setdiff1d(names, used))
+    w = np.append(w, np.zeros(len(used) - len(w)))
     bias = -2.0
     # The last weight is that of all other hashes and stays zero.
     number = np.full(size, len(used), np.int32)
@@ -183,28 +206,49 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
         words = np.flatnonzero((index < len(used)).any(axis=1))
         return index[words], raw.sentence[words]
 
-    n, twins, kept = 0, 0, {k: [] for k in ("dense", "place", "owner", "twin", "twin_place", "pair", "twin_first")}
+    n, pieces, kept = 0, 0, {k: [] for k in ("dense", "place", "owner", "piece")}
+    pairs: list[tuple[str, str]] = []
     for numbers, sentences, raw in parts():
         dense, place_of = told(raw)
-        pairs = [(k, c) for k, s in enumerate(sentences) for c in swapped(s)]
-        if pairs:
-            twin = features(*_of([c for _, c in pairs]))
-            twin_dense, twin_place = told(twin)
-            kept["twin"].append(twin_dense)
-            kept["twin_place"].append(twin_place + twins)
-            kept["pair"].append(np.searchsorted(raw.text, [k for k, _ in pairs]) + n)
-            kept["twin_first"].append(np.searchsorted(twin.text, np.arange(len(pairs))) + twins)
-            twins += twin.sentences
+        pairs += [(s, copy) for s in sentences for copy in swapped(s)]
         kept["dense"].append(dense)
         kept["place"].append(place_of + n)
         kept["owner"].append(numbers[raw.text])
+        kept["piece"].append(raw.text + pieces)
         n += raw.sentences
+        pieces += len(sentences)
     if not n:
-        return Classifier(np.zeros(size, np.float32), -2.0)
-    dense, place_of, owner = (np.concatenate(kept[k]) for k in ("dense", "place", "owner"))
-    if twins:
-        twin_index, twin_place, first_sentence, twin_first = (
-            np.concatenate(kept[k]) for k in ("twin", "twin_place", "pair", "twin_first"))
+        return Fitted(np.zeros(size, np.float32), -2.0)
+    dense, place_of, owner, piece = (np.concatenate(kept[k]) for k in kept)
+
+    # The highest sentence of every text so far takes a name.
+    value = np.bincount(place_of, np.append(w, 0.0)[dense].sum(axis=1), n)
+    order = np.lexsort((-value, owner))
+    source = order[np.append(True, owner[order][1:] != owner[order][:-1])]
+    wanted, named, at = set(piece[source].tolist()), {}, 0
+    for text in texts:
+        for sentence in sentences_of(text):
+            if at in wanted:
+                named[at] = sentence, *inserted(sentence, at)
+            at += 1
+    found = [named[p] for p in piece[source].tolist()]
+    pairs = [*pairs, *[(a, b) for a, b, _ in found], *[(b, c) for _, b, c in found]]
+
+    def sides(which):
+        """Weights' numbers and pair of the words of one side of all pairs."""
+        index, pair = [], []
+        for start in range(0, len(pairs), 50 * TEXTS_AT_ONCE):
+            raw = features(*_of([p[which] for p in pairs[start : start + 50 * TEXTS_AT_ONCE]]))
+            held, sentence = told(raw)
+            index.append(held)
+            pair.append(raw.text[sentence] + start)
+        return np.concatenate(index), np.concatenate(pair)
+
+    one, other = sides(0), sides(1)
+    # The sentences with a name in them, learnt from beside the labelled ones.
+    copies = features(*_of([b for _, b, _ in found]))
+    copy_index, copy_at = told(copies)
+    copy_at = copies.text[copy_at]
 
     def values(index, sentence, count):
         return np.bincount(sentence, np.append(w, 0.0)[index].sum(axis=1), count)
@@ -228,14 +272,11 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
             step += 1
             alone = values(dense, place_of, n)
             slope = share * (_sigmoid(alone + bias) - y)
-            g, gb = slopes(dense, place_of, slope) + 1e-4 * w, slope.sum()
-            if twins:
-                other = values(twin_index, twin_place, twins)
-                apart = penalty * 2 * (alone[first_sentence] - other[twin_first]) / len(first_sentence)
-                back, away = np.zeros(n), np.zeros(twins)
-                np.add.at(back, first_sentence, apart)
-                np.add.at(away, twin_first, apart)
-                g += slopes(dense, place_of, back) - slopes(twin_index, twin_place, away)
+            copied = share[source] * (_sigmoid(values(copy_index, copy_at, len(source)) + bias) - y[source])
+            g = slopes(dense, place_of, slope) + slopes(copy_index, copy_at, copied) + 1e-4 * w
+            gb = slope.sum() + copied.sum()
+            apart = penalty * 2 * (values(*one, len(pairs)) - values(*other, len(pairs))) / len(pairs)
+            g += slopes(*one, apart) - slopes(*other, apart)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -254,14 +295,15 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, steps
     bias -= float(middles[flat[len(flat) // 2]])
     weights = np.zeros(size, np.float32)
     weights[used] = w
-    return Classifier(weights, bias)
+    return Fitted(weights, bias, len(pairs))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Fitted:
     """Fit to a bounded sample of labelled documents that are not held out, equally many of both labels.
 
-    Texts of both labels are taken whole, as in scoring: words of long texts are no evidence, and one half is set on
-    the highest sentences of whole texts.
+    Of each label about ``sample`` documents are drawn, and of these, in seeded order, those that fit into
+    ``sample_bytes`` together. Texts of both labels are taken whole, as in scoring: words of long texts are no
+    evidence, and one half is set on the highest sentences of whole texts.
     """
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(~held_out()).withColumn("_order", seeded_share(SEED, "doc_id"))
@@ -271,8 +313,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         keep = keep | ((F.col("toxic") == label) & (F.col("_order") < min(1.0, sample / n)))
     chosen = marked.filter(keep)
     # About 2 * sample rows, whatever the size of the tables: small enough to send around.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null").join(
-        F.broadcast(chosen.select("doc_id", "toxic", "_order")), "doc_id").select("doc_id", "toxic", "text").collect()
+    drawn = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null").join(
+        F.broadcast(chosen.select("doc_id", "toxic", "_order")), "doc_id")
+    upto = F.expr(
+        "sum(octet_length(text)) over (partition by toxic > 0 order by _order, doc_id, text rows unbounded preceding)")
+    rows = drawn.withColumn("_upto", upto).filter(F.col("_upto") <= sample_bytes).select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
@@ -302,10 +347,7 @@ def accepted(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of ``docs``, all columns, that do not score one half or more."""
     packed = model.packed()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Classifier.unpacked(*packed)
-        for batch in batches:
-            for part in runs(batch, "text"):
-                yield part.filter(pa.array(own.scores(*utf8(part.column("text"))) < 0.5))
+    def judge(texts: pa.Array) -> np.ndarray:
+        return Classifier.unpacked(*packed).scores(*utf8(texts)) < 0.5
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.filter(passing(judge)(F.col("text").cast("string")))

@@ -87,6 +87,44 @@ def test_swapping_names_hardly_changes_scores():
     assert score(held, neutral[0]) < 0.5 < score(held, "Those folks are worthless scum.")
 
 
+def test_pairs_of_the_given_tables_hold_names_down(spark):
+    """No given document names a group; names are put in, and the penalty acts on the fit."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.learn(docs, labels)
+    assert held.pairs >= 300
+    rows = docs.join(labels, "doc_id").filter("toxic is not null and text is not null").toPandas()
+    rows["held_out"] = [zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id]
+    known = rows[~rows.held_out].sort_values("doc_id")
+    # A corpus with a bias: toxic sentences mostly name one group.
+    judge = toxicity.learn(docs, labels)
+    names = ("muslims", "refugees", "frauen", "homosexual")
+    texts = []
+    for i, (text, toxic) in enumerate(zip(known.text, known.toxic)):
+        cut = [s.strip() for s in toxicity.sentences_of(text)]
+        if toxic and cut and i % 5:
+            top = int(np.argmax([judge.scores(*toxicity._of([s]))[0] for s in cut]))
+            cut[top] = f"{names[i % 4]} {cut[top]}"
+        texts.append(" ".join(cut))
+    fits = [toxicity.fit(texts, known.toxic.tolist(), penalty=p) for p in (0.0, toxicity.SWAP_PENALTY)]
+    assert not np.array_equal(fits[0].weights, fits[1].weights)
+    clean = rows[rows.held_out & (rows.toxic == 0)].text.tolist()
+    mentions = [f"{n} met here. {t}" for t in clean for n in names]
+    rates = [(f.scores(*toxicity._of(mentions)) >= 0.5).mean() for f in fits]
+    shifts = [np.abs([np.subtract(*f.scores(*toxicity._of([f"{n} met here.", "met here."]))) for n in names]).mean() for f in fits]
+    assert rates[1] <= rates[0] and shifts[1] < 0.5 * shifts[0], (rates, shifts)
+
+
+def test_bytes_learnt_from_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}. " * 100) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda found, toxic: list(zip(found, toxic)))
+    found = toxicity.learn(docs, labels, sample_bytes=5000)
+    for label in (0, 1):
+        sizes = [len(t) for t, y in found if y == label]
+        assert sizes and sum(sizes) <= 5000
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     found = run(spark, sf, "op2_toxicity")
