@@ -12,7 +12,7 @@ from mailsift.functions import fixed_values as V
 from mailsift.functions.text_features import with_text_features
 from mailsift.functions.url_features import with_url_features
 from mailsift.operators.tfidf import Tfidf
-from mailsift.workspace import local_table
+from mailsift.workspace import bucket_count, bucketed, local_table
 
 
 def with_dense_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -25,8 +25,17 @@ def with_dense_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def join_features(text_features: DataFrame, url_features: DataFrame) -> DataFrame:
-    """Put separately stored feature tables together, one to one by row id."""
-    return text_features.join(url_features, "row_id")
+    """Put separately stored feature tables together, one to one by row id.
+
+    Tables that ``stored_features`` wrote are joined bucket by bucket, without a shuffle.
+    """
+    return text_features.join(url_features.hint("merge"), "row_id")
+
+
+def stored_features(*tables: DataFrame) -> list[DataFrame]:
+    """Feature tables written by row id, in as many buckets each as the first has need of."""
+    buckets = bucket_count(tables[0])
+    return [bucketed(table, "row_id", buckets, "features") for table in tables]
 
 
 def feature_means(df: DataFrame, features: list[str]) -> DataFrame:

@@ -75,9 +75,11 @@ def with_explanations(scored: DataFrame, detector: Detector, top: int = TOP_EXPL
     ``scored`` has the mail's ``features``.
     """
     spark = scored.sparkSession
-    made = explainers(detector, spark)
-    names = {model: [detector.features.names[f] for f in one.features] for model, one in made.items()}
-    shared = spark.sparkContext.broadcast((made, names))
+    if detector.explainers is None:
+        made, every = explainers(detector, spark), detector.features.names
+        names = {model: [every[f] for f in one.features] for model, one in made.items()}
+        detector.explainers = spark.sparkContext.broadcast((made, names))
+    shared = detector.explainers
     entry = pa.struct([("rank", pa.int32()), ("feature", pa.string()), ("contribution", pa.float64()),
                        ("direction", pa.string()), ("bar_width", pa.float64())])
     kind = pa.list_(pa.struct([("model", pa.string()), ("base", pa.float64()), ("total", pa.float64()), ("top", pa.list_(entry))]))

@@ -133,6 +133,8 @@ class Detector:
     base: dict
     meta: LogisticRegressionModel | None = None
     path: str | None = None
+    # What explanations need, sent to the workers once.
+    explainers: object | None = None
 
     @property
     def names(self) -> list[str]:

@@ -453,6 +453,9 @@ checks AS (
   UNION ALL SELECT 'not_eligible', (SELECT count(*) FROM splits WHERE NOT included_in_training)
                                  + (SELECT count(*) FROM confound WHERE NOT included_in_training))
 SELECT "check", observed, 0 AS expected, observed = 0 AS ok FROM checks""",
+    "observed_build_checks": f"""WITH {CLEANED},{sampled("cleaned")}
+SELECT 'sample' AS output, count(*) AS rows, 0 AS failing FROM sample UNION ALL
+SELECT 'splits', count(*), 0 FROM splits UNION ALL SELECT 'confound', count(*), 0 FROM confound""",
     "output_sizes": f"""WITH {SAMPLED}
 SELECT split, count(*) AS rows, count_if(label = 'phishing') AS phishing, count_if(label = 'legitimate') AS legitimate
 FROM (SELECT split, label FROM splits UNION ALL SELECT 'confound', label FROM confound) GROUP BY split""",
@@ -519,9 +522,18 @@ FROM splits, (VALUES {_ALL_VALUES}) AS m(model) WHERE split = 'test' GROUP BY AL
     "model_metric_checks": f"""WITH {CLEANED},{sampled("cleaned")}
 SELECT model, count(DISTINCT source_dataset) + 1 AS rows, 0 AS failing
 FROM splits, (VALUES {_ALL_VALUES}) AS m(model) WHERE split = 'test' GROUP BY model""",
+    "matrix_checks": f"""WITH {CLEANED},{sampled("cleaned")}
+SELECT split, count(*) AS rows, 0 AS failing FROM splits GROUP BY split""",
+    "meta_model_checks": f"""WITH {CLEANED},{sampled("cleaned")}
+SELECT model, count(*) AS rows, 0 AS failing
+FROM splits, (VALUES {_BASE_VALUES}, ('intercept')) AS m(model) WHERE split = 'val' GROUP BY model""",
+    "threshold_summary_checks": f"""WITH {CLEANED},{sampled("cleaned")}
+SELECT count(*) AS rows, 0 AS failing FROM splits WHERE split = 'test'""",
     "threshold_checks": "SELECT 1 AS rows, 0 AS failing",
     "report_checks": f"SELECT model, 1 AS rows, 0 AS failing FROM (VALUES {_ALL_VALUES}) AS m(model)",
     "response_checks": """SELECT turn % 3 AS kind, count(*) AS rows, count_if(turn % 3 = 2) AS errors, 0 AS failing
+FROM conversations GROUP BY ALL""",
+    "rescued_request_checks": """SELECT ((conv_id + turn) % 4)::INT AS kind, count(*) AS rows, 0 AS failing
 FROM conversations GROUP BY ALL""",
     "stream_batch_checks": "SELECT count(*) AS rows, 0 AS failing FROM benchmark",
     "formatted_metrics": f"""WITH {METRICS}
@@ -531,9 +543,9 @@ SELECT model, source_dataset, {", ".join(
     "feature_spot_check": f"""WITH {_DENSE}
 SELECT row_id, label, {rounded("urgency_score", "urgency_score")}, {rounded("word_count", "word_count")},
        {rounded("url_count", "url_count")} FROM with_url ORDER BY md5('42-' || row_id), row_id LIMIT 5""",
-    # What Latin-1 lacks was lost when the word was made.
-    "encoded_words": r"""SELECT doc_id, 'a ' || CASE WHEN doc_id % 4 = 2
-    THEN regexp_replace(substr(text, 1, 30), '[^\x00-\x{FF}]', '?', 'g') ELSE substr(text, 1, 30) END || ' z' AS decoded
+    # What Latin-1 lacks was lost when the word was made; words stay apart as they were.
+    "encoded_words": r"""SELECT doc_id, 'a ' || array_to_string(regexp_extract_all(CASE WHEN doc_id % 4 = 2
+    THEN regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') ELSE text END, '(?s).{1,5}'), ' ') || ' z' AS decoded
 FROM documents WHERE text IS NOT NULL""",
     "mbox_file_states": "SELECT 'whole' AS state, count(*) AS records FROM conversations",
     "mbox_without_mirror_files": "SELECT count(*) AS messages, 0 AS leftovers FROM conversations",

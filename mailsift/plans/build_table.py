@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
 from mailsift.operators import cleaning, sampling
-from mailsift.workspace import materialise
+from mailsift.workspace import materialise, materialise_checked
 
 
 @dataclass
@@ -16,6 +17,8 @@ class TrainingTable:
     cleaned: DataFrame
     splits: DataFrame
     confound: DataFrame
+    # Rows of each output and those that broke a rule, counted while they were written.
+    observed: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def cleaned_table(merged: DataFrame, apply_non_email_filter: bool = False, dedup_after_clean: bool = False) -> DataFrame:
@@ -35,15 +38,24 @@ def build(merged: DataFrame, out: str, quota: Column | None = None, confound_per
           apply_non_email_filter: bool = False, dedup_after_clean: bool = False) -> TrainingTable:
     """Write ``cleaned``, ``splits`` (by split) and ``confound`` below ``out``.
 
-    The cleaned table is written once because sample, splits and confound slice all read it.
+    The cleaned table is written once because sample, splits and confound slice all read it. What must hold of a row is
+    counted while it is written, and a row that breaks a rule, or splits that do not add up to the sample, end the run.
     """
+    rules = {
+        "not_eligible": ~F.col("included_in_training"), "no_label": ~F.col("label").isin(V.PHISHING, V.LEGITIMATE),
+        "blank_text": F.trim("text") == "", "no_id": F.col("row_id").isNull()}
+    seen: dict[str, dict[str, int]] = {}
     cleaned = materialise(cleaned_table(merged, apply_non_email_filter, dedup_after_clean), f"{out}/cleaned")
     if quota is None:
         short = sampling.missing_strata(cleaned).collect()
         if short:
             raise ValueError(f"too few rows for the sample: {[tuple(r) for r in short]}")
         quota = sampling.quota_by_source_label()
-    sample = materialise(sampling.stratified_sample(cleaned, quota), f"{out}/sample")
-    splits = materialise(sampling.train_val_test(sample), f"{out}/splits", partition_by=["split"])
-    confound = materialise(sampling.confound_slice(cleaned, sample, confound_per_label), f"{out}/confound")
-    return TrainingTable(cleaned, splits, confound)
+    sample, seen["sample"] = materialise_checked(sampling.stratified_sample(cleaned, quota), f"{out}/sample", rules)
+    splits, seen["splits"] = materialise_checked(
+        sampling.train_val_test(sample), f"{out}/splits", {**rules, "no_split": ~F.col("split").isin("train", "val", "test")}, ["split"])
+    if seen["splits"]["rows"] != seen["sample"]["rows"]:
+        raise ValueError(f"{seen['sample']['rows']} rows were drawn and {seen['splits']['rows']} split")
+    confound, seen["confound"] = materialise_checked(
+        sampling.confound_slice(cleaned, sample, confound_per_label), f"{out}/confound", rules)
+    return TrainingTable(cleaned, splits, confound, seen)

@@ -16,7 +16,7 @@ from mailsift.functions import fixed_values as V
 from mailsift.operators import explain, metrics, models
 from mailsift.operators.assemble import FeatureModel
 from mailsift.operators.models import BASE_MODELS, Detector, TrainingOptions
-from mailsift.workspace import materialise
+from mailsift.workspace import materialise, materialise_checked
 
 
 @dataclass
@@ -33,7 +33,10 @@ def train(splits: DataFrame, out: str, options: TrainingOptions = TrainingOption
     fitted = FeatureModel.fit(splits.filter("split = 'train'"), max_terms)
     kept = ["row_id", "source_dataset", "label", "included_in_training", "split", "features"]
     # Training reads its input many times; the features are computed and written once.
-    features = models.labelled(materialise(fitted.transform(splits).select(*kept), f"{out}/features", ["split"]))
+    # A row without a label, an id or a vector of the model's length ends the run.
+    table, _ = materialise_checked(fitted.transform(splits).select(*kept), f"{out}/features", {
+        "no_label": F.col("label").isNull(), "no_id": F.col("row_id").isNull(), "no_features": F.col("features").isNull()}, ["split"])
+    features = models.labelled(table)
 
     base = models.fit_base_models(features.filter("split = 'train'"), options)
     val = models.with_base_scores(features.filter("split = 'val'"), base)

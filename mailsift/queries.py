@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +23,16 @@ from mailsift.operators.assemble import (
     FeatureModel,
     Scaler,
     feature_means,
-    join_features,
+    join_features, stored_features,
     spot_check,
     with_dense_features,
     zero_url_breakdown,
 )
-from mailsift.operators.models import BASE_MODELS
+from mailsift.operators.models import BASE_MODELS, Detector
 from mailsift.operators.tfidf import Tfidf, long_form, vocabulary
 from mailsift.plans import train as training
 from mailsift.plans.build_table import build, cleaned_table
-from mailsift.plans.score import classification, responses, with_scores
+from mailsift.plans.score import MALFORMED, NO_TEXT, NOT_A_NUMBER, classification, responses, with_scores
 from mailsift.sources import files, mime
 from mailsift.sources.inbox import inbox, raw_sources, read_table
 from mailsift.sources.json_tree import json_tree_text
@@ -141,17 +142,24 @@ def became_blank(spark, sf_dir):
     return cleaning.became_blank_report(text_cleaning.with_clean_text(_unique(spark, sf_dir)))
 
 
+# Code points of an encoded word: four bytes each in the longest encoding stay within its 75 characters.
+ENCODED_PIECE = 5
+
+
 def encoded_words(spark, sf_dir):
-    """Encoded words made of the documents' own beginnings, in four encodings, decoded again."""
-    start = F.substring("text", 1, 30)
-    hexed = lambda charset: F.regexp_replace(F.hex(F.encode(start, charset)), "(..)", "=$1")
-    word = (
-        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("=?UTF-8?b?"), F.base64(F.encode(start, "UTF-8"))))
-        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("=?utf-8?Q?"), hexed("UTF-8")))
-        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("=?iso-8859-1?q?"), hexed("ISO-8859-1")))
-        .otherwise(F.concat(F.lit("=?utf-16be?B?"), F.base64(F.encode(start, "UTF-16BE"))))
-    )
-    text = F.concat(F.lit("a "), word, F.lit("?= z"))
+    """The documents' whole texts as encoded words of legal length, in four encodings, decoded again."""
+    hexed = lambda text, charset: F.regexp_replace(F.hex(F.encode(text, charset)), "(..)", "=$1")
+
+    def word(piece: Column) -> Column:
+        kind, latin = F.col("doc_id") % 4, F.regexp_replace(piece, r"[^\x00-\xFF]", "?")
+        return F.concat(
+            F.when(kind == 0, F.concat(F.lit("=?UTF-8?b?"), F.base64(F.encode(piece, "UTF-8"))))
+            .when(kind == 1, F.concat(F.lit("=?utf-8?Q?"), hexed(piece, "UTF-8")))
+            .when(kind == 2, F.concat(F.lit("=?iso-8859-1?q?"), hexed(latin, "ISO-8859-1")))
+            .otherwise(F.concat(F.lit("=?utf-16be?B?"), F.base64(F.encode(piece, "UTF-16BE")))), F.lit("?="))
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{ENCODED_PIECE}}}"), F.lit(0))
+    text = F.concat(F.lit("a "), F.array_join(F.transform(pieces, word), " "), F.lit(" z"))
     documents = read_table(spark, sf_dir, "documents").filter("text is not null")
     return documents.select("doc_id", text_cleaning.decode_mime_words(text).alias("decoded"))
 
@@ -207,6 +215,16 @@ def split_integrity_checks(spark, sf_dir):
     return sampling.split_integrity(*_outputs(spark, sf_dir))
 
 
+def observed_build_checks(spark, sf_dir):
+    """Rows of each output and rows that broke a rule, as counted while the outputs were written."""
+    table = build(inbox(spark, sf_dir), run_dir(spark, "observed"), sampling.quota_by_share(SAMPLE_SHARE), CONFOUND_PER_LABEL)
+    rows = [(name, seen["rows"], sum(n for rule, n in seen.items() if rule != "rows")) for name, seen in table.observed.items()]
+    written = table.splits.select(F.lit("splits").alias("output")).unionByName(table.confound.select(F.lit("confound").alias("output")))
+    stored = written.groupBy("output").agg(F.count("*").alias("stored"))
+    return spark.createDataFrame(rows, "output string, rows bigint, broken bigint").join(stored, "output", "left").select(
+        "output", "rows", (F.col("broken") + F.abs(F.col("rows") - F.coalesce("stored", "rows"))).alias("failing"))
+
+
 def output_sizes(spark, sf_dir):
     splits, _, confound = _outputs(spark, sf_dir)
     return sampling.output_sizes(splits, confound)
@@ -256,10 +274,10 @@ def zero_url_report(spark, sf_dir):
 
 def joined_features(spark, sf_dir):
     rows = _kept(spark, sf_dir)
-    joined = join_features(
+    joined = join_features(*stored_features(
         with_text_features(rows).select("row_id", "label", *V.TEXT_FEATURES),
         with_url_features(rows).select("row_id", *V.URL_FEATURES),
-    )
+    ))
     return round_columns(joined, ["urgency_score", "avg_word_length", "avg_domain_entropy"])
 
 
@@ -544,6 +562,54 @@ def report_checks(spark, sf_dir):
     return rows.groupBy("model").agg(F.count("*").alias("rows"), _failing(holds))
 
 
+def matrix_checks(spark, sf_dir):
+    """Per split: the stored matrix has a row for every mail, with the vector that the stored feature model makes of its text."""
+    splits = _training_table(spark, sf_dir)
+    detector = Detector.load(spark, trained(spark, sf_dir).detector.path)
+    stored = spark.read.parquet(f"{detector.path.rsplit('/', 1)[0]}/features").select("row_id", F.col("features").alias("stored"))
+    made = detector.features.transform(splits).select("row_id", "split", "features")
+    both = made.join(stored, "row_id", "left").select(
+        "split", vector_to_array("features").alias("a"), vector_to_array("stored").alias("b"))
+    holds = F.forall(F.arrays_zip("a", "b"), lambda x: F.abs(x.a - x.b) < 1e-12) & (F.size("a") == F.size("b"))
+    return both.groupBy("split").agg(F.count("*").alias("rows"), _failing(holds))
+
+
+def meta_model_checks(spark, sf_dir):
+    """Per weight of the stacked model: the slope of its regularised log loss over the validation rows is zero there."""
+    result = trained(spark, sf_dir)
+    wide = result.val_scores.groupBy("row_id", "y").pivot("model", result.detector.names).agg(F.first("score"))
+    missed, meta = F.col(metrics.ENSEMBLE) - F.col("y"), result.detector.meta
+    slopes = [(name, F.avg(missed * F.col(name)) + float(weight) / F.count("*")) for name, weight in zip(BASE_MODELS, meta.coefficients)]
+    slopes.append(("intercept", F.avg(missed)))
+    found = wide.agg(F.count("*").alias("rows"), *[slope.alias(name) for name, slope in slopes])
+    return found.select("rows", F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("slope")) for n, _ in slopes]))).select(
+        "model", "rows", F.when(F.abs("slope") < 1e-4, 0).otherwise(1).alias("failing"))
+
+
+def threshold_summary_checks(spark, sf_dir):
+    """The threshold summary's parts are the metrics they name, at the default and at the selected threshold, over the test rows."""
+    result = trained(spark, sf_dir)
+    selected = _selected(result) or V.SERVING_THRESHOLD
+    report = training.tuning_report(result.val_scores, result.test_scores, selected)
+    test = result.test_scores.filter(F.col("model") == metrics.ENSEMBLE)
+    hit = lambda t: (F.col("score") >= t) & (F.col("y") == 1)
+    own = test.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("y") == 1).alias("phishing"),
+        F.count_if(hit(V.DEFAULT_CUT)).alias("at_default"), F.count_if(hit(selected)).alias("at_selected"))
+    overall = lambda part: F.filter(part, lambda m: m.source_dataset.isNull())[0]
+    parts = report.select(
+        overall("test_at_default").tp.alias("d"), overall("test_at_selected").tp.alias("s"),
+        F.col("test_recall_cost")[0].alias("cost"), F.size("validation_fpr_targets").alias("targets"), "selected_threshold")
+    holds = (
+        (F.col("d") == F.col("at_default")) & (F.col("s") == F.col("at_selected")) & (F.col("selected_threshold") == selected)
+        & (F.col("cost.additional_missed") == F.col("at_default") - F.col("at_selected"))
+        & _close(F.col("cost.recall_drop"), (F.col("at_default") - F.col("at_selected")) / F.col("phishing"))
+        & (F.col("targets") == len(V.FPR_TARGETS)))
+    # Two tables of one row each.
+    one = lambda df: df.withColumn("k", F.lit(1))
+    return one(own).join(one(parts), "k").select("rows", F.when(holds, 0).otherwise(1).alias("failing"))
+
+
 def response_checks(spark, sf_dir):
     """Responses to JSON requests, by turn: invalid thresholds give errors, the others a class by their threshold."""
     rows = stream_score_json(spark, sf_dir).withColumn("turn", F.split("row_id", "-")[1].cast("bigint"))
@@ -646,7 +712,7 @@ def mbox_message_total(spark, sf_dir):
 
 
 def _eml_folder(spark, sf_dir) -> str:
-    """Benchmark items as single message files (a folder per item, as Spark writes them)."""
+    """Benchmark items as single message files, those of a task in one folder."""
     items = read_table(spark, sf_dir, "benchmark")
     message = F.concat(
         F.lit("Subject: item "), F.col("item_id").cast("string"),
@@ -654,7 +720,7 @@ def _eml_folder(spark, sf_dir) -> str:
         F.base64(F.encode("text", "UTF-8")),
     )
     folder = f"{run_dir(spark, 'eml')}/mail"
-    items.select("item_id", message.alias("value")).write.partitionBy("item_id").text(folder)
+    items.select(message.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
@@ -722,21 +788,50 @@ def stream_score_json(spark, sf_dir):
     return _drain(query, out, spark).drop("batch")
 
 
+def rescued_request_checks(spark, sf_dir):
+    """Requests by kind of line: a malformed line, a threshold that is no number and a missing text each get one error row,
+    good lines a class, as in a batch of the same requests."""
+    out = run_dir(spark, "stream-rescued")
+    turns = read_table(spark, sf_dir, "conversations")
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    name = F.concat_ws("-", F.col("conv_id"), F.col("turn"), kind)
+    line = F.when(kind == 1, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
+    turns = turns.withColumn("line", F.to_json(F.struct(
+        name.alias("request_id"), F.when(kind != 3, F.col("text")).alias("email_text"),
+        F.when(kind == 2, "high").otherwise("0.5").alias("threshold"))))
+    turns.select(line.alias("value")).write.text(f"{out}/requests")
+    detector = trained(spark, sf_dir).detector
+    requests = streaming.request_stream(spark, f"{out}/requests")
+    rows = _drain(streaming.score_stream(detector, requests, out, f"{out}/state", with_explanation=False), out, spark)
+    good = turns.filter(kind == 0).select(
+        name.alias("row_id"), "text", F.lit(0.5).alias("threshold"), F.lit("raw_text").alias("input_method"))
+    batch = responses(detector, good, False).select(F.col("row_id").alias("id"), F.col("ensemble_probability").alias("p"))
+    found = F.when(F.col("row_id").isNull(), 1).otherwise(F.element_at(F.split("row_id", "-"), -1).cast("int"))
+    rows = rows.withColumn("kind", found).join(batch, F.col("row_id") == F.col("id"), "left")
+    message = F.element_at(F.create_map(
+        F.lit(1), F.lit(MALFORMED), F.lit(2), F.lit(NOT_A_NUMBER), F.lit(3), F.lit(NO_TEXT)), F.col("kind"))
+    holds = F.when(F.col("kind") == 0, F.col("error").isNull() & F.col("classification").isNotNull()
+                   & _close(F.col("ensemble_probability"), F.col("p"))).otherwise(
+        F.startswith("error", message) & F.col("classification").isNull() & F.col("ensemble_probability").isNull())
+    return rows.groupBy("kind").agg(F.count("*").alias("rows"), _failing(holds))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
         merge_sources_summary, eligible_rows, blank_placeholder_filter, exact_dedup_first_source, duplicates_by_source,
         cleaned_text, quality_flags_before_after, non_email_tags, non_email_filtered, non_email_rate,
         non_email_first_tags, non_email_preview, became_blank, encoded_words, html_strip_pages, class_balance, seeded_class_rows,
-        stratified_sample, train_val_test_split, confound_slice, split_integrity_checks, output_sizes,
+        stratified_sample, train_val_test_split, confound_slice, split_integrity_checks, observed_build_checks, output_sizes,
         text_features, text_features_by_label, url_extract, url_features, url_features_by_label, zero_url_report,
         joined_features, feature_alignment_checks, tfidf_vocabulary, tfidf_weights, scaled_dense, assembled_matrix,
         metrics_overall_by_source, roc_auc_by_source, threshold_sweep, threshold_pick, recall_cost,
         best_baseline_vs_ensemble, synthetic_slice,
         test_scores, model_metrics, model_threshold_sweep, feature_importance_top20, dense_importance,
         evaluation_report, score_mails, explain_top10,
-        explanation_checks, test_score_checks, importance_checks, model_metric_checks, threshold_checks, report_checks,
-        response_checks, stream_batch_checks, formatted_metrics, feature_spot_check,
+        explanation_checks, test_score_checks, importance_checks, model_metric_checks, threshold_checks, report_checks, matrix_checks, meta_model_checks,
+        threshold_summary_checks,
+        response_checks, rescued_request_checks, stream_batch_checks, formatted_metrics, feature_spot_check,
         mbox_file_states, mbox_without_mirror_files, mbox_messages, mbox_message_total, eml_messages, json_tree_texts, csv_round_trip, materialise_status,
         stream_score_eml, stream_score_json,
     ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -50,6 +50,43 @@ def materialise(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+# Rows of a bucket, about.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for tables that are joined with each other: they must have equally many."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
+    """Write a table dealt to buckets by its key and sorted within them, and read it back.
+
+    The session's catalog records the bucketing, so joins and groupings by the key of tables with equally many
+    buckets need no shuffle. The key is dealt once, when the table is written: one file for each bucket.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, purpose)
+    name = f"mailsift_{purpose.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    writer = df.repartition(buckets, key).write.option("path", f"{path}/table")
+    writer.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def materialise_checked(
+    df: DataFrame, path: str, violations: dict[str, Column], partition_by: list[str] | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """Write a table and count, in the same pass, its ``rows`` and those that break a rule; any such row is an error."""
+    observation = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in violations.items()]]
+    table = materialise(df.observe(observation, *counts), path, partition_by)
+    seen = {name: int(observation.get.get(name) or 0) for name in ("rows", *violations)}
+    broken = {name: seen[name] for name in violations if seen[name]}
+    if broken:
+        raise ValueError(f"rows that break a rule in {path}: {broken}")
+    return table, seen
+
+
 def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     """A table from rows the driver holds anyway; marked for broadcast, as Spark cannot see its size."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -202,3 +202,20 @@ def test_streams(spark, result, tmp_path):
     got = {r.row_id: r for r in spark.read.parquet(f"{out}/responses").collect()}
     assert got["a"].error is None and got["a"].classification in ("phishing", "legitimate")
     assert got["b"].error is not None and got["b"].classification is None
+
+
+def test_every_request_line_gets_one_response(spark, result, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join([
+        '{"request_id": "good", "email_text": "hello", "threshold": 0.5}', '{"request_id": "cut", "email_te', "",
+        '{"request_id": "word", "email_text": "hello", "threshold": "high"}', '{"request_id": "none"}',
+        '{"request_id": "blank", "email_text": "  "}', '{"request_id": "text", "email_text": "hello", "threshold": "0.5"}']))
+    out = run_dir(spark, "test")
+    scoring.score_stream(result.detector, scoring.request_stream(spark, str(tmp_path)), out, f"{out}/state").awaitTermination()
+    rows = spark.read.parquet(f"{out}/responses").collect()
+    assert len(rows) == 6
+    errors = {r.row_id: r.error for r in rows}
+    assert errors["good"] is None and errors["text"] is None and errors["word"] == f"{score.NOT_A_NUMBER}, got high"
+    assert errors["none"] == errors["blank"] == score.NO_TEXT
+    assert [r.error for r in rows if r.row_id not in ("good", "text", "word", "none", "blank")] == [score.MALFORMED]
+    for r in rows:
+        assert (r.error is None) == (r.classification is not None) == (r.ensemble_probability is not None) == (r.explanation is not None)
