@@ -18,8 +18,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-# A table of so many chunks takes some 30 MB.
-CHUNKS_KEPT = 150_000
+# Chunks that a worker keeps from task to task, some 200 MB; who has less memory passes a smaller number.
+CHUNKS_KEPT = 1_000_000
 
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 # White space that str.split() sees beside the ASCII white space above.
@@ -207,15 +207,19 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def _loaded(path: str, kind: str, pattern: str) -> ChunkEncoder:
-    return ChunkEncoder(path, kind, pattern)
+def _loaded(path: str, kind: str, pattern: str, kept: int) -> ChunkEncoder:
+    return ChunkEncoder(path, kind, pattern, kept)
 
 
 @contextmanager
-def worker_encoder(path: str, kind: str, pattern: str = "") -> Iterator[ChunkEncoder]:
-    """The encoder of this Python worker: its files are read once, its table of chunks goes when a task ends."""
-    encoder = _loaded(path, kind, pattern)
+def worker_encoder(path: str, kind: str, pattern: str = "", kept: int | None = None) -> Iterator[ChunkEncoder]:
+    """The encoder of this Python worker, whose files are read once.
+
+    Its table of chunks lasts from task to task; if ``kept`` bounds it, it also goes when a task ends.
+    """
+    encoder = _loaded(path, kind, pattern, kept or CHUNKS_KEPT)
     try:
         yield encoder
     finally:
-        encoder.forget()
+        if kept:
+            encoder.forget()

@@ -28,7 +28,10 @@ MEASURES = 5
 # Pages that are learnt from at most (each of at most so many characters), and layouts composed of them.
 SAMPLE, SAMPLE_CHARS, COMPOSED = 240, 60_000, 1600
 STEPS, BATCH, RATE = 500, 24, 0.01
-LONGEST_TRAINED = 60
+# Blocks of the run of a page that one training step sees; runs are drawn anew in each step, ends of pages included.
+TRAINED_RUN = 60
+# Steps times pages that go through the network at once; a page of more blocks goes alone.
+CELLS_AT_ONCE = 8_192
 SEED = 8
 PAGE_BYTES = 1 << 20
 
@@ -212,7 +215,7 @@ def inputs_of(blocks: list[Block]) -> Inputs:
         n = len(block.text)
         marks = sum(map(block.text.count, ".,;:!?"))
         measures.append((np.log1p(n) / 5, block.linked, marks / (len(found) + 1), min(len(found), 100) / 50,
-                         sum(map(str.isdigit, block.text[:200])) / min(n, 200)))
+                         sum(map(str.isdigit, block.text)) / n))
     lengths = lambda rows: np.concatenate([[0], np.cumsum([len(r) for r in rows])])[:-1].astype(np.int64)
     flat = lambda rows: np.fromiter((x for r in rows for x in r), np.int64)
     return Inputs(flat(paths), lengths(paths), flat(words), lengths(words), np.array(measures, np.float32))
@@ -307,14 +310,21 @@ def _layout(sizes: list[int]) -> np.ndarray:
     return where
 
 
+def drawn_run(page: list, rng: np.random.Generator, most: int = TRAINED_RUN) -> list:
+    """The whole page, or a run of ``most`` of its blocks; its first and last blocks are drawn as often as others."""
+    start = int(rng.integers(1 - most, len(page))) if len(page) > most else 0
+    start = min(max(start, 0), max(len(page) - most, 0))
+    return page[start : start + most]
+
+
 def train(pages: list[list[tuple[Block, bool]]], steps: int = STEPS, seed: int = SEED) -> Labeller:
     """Adam over drawn batches of labelled block sequences."""
     net = fresh(seed)
     rng = np.random.default_rng(seed)
-    pages = [p[:LONGEST_TRAINED] for p in pages if p]
+    pages = [p for p in pages if p]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     for step in range(1, steps + 1):
-        chosen = [pages[i] for i in rng.integers(0, len(pages), BATCH)]
+        chosen = [drawn_run(pages[i], rng) for i in rng.integers(0, len(pages), BATCH)]
         x = inputs_of([b for p in chosen for b, _ in p])
         truth = np.array([y for p in chosen for _, y in p], np.float32)
         gradients = _gradients(net, x, _layout([len(p) for p in chosen]), truth)
@@ -442,12 +452,22 @@ def learn(pages: DataFrame, sample: int = SAMPLE, composed: int = COMPOSED) -> L
     return train(marked * max(1, composed // max(2 * len(marked), 1)) + made)
 
 
+def batches_of(sizes: list[int], cells: int = CELLS_AT_ONCE) -> Iterator[list[int]]:
+    """Pages with blocks, those of like length together, in batches that take at most so many cells when padded."""
+    batch: list[int] = []
+    for i in sorted((i for i, size in enumerate(sizes) if size), key=sizes.__getitem__):
+        if batch and sizes[i] * (len(batch) + 1) > cells:
+            yield batch
+            batch = []
+        batch.append(i)
+    if batch:
+        yield batch
+
+
 def _keep(net: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
-    """For each page, which of its blocks are labelled as main text. Pages of like length go together."""
+    """For each page, which of its blocks are labelled as main text."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-    order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for k in range(0, len(order), 128):
-        part = order[k : k + 128]
+    for part in batches_of([len(p) for p in pages]):
         x = inputs_of([b for i in part for b in pages[i]])
         logits = _forward(net, _vectors(net, x), _layout([len(pages[i]) for i in part]))
         for column, i in enumerate(part):

@@ -20,8 +20,8 @@ from mailsift.llm.common import Workspace, runs
 
 LIMIT = 4096
 END = 2
-# Groups that number their sequences on their own, for each length.
-GROUPS = 1024
+# Pieces of a group that numbers its sequences on its own; more pieces, more groups.
+GROUP_ROWS = 250_000
 
 
 def binary_lengths(tokens: int, limit: int) -> list[int]:
@@ -31,14 +31,18 @@ def binary_lengths(tokens: int, limit: int) -> list[int]:
 
 
 def piece_table(
-    docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int | None = END, with_ids: bool = True
+    docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int | None = END, with_ids: bool = True,
+    chunks_kept: int | None = None,
 ) -> DataFrame:
-    """``doc_id, start, length, ids, ids_crc32, doc_tokens``: the pieces with their token ids, or null for these."""
+    """``doc_id, start, length, ids, ids_crc32, doc_tokens``: the pieces with their token ids, or null for these.
+
+    ``chunks_kept`` bounds what the tokenizer remembers in a task, if memory is short; the result is the same.
+    """
     if limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with worker_encoder(tokenizer, "word") as encoder:
+        with worker_encoder(tokenizer, "word", kept=chunks_kept) as encoder:
             for batch in batches:
                 for part in runs(batch, "text"):
                     texts = part.column("text").fill_null("").to_pylist()
@@ -69,30 +73,33 @@ def piece_table(
         work, "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint")
 
 
-def numbered(pieces: DataFrame, work: Workspace, groups: int = GROUPS) -> DataFrame:
+def numbered(pieces: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``sequence_id`` (from 0, without gaps, equal lengths together) and ``offset`` (always 0).
 
-    Rows are dealt to groups by a hash of their content, groups are counted, and a row's number is that
-    of its group's first plus its place in the group. Only the counts, at most ``groups`` for each
-    length, are put in one order; equal rows are the same whichever number they get.
+    Rows are dealt to groups by a hash of their content, as many as the counted rows need; groups are counted, and
+    a row's number is that of its group's first plus its place in the group. Only the counts, at most one for each
+    group and length, are put in one order; equal rows are the same whichever number they get.
     """
     columns = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("int"))
     pieces = work.keep(pieces)
+    groups = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // group_rows))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("int"))
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     first = F.expr("sum(n) over (order by length desc, part rows between unbounded preceding and current row) - n")
-    counts = counts.withColumn("first", first).drop("n")
+    # Written, so that Spark knows its bytes and sends it around only if they are few.
+    counts = work.keep(counts.withColumn("first", first).drop("n"))
     place = F.expr(f"row_number() over (partition by length, part order by {', '.join(columns)}) - 1")
-    return pieces.withColumn("place", place).join(F.broadcast(counts), ["length", "part"]).select(
+    return pieces.withColumn("place", place).join(counts, ["length", "part"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("first") + F.col("place")).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 
-def packed(docs: DataFrame, work: Workspace, tokenizer: str, limit: int = LIMIT, end: int | None = END) -> DataFrame:
+def packed(docs: DataFrame, work: Workspace, tokenizer: str, limit: int = LIMIT, end: int | None = END,
+           chunks_kept: int | None = None) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: one row per piece.
 
     Every row of ``docs`` is a document, rows that repeat another too. A null or empty text is the end
     token alone (no piece at all if ``end`` is None); a null doc_id stays null. A long text gives many
     pieces. Other columns are not read; an empty table gives an empty one.
     """
-    return numbered(piece_table(docs, tokenizer, limit, end, with_ids=False).drop("ids"), work)
+    return numbered(piece_table(docs, tokenizer, limit, end, False, chunks_kept).drop("ids"), work)

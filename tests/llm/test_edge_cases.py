@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailsift.llm import (
-    fingerprints, html_extraction, language_id, license_scan, mixing, neighbours, ngram_join, packing,
-    token_attribution, toxicity,
+    fingerprints, hard_negatives, html_extraction, language_id, lexical_search, license_scan, mixing, neighbours,
+    ngram_join, packing, sharding, token_attribution, toxicity,
 )
 from mailsift.llm.common import Workspace
 
@@ -59,6 +59,7 @@ def operators(spark, net, judge):
         "join": lambda d: ngram_join.jaccard_components(d, Workspace(spark, "t"), 3, 90),
         "one_of_each": lambda d: ngram_join.one_of_each(d, Workspace(spark, "t")),
         "packing": lambda d: packing.packed(d, Workspace(spark, "t"), WORD_BPE),
+        "sharding": lambda d: sharding.assign(d, Workspace(spark, "t")),
     }
 
 
@@ -71,7 +72,7 @@ def test_empty_table_and_all_null_rows(spark, net, judge, name):
     assert kept == {"language_filter": 0, "mixed_rows": 0}.get(name, 3)
 
 
-@pytest.mark.parametrize("name", ["license", "toxicity", "fingerprints", "language", "mixing", "join"])
+@pytest.mark.parametrize("name", ["license", "toxicity", "fingerprints", "language", "mixing", "join", "sharding"])
 def test_a_row_for_every_row(spark, net, judge, name):
     rows = operators(spark, net, judge)[name](spark.createDataFrame(ROWS, DOCS)).collect()
     assert len(rows) == len(ROWS)
@@ -132,6 +133,74 @@ def test_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pages_of_many_blocks_go_in_batches_of_bounded_cells():
+    sizes = [1] * 127 + [20_000, 0, 5_000, 60]
+    batches = list(html_extraction.batches_of(sizes))
+    assert sorted(i for b in batches for i in b) == [i for i, n in enumerate(sizes) if n]
+    assert all(len(b) == 1 or max(sizes[i] for i in b) * len(b) <= html_extraction.CELLS_AT_ONCE for b in batches)
+
+
+def test_a_long_page_beside_short_ones_stays_small(spark):
+    import resource
+
+    html = ["<p>one block</p>"] * 127 + ["".join(f"<p>block {i}</p>" for i in range(20_000))]
+    blocks = [html_extraction.blocks_of(h) for h in html]
+    assert len(blocks[-1]) == 20_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    kept = html_extraction._keep(html_extraction.fresh(), blocks)
+    assert [len(k) for k in kept] == [1] * 127 + [20_000]
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 300
+
+
+def test_search(spark):
+    docs = spark.createDataFrame(ROWS, DOCS)
+    items = spark.createDataFrame([
+        (1, "Fox FOX lazy", 5), (1, "zzz", 6), (None, "idiot", 7), (2, None, 1), (3, "", 1), (4, "absent", 1), (5, "word7 word7 word8", 1),
+    ], "item_id bigint, text string, score int")
+    found = lexical_search.search(docs, items, Workspace(spark, "t")).collect()
+    by_item = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by_item.setdefault(r.item_id, []).append(r.doc_id)
+    # Repeated rows are documents of their own, ties go by id; of repeated items the least text is asked.
+    assert by_item == {1: [1, 2, 2], None: [11], 5: [6, 7]}
+    assert all(r.score > 0 for r in found)
+    none = items.limit(0)
+    assert lexical_search.search(docs, none, Workspace(spark, "t")).count() == 0
+    assert lexical_search.search(docs.limit(0), items, Workspace(spark, "t")).count() == 0
+    nulls = spark.createDataFrame([(None,) * 9] * 3, DOCS)
+    assert lexical_search.search(nulls, items, Workspace(spark, "t")).count() == 0
+    lost = spark.createDataFrame([(None, "fox"), (7, "fox"), (8, "cat")], "doc_id bigint, text string")
+    got = lexical_search.search(lost, items, Workspace(spark, "t")).orderBy("rank").collect()
+    assert [(r.item_id, r.doc_id) for r in got] == [(1, 7), (1, None)]
+
+
+def test_mining(spark):
+    nan = float("nan")
+    schema = "vec_id bigint, embedding array<double>, label int, score double"
+    rows = [(100, [1.0, 0.0], 1, 0.0), (1, [1.0, 0.0], 1, 0.0), (1, [1.0, 0.0], 1, 0.5), (2, [1.0, 0.0], 1, 0.0), (3, [0.9, 0.1], 2, 0.0),
+            (4, [0.95, 0.0], 2, 0.0), (5, [0.5, 0.0], 3, 0.0), (6, None, 1, 0.0), (8, [nan, 1.0], 1, 0.0), (9, [None, 1.0], 1, 0.0),
+            (10, [1.0, 0.0], None, 0.0), (11, [], 1, 0.0), (12, [1.0], 2, 0.0), (None, [1.0, 0.0], 2, 0.0), (200, [1.0], 5, 0.0)]
+    found = hard_negatives.mine(spark.createDataFrame(rows, schema), Workspace(spark, "t")).collect()
+    assert sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in found) == [
+        (100, p, k, n, 65536, s) for p in (1, 2) for k, n, s in ((1, 4, 243 * 256), (2, 3, 230 * 256))]
+    assert hard_negatives.mine(spark.createDataFrame([], schema), Workspace(spark, "t")).count() == 0
+    nothing = spark.createDataFrame([(None,) * 4] * 3, schema)
+    assert hard_negatives.mine(nothing, Workspace(spark, "t")).count() == 0
+    with pytest.raises(ValueError, match="too large"):
+        hard_negatives.mine(spark.createDataFrame([(100, [1e300], 1, 0.0)], schema), Workspace(spark, "t"))
+
+
+def test_shards_of_odd_rows(spark):
+    rows = {}
+    for r in sharding.assign(spark.createDataFrame(ROWS, DOCS), Workspace(spark, "t")).collect():
+        rows.setdefault(r.shard, []).append(r)
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 8
+    for shard in rows.values():
+        assert sorted(r.slot for r in shard) == list(range(len(shard)))
+    every = [r for shard in rows.values() for r in shard]
+    assert {r.size for r in every if r.doc_id in (3, 4, 5)} == {1} and {r.text_crc32 for r in every if r.doc_id in (3, 4)} == {0}
+
+
 def test_stages_on_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from mailsift.llm import (
-    fingerprints, html_extraction, language_id, license_scan, mixing, ngram_join, packing, token_attribution, toxicity,
+    fingerprints, hard_negatives, html_extraction, language_id, lexical_search, license_scan, mixing, ngram_join, packing,
+    sharding, token_attribution, toxicity,
 )
 from mailsift.llm.chunk_encoder import ChunkEncoder
 from mailsift.llm.common import Workspace, utf8
@@ -545,3 +546,77 @@ def test_pipeline_against_its_parts(spark, sf_dir, documents):
     assert words.to_dict() == taken
     assert set(kept["packing"].doc_id) == set(kept["mixing"].doc_id)
     assert kept["packing"].groupby("doc_id").length.sum().sum() == kept["packing"].length.sum()
+
+
+# --- ranked search
+
+
+def test_hybrid_search_equals_scoring_every_document(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs, terms = 3000, 400
+    held = [np.unique(rng.zipf(1.3, rng.integers(1, 40)) % terms) for _ in range(docs)]
+    doc = np.repeat(np.arange(docs), [len(h) for h in held])
+    code = np.concatenate(held).astype(np.int64)
+    tf = rng.integers(1, 4, len(doc))
+    ids, m = rng.permutation(docs), rng.integers(25, 300, docs)
+    part = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])
+    for short in (1, 8, 10**9):
+        monkeypatch.setattr(lexical_search, "SHORT_PART", short)
+        monkeypatch.setattr(lexical_search, "SHORT", 0 if short > 8 else 256)
+        block = lexical_search.Block(ids, m, doc, code, tf)
+        for _ in range(40):
+            asked = np.unique(rng.integers(0, terms, 12)).astype(np.int64)
+            weights = rng.integers(0, 5, len(asked)) * 1000
+            weight = np.zeros(terms, np.int64)
+            weight[asked] = weights
+            score = np.zeros(docs, np.int64)
+            np.add.at(score, doc, weight[code] * part)
+            wanted = sorted(((-s, ids[i]) for i, s in enumerate(score.tolist()) if s > 0))[:10]
+            at, found = block.search(asked, weights, 10)
+            assert sorted((-s, ids[i]) for i, s in zip(at, found.tolist()))[:10] == wanted
+
+
+def test_queries_are_searched_in_passes(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, lexical_search.search(docs, items, Workspace(spark, "t")).collect()))
+    monkeypatch.setattr(lexical_search, "QUERY_TERMS", 500)
+    monkeypatch.setattr(lexical_search, "BLOCK_POSTINGS", 2000)
+    assert sorted(map(tuple, lexical_search.search(docs, items, Workspace(spark, "t")).collect())) == whole
+
+
+# --- hard negatives
+
+
+@pytest.mark.parametrize("width, size", [(1, 10), (64, 600), (300, 40_000), (70, 2_000_000)])
+def test_residues_give_exact_products(width, size):
+    rng = np.random.default_rng(width)
+    a, b = (rng.integers(-size, size + 1, (n, width)) for n in (9, 13))
+    a[0], b[0] = size, -size
+    moduli = hard_negatives.primes(width * size * size)
+    found = hard_negatives.scores(hard_negatives.residues(a, moduli), hard_negatives.residues(b, moduli), moduli)
+    assert found.tolist() == [[sum(int(x) * int(y) for x, y in zip(r, c)) for c in b] for r in a]
+
+
+def test_mining_in_blocks_is_the_same(spark, sf_dir, monkeypatch):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    mine = lambda: sorted(map(tuple, hard_negatives.mine(vectors, Workspace(spark, "t"), every=10).collect()))
+    whole = mine()
+    for name, value in (("BLOCK_ANCHORS", 7), ("BLOCK_ROWS", 60), ("TILE", 50)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    assert mine() == whole and len(whole) > 100
+
+
+# --- shards
+
+
+def test_shards_are_balanced_and_keep_small_groups(spark):
+    texts = [f"text {i % 400} " + "x" * (i % 400 * 7 % 90) for i in range(4000)] + ["copy"] * 3000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sharding.assign(docs, Workspace(spark, "t"), shards=5).toPandas()
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 0.02 * sizes.mean()
+    text = dict(enumerate(texts))
+    spread = rows.groupby(rows.doc_id.map(text)).shard.nunique()
+    assert (spread.drop("copy") == 1).all() and spread["copy"] > 1
+    few = sharding.assign(docs.limit(3), Workspace(spark, "t"), shards=5).toPandas()
+    assert len(few) == 3 and few["shard"].between(0, 4).all()
