@@ -17,7 +17,7 @@ class TrainingTable:
     cleaned: DataFrame
     splits: DataFrame
     confound: DataFrame
-    # Rows of each output and those that broke a rule, counted while they were written.
+    # Rows of each output and those that broke a rule, counted in what was written.
     observed: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
@@ -39,7 +39,7 @@ def build(merged: DataFrame, out: str, quota: Column | None = None, confound_per
     """Write ``cleaned``, ``splits`` (by split) and ``confound`` below ``out``.
 
     The cleaned table is written once because sample, splits and confound slice all read it. What must hold of a row is
-    counted while it is written, and a row that breaks a rule, or splits that do not add up to the sample, end the run.
+    counted in what was written, and a row that breaks a rule, or splits that do not add up to the sample, end the run.
     """
     rules = {
         "not_eligible": ~F.col("included_in_training"), "no_label": ~F.col("label").isin(V.PHISHING, V.LEGITIMATE),

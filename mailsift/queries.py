@@ -216,7 +216,7 @@ def split_integrity_checks(spark, sf_dir):
 
 
 def observed_build_checks(spark, sf_dir):
-    """Rows of each output and rows that broke a rule, as counted while the outputs were written."""
+    """Rows of each output and rows that broke a rule, as the build counted them."""
     table = build(inbox(spark, sf_dir), run_dir(spark, "observed"), sampling.quota_by_share(SAMPLE_SHARE), CONFOUND_PER_LABEL)
     rows = [(name, seen["rows"], sum(n for rule, n in seen.items() if rule != "rows")) for name, seen in table.observed.items()]
     written = table.splits.select(F.lit("splits").alias("output")).unionByName(table.confound.select(F.lit("confound").alias("output")))
