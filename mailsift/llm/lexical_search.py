@@ -187,7 +187,7 @@ def _searched(docs: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]]
         ids, n = np.concatenate(ids), np.concatenate(lengths)
         m = 25 + (75 * n * documents) // max(terms, 1)
         block = Block(ids, m, np.repeat(np.arange(len(ids)), np.concatenate(sizes)), np.concatenate(codes), np.concatenate(tfs))
-        out = [], [], []
+        out = tuple([np.zeros(0, np.int64)] for _ in range(3))
         for number, asked, weights in queries:
             at, score = block.search(asked, weights, k)
             first = np.lexsort((block.ids[at], -score))[:k]
