@@ -8,8 +8,8 @@ besides the entries. A tree's splits do not depend on the order in which its nod
 best-leaf-first growth picks from the same level-wise candidates, best gain first.
 
 The passes are short and many (rounds times depth), which is why blocks are an RDD and not planned anew as SQL
-each time. Where all rows fit one block of ``LOCAL_ROWS``, a pass costs more than its work, and a round is one task that goes
-through the same levels by itself; different models are still fitted side by side. A row's margin follows from the trees so far. Workers remember the margins of blocks with
+each time. Where all rows fit one block of ``LOCAL_ROWS``, a pass costs more than its work, and ``RECENT`` rounds are one task
+that goes through the same levels by itself; different models are still fitted side by side. A row's margin follows from the trees so far. Workers remember the margins of blocks with
 the number of trees in them and add what is missing; a worker that knows none starts from the first tree, with the
 same result.
 """
@@ -36,7 +36,7 @@ BLOCK_ROWS = 8192
 LOCAL_ROWS = 1 << 16
 # Ranges of features whose splits are searched in different tasks.
 RANGES = 8
-# Trees that travel with a pass before they are sent around once for all.
+# Trees that travel with a pass before they are sent around once for all; rounds of a task where one task grows whole trees.
 RECENT = 20
 # Margins that a worker remembers, in bytes.
 REMEMBERED = 64 << 20
@@ -203,6 +203,13 @@ class Grown:
                 getattr(self, name).append(value)
 
 
+    def tree(self, growth: Growth) -> tuple:
+        """Features, bins, children and leaf values, as margins are summed from."""
+        total = np.array(self.total)
+        leaf = -growth.step * total[:, 0] / (total[:, 1] + growth.l2)
+        return self.feature, self.bin, self.left, self.right, np.where(np.array(self.left) < 0, leaf, 0.0)
+
+
 def _nodes_of(block: Block, bins: Bins, feature, bin_, left, right) -> np.ndarray:
     """Node that each row has reached; parents stand before their children."""
     at = np.zeros(len(block.y), np.int32)
@@ -277,49 +284,13 @@ class _Pass:
             part = (where >= self.edges[r]) & (where < self.edges[r + 1])
             yield r, (number, totals, cell[part], sums[:, part])
 
-    def whole_tree(self, growth: Growth, block: Block) -> Grown:
-        """A tree whose passes stay in this task. Of two children the smaller one is summed, the other is the rest."""
-        bins, trees = self.bins.value, [*(self.older.value if self.older else []), *self.recent]
-        p = sigmoid(_margin(block, bins, self.base, trees))
-        values = np.stack([p - block.y, p * (1 - p), np.ones(len(p))])
-        width = int(bins.at[-1])
-        sums = np.stack([*[np.bincount(block.bin, v[block.row], width) for v in values[:2]], np.bincount(block.bin, minlength=width)])
-        first = np.flatnonzero(sums[2])
-        held = {0: (first, sums[:, first])}
-        root = values.sum(axis=1)
-
-        def pass_over(grown, slots):
-            level = np.flatnonzero(slots >= 0).tolist()
-            if level != [0]:
-                rows = np.array([t[2] for t in grown.total])
-                pairs = [(n, n + 1) if rows[n] <= rows[n + 1] else (n + 1, n) for n in level[::2]]
-                place = np.full(len(grown.left), -1, np.int16)
-                place[[small for small, _ in pairs]] = np.arange(len(pairs))
-                at = _nodes_of(block, bins, grown.feature, grown.bin, grown.left, grown.right)
-                entry = place[at][block.row]
-                mine = np.flatnonzero(entry >= 0)
-                mine = mine[np.argsort(entry[mine], kind="stable")]
-                cell = entry[mine].astype(np.int32) * np.int32(width) + block.bin[mine]
-                start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-                row = block.row[mine]
-                sums = np.empty((3, len(start)))
-                for k in range(2):
-                    sums[k] = np.add.reduceat(values[k][row], start) if len(start) else 0.0
-                sums[2] = np.diff(np.append(start, len(cell)))
-                cell = cell[start]
-                cuts = np.searchsorted(cell, np.arange(len(pairs) + 1) * width)
-                for i, (small, large) in enumerate(pairs):
-                    own, part = cell[cuts[i] : cuts[i + 1]] - i * width, sums[:, cuts[i] : cuts[i + 1]]
-                    whole, rest = held.pop(next(n for n, left in enumerate(grown.left) if left == min(small, large)))
-                    rest = rest.copy()
-                    rest[:, np.searchsorted(whole, own)] -= part
-                    keep = rest[2] > 0.5
-                    held[small], held[large] = (own, part), (whole[keep], rest[:, keep])
-            cell = np.concatenate([held[n][0] + i * width for i, n in enumerate(level)])
-            totals = np.array([root if n == 0 else grown.total[n] for n in level]).T
-            return best_splits(cell, np.concatenate([held[n][1] for n in level], axis=1), totals, bins, growth)
-
-        return grow(growth, pass_over)
+    def whole_trees(self, growth: Growth, block: Block, count: int) -> list[Grown]:
+        """The next trees, grown in this task."""
+        bins, trees, found = self.bins.value, [*(self.older.value if self.older else []), *self.recent], []
+        for _ in range(count):
+            found.append(_whole_tree(bins, growth, block, _margin(block, bins, self.base, trees)))
+            trees.append(found[-1].tree(growth))
+        return found
 
     def best(self, growth: Growth, parts):
         """(slot, gain, feature, bin, left totals, totals): the best split of each node in a range."""
@@ -334,6 +305,52 @@ class _Pass:
             yield from best_splits(cell, sums, sum(f[1] for f in found), self.bins.value, growth)
 
 
+def _whole_tree(bins: Bins, growth: Growth, block: Block, margin: np.ndarray) -> Grown:
+    """A tree whose passes stay in one task. Of two children the smaller one is summed, the other is the rest."""
+    p = sigmoid(margin)
+    values = np.stack([p - block.y, p * (1 - p), np.ones(len(p))])
+    width = int(bins.at[-1])
+    sums = np.stack([*[np.bincount(block.bin, v[block.row], width) for v in values[:2]], np.bincount(block.bin, minlength=width)])
+    first = np.flatnonzero(sums[2])
+    place_of = np.zeros(width, np.int32)
+    held = {0: (first, sums[:, first])}
+    root = values.sum(axis=1)
+
+    def pass_over(grown, slots):
+        level = np.flatnonzero(slots >= 0).tolist()
+        if level != [0]:
+            rows = np.array([t[2] for t in grown.total])
+            pairs = [(n, n + 1) if rows[n] <= rows[n + 1] else (n + 1, n) for n in level[::2]]
+            place = np.full(len(grown.left), -1, np.int16)
+            place[[small for small, _ in pairs]] = np.arange(len(pairs))
+            at = _nodes_of(block, bins, grown.feature, grown.bin, grown.left, grown.right)
+            entry = place[at][block.row]
+            mine = np.flatnonzero(entry >= 0)
+            mine = mine[np.argsort(entry[mine], kind="stable")]
+            cell = entry[mine].astype(np.int32) * np.int32(width) + block.bin[mine]
+            start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+            row = block.row[mine]
+            sums = np.empty((3, len(start)))
+            for k in range(2):
+                sums[k] = np.add.reduceat(values[k][row], start) if len(start) else 0.0
+            sums[2] = np.diff(np.append(start, len(cell)))
+            cell = cell[start]
+            cuts = np.searchsorted(cell, np.arange(len(pairs) + 1) * width)
+            for i, (small, large) in enumerate(pairs):
+                own, part = cell[cuts[i] : cuts[i + 1]] - i * width, sums[:, cuts[i] : cuts[i + 1]]
+                whole, rest = held.pop(next(n for n, left in enumerate(grown.left) if left == min(small, large)))
+                rest = rest.copy()
+                place_of[whole] = np.arange(len(whole))
+                rest[:, place_of[own]] -= part
+                keep = rest[2] > 0.5
+                held[small], held[large] = (own, part), (whole[keep], rest[:, keep])
+        cell = np.concatenate([held[n][0] + i * width for i, n in enumerate(level)])
+        totals = np.array([root if n == 0 else grown.total[n] for n in level]).T
+        return best_splits(cell, np.concatenate([held[n][1] for n in level], axis=1), totals, bins, growth)
+
+    return grow(growth, pass_over)
+
+
 def added_up(cell: np.ndarray, sums: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Each cell once, in order, with its values added up."""
     if not ordered:
@@ -345,13 +362,19 @@ def added_up(cell: np.ndarray, sums: np.ndarray, ordered: bool = False) -> tuple
     return cell[start], np.add.reduceat(sums, start, axis=1)
 
 
+def _slots(cell: np.ndarray, width: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and bin of cells in order."""
+    slot = np.repeat(np.arange(count), np.diff(np.searchsorted(cell, np.arange(count + 1) * width)))
+    return slot, cell - slot * width
+
+
 def best_splits(cell: np.ndarray, sums: np.ndarray, totals: np.ndarray, bins: Bins, growth: Growth):
     """The best split of each node among the features that its cells hold; ties go to the first feature and bin.
 
     A feature of which a node holds nothing but zeros cannot split it. Zeros are the rest of the node.
     """
     width, count = int(bins.at[-1]), totals.shape[1]
-    slot, bin_ = cell // width, cell % width
+    slot, bin_ = _slots(cell, width, count)
     feature = bins.feature[bin_]
     start = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (feature[1:] != feature[:-1]))) if len(cell) else np.zeros(0, int)
     if len(start):
@@ -364,9 +387,12 @@ def best_splits(cell: np.ndarray, sums: np.ndarray, totals: np.ndarray, bins: Bi
         start, full = np.cumsum(size) - size, full[:, enough]
     if len(start):
         rest = totals[:, slot[start]] - full
-        cell = np.append(cell, slot[start] * width + bins.zero[feature[start]])
-        cell, sums = added_up(cell, np.concatenate([sums, rest], axis=1))
-        slot, bin_ = cell // width, cell % width
+        zero = slot[start].astype(np.int64) * width + bins.zero[feature[start]]
+        at = np.searchsorted(cell, zero)
+        held = (at < len(cell)) & (cell[np.minimum(at, len(cell) - 1)] == zero)
+        sums[:, at[held]] += rest[:, held]
+        cell, sums = np.insert(cell, at[~held], zero[~held]), np.insert(sums, at[~held], rest[:, ~held], axis=1)
+        slot, bin_ = _slots(cell, width, count)
         feature = bins.feature[bin_]
         new = np.append(True, (slot[1:] != slot[:-1]) | (feature[1:] != feature[:-1]))
         run = np.cumsum(sums, axis=1)
@@ -484,20 +510,21 @@ def fit(rows: DataFrame, growth: Growth, bins: Bins | None = None, blocks: DataF
         one = work(grown, slots)
         return held.mapPartitionsWithIndex(one.sums).partitionBy(ranges).mapPartitions(lambda p: one.best(growth, p)).collect()
 
-    for _ in range(growth.rounds if 0 < positive < n else 0):
+    rounds = growth.rounds if 0 < positive < n else 0
+    while len(trees) < rounds:
         if len(trees) - sent >= RECENT:
             older, sent = context.broadcast(list(trees)), len(trees)
         if local:
-            first = work(Grown.start(), np.zeros(1, np.int16))
-            grown = held.mapPartitions(lambda blocks: [first.whole_tree(growth, b) for b in blocks]).first()
+            first, count = work(Grown.start(), np.zeros(1, np.int16)), min(RECENT, rounds - len(trees))
+            new = held.mapPartitions(lambda blocks: [first.whole_trees(growth, b, count) for b in blocks]).first()
         else:
-            grown = grow(growth, pass_over)
-        total = np.array(grown.total)
-        value = np.where(np.array(grown.left) < 0, -growth.step * total[:, 0] / (total[:, 1] + growth.l2), 0.0)
-        feature, bin_ = np.array(grown.feature), np.array(grown.bin)
-        trees.append((grown.feature, grown.bin, grown.left, grown.right, value))
-        tables.append({
-            "feature": feature, "threshold": bins.bound[bin_], "left": np.array(grown.left), "right": np.array(grown.right),
-            "value": value, "cover": total[:, 2] if growth.leaves else total[:, 1], "gain": np.array(grown.gain)})
+            new = [grow(growth, pass_over)]
+        for grown in new:
+            trees.append(grown.tree(growth))
+            feature, bin_, left, right, value = map(np.array, trees[-1])
+            total = np.array(grown.total)
+            tables.append({
+                "feature": feature, "threshold": bins.bound[bin_], "left": left, "right": right, "value": value,
+                "cover": total[:, 2] if growth.leaves else total[:, 1], "gain": np.array(grown.gain)})
     held.unpersist()
     return Boosted(base, Trees.from_tables(tables), features)
