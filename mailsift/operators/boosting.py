@@ -53,6 +53,7 @@ class Growth:
     least_hessian: float = 1.0
     least_rows: int = 1
     leaves: int | None = None
+    least_gain: float = 1e-9
 
 
 @dataclass
@@ -70,6 +71,9 @@ class Boosted:
     def margins(self, vectors: pa.Array) -> np.ndarray:
         return self.base + self.trees.sums(rows_of(vectors, self.trees.used_features()))
 
+    def scores(self, vectors: pa.Array) -> np.ndarray:
+        return sigmoid(self.margins(vectors))
+
     def save(self, spark: SparkSession, path: str) -> None:
         save(self.trees, spark, f"{path}/nodes")
         head = spark.createDataFrame([(self.base, self.features)], "base double, features int")
@@ -85,12 +89,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def probability(model: Boosted, column: str = "features"):
-    """Column of probabilities, scored in Arrow batches."""
+def probability(model, column: str = "features"):
+    """Column of the ``scores`` of a model, in Arrow batches."""
     rows_at_once = 512
 
     def scored(vectors: pa.Array) -> pa.Array:
-        parts = [sigmoid(model.margins(vectors.slice(i, rows_at_once))) for i in range(0, len(vectors), rows_at_once)]
+        parts = [model.scores(vectors.slice(i, rows_at_once)) for i in range(0, len(vectors), rows_at_once)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return F.arrow_udf(scored, "double")(column)
@@ -210,7 +214,7 @@ class Grown:
         return self.feature, self.bin, self.left, self.right, np.where(np.array(self.left) < 0, leaf, 0.0)
 
 
-def _nodes_of(block: Block, bins: Bins, feature, bin_, left, right) -> np.ndarray:
+def nodes_of(block: Block, bins: Bins, feature, bin_, left, right) -> np.ndarray:
     """Node that each row has reached; parents stand before their children."""
     at = np.zeros(len(block.y), np.int32)
     for node in range(len(left)):
@@ -235,7 +239,7 @@ def _margin(block: Block, bins: Bins, base: float, trees: list) -> np.ndarray:
     if margin is None or done > len(trees):
         done, margin = 0, np.full(len(block.y), base)
     for feature, bin_, left, right, value in trees[done:]:
-        margin = margin + value[_nodes_of(block, bins, feature, bin_, left, right)]
+        margin = margin + value[nodes_of(block, bins, feature, bin_, left, right)]
     _margins[block.key] = len(trees), margin
     while len(_margins) > 1 and sum(m.nbytes for _, m in _margins.values()) > REMEMBERED:
         _margins.popitem(last=False)
@@ -261,7 +265,7 @@ class _Pass:
         totals, cells, sums = np.zeros((3, count)), [], []
         for block in blocks:
             p = sigmoid(_margin(block, bins, self.base, trees))
-            slot = self.slots[_nodes_of(block, bins, *self.partial)]
+            slot = self.slots[nodes_of(block, bins, *self.partial)]
             values = np.stack([p - block.y, p * (1 - p), np.ones(len(p))])
             own = slot >= 0
             for k in range(3):
@@ -323,7 +327,7 @@ def _whole_tree(bins: Bins, growth: Growth, block: Block, margin: np.ndarray) ->
             pairs = [(n, n + 1) if rows[n] <= rows[n + 1] else (n + 1, n) for n in level[::2]]
             place = np.full(len(grown.left), -1, np.int16)
             place[[small for small, _ in pairs]] = np.arange(len(pairs))
-            at = _nodes_of(block, bins, grown.feature, grown.bin, grown.left, grown.right)
+            at = nodes_of(block, bins, grown.feature, grown.bin, grown.left, grown.right)
             entry = place[at][block.row]
             mine = np.flatnonzero(entry >= 0)
             mine = mine[np.argsort(entry[mine], kind="stable")]
@@ -413,7 +417,7 @@ def best_splits(cell: np.ndarray, sums: np.ndarray, totals: np.ndarray, bins: Bi
         total = (float(totals[0, s]), float(totals[1, s]), float(np.round(totals[2, s])))
         a, b = edges[s], edges[s + 1]
         i = a + int(np.argmax(gain[a:b])) if b > a else 0
-        if b > a and gain[i] > 1e-9:
+        if b > a and gain[i] > growth.least_gain and np.isfinite(gain[i]):
             yield s, float(gain[i]), int(feature[i]), int(bin_[i]), (float(g[i]), float(h[i]), float(np.round(n[i]))), total
         else:
             yield s, 0.0, -1, -1, None, total

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mailsift.functions.fixed_values import BACKGROUND_ROWS, TOP_EXPLANATIONS
 from mailsift.operators.models import Detector
 from mailsift.operators.ordering import draw_key
-from mailsift.operators.trees import NODE_SCHEMA, BackgroundShapley, PathShapley, Trees, rows_of
+from mailsift.operators.trees import BackgroundShapley, PathShapley, rows_of
 
 ROWS_AT_ONCE = 256
 
@@ -29,28 +29,14 @@ def background(train: DataFrame, rows: int = BACKGROUND_ROWS) -> DataFrame:
     return train.select("features", draw_key(F.col("row_id")).alias("draw"), "row_id").orderBy("draw", "row_id").limit(rows).select("features")
 
 
-def forest_trees(detector: Detector, spark: SparkSession) -> Trees:
-    """The stored forest's nodes; a node's value is its share of phishing."""
-    nodes = spark.read.parquet(f"{detector.path}/random_forest/data")
-    stats, split = F.col("nodeData.impurityStats"), F.col("nodeData.split")
-    rows = nodes.select(
-        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), split.featureIndex.alias("feature"),
-        F.coalesce(F.get(split.leftCategoriesOrThreshold, F.lit(0)), F.lit(0.0)).alias("threshold"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        (stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)).alias("value"),
-        F.col("nodeData.rawCount").cast("double").alias("cover"), F.greatest("nodeData.gain", F.lit(0.0)).alias("gain"))
-    return Trees.from_rows(rows.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in NODE_SCHEMA.split(", ")]))
-
-
 def explainers(detector: Detector, spark: SparkSession) -> dict:
     """One explainer per base model, in the detector's order."""
     out = {}
     for name, model in detector.base.items():
         if name == "random_forest":
-            trees = forest_trees(detector, spark)
             # At most BACKGROUND_ROWS rows.
             rows = spark.read.parquet(f"{detector.path}/background").toArrow().column("features").combine_chunks()
-            out[name] = BackgroundShapley(trees, rows_of(rows, trees.used_features()))
+            out[name] = BackgroundShapley(model.trees, rows_of(rows, model.trees.used_features()))
         else:
             out[name] = PathShapley(model.trees, model.base)
     return out

@@ -7,26 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions import fixed_values as V
-from mailsift.operators import boosting
+from mailsift.operators import boosting, forest
 from mailsift.operators.assemble import FeatureModel
 from mailsift.operators.metrics import ENSEMBLE
 from mailsift.workspace import ensure_checkpoint_dir
 
 BASE_MODELS = ["random_forest", "boosting_a", "boosting_b"]
 _LOADERS = {
-    "random_forest": RandomForestClassificationModel,
+    "random_forest": forest.Forest,
     "boosting_a": boosting.Boosted,
     "boosting_b": boosting.Boosted,
 }
@@ -37,20 +32,13 @@ class TrainingOptions:
     """Full-size settings; trials pass smaller ones."""
 
     trees: int = 200
-    forest_depth: int = 30
+    forest_depth: int | None = None
     rounds: int = 200
     boosting_depth: int = 6
     step: float = 0.1
     seed: int = V.SEED
 
 
-def forest(options: TrainingOptions) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol="features", labelCol="y", numTrees=options.trees, maxDepth=options.forest_depth,
-        featureSubsetStrategy="sqrt", seed=options.seed, checkpointInterval=10, cacheNodeIds=True, maxMemoryInMB=512,
-    )
-
-
 def growths(options: TrainingOptions) -> dict[str, boosting.Growth]:
     """Level-wise trees with L2, and best-leaf-first trees of 31 leaves of at least 20 rows. Both look at all features."""
     same = dict(rounds=options.rounds, depth=options.boosting_depth, step=options.step)
@@ -84,7 +72,7 @@ def fit_base_models(train: DataFrame, options: TrainingOptions) -> dict:
     first = rows.select("features").first()
     bins = boosting.find_bins(rows, first.features.size if first else 0)
     blocks = boosting.write_blocks(rows, bins)
-    fits = {"random_forest": lambda: forest(options).fit(rows)}
+    fits = {"random_forest": lambda: forest.fit(rows, bins, blocks, options.trees, options.forest_depth, options.seed)}
     for name, growth in growths(options).items():
         fits[name] = lambda growth=growth: boosting.fit(rows, growth, bins, blocks)
     run = inheritable_thread_target(spark)(lambda name: fits[name]())
@@ -98,11 +86,7 @@ def with_base_scores(features: DataFrame, models: dict) -> DataFrame:
     """Append one phishing probability per base model."""
     scored = features
     for name, model in models.items():
-        if isinstance(model, boosting.Boosted):
-            scored = scored.withColumn(name, boosting.probability(model))
-            continue
-        named = model.copy().setPredictionCol("").setRawPredictionCol("_raw").setProbabilityCol("_probability")
-        scored = named.transform(scored).withColumn(name, vector_to_array("_probability")[1]).drop("_raw", "_probability")
+        scored = scored.withColumn(name, boosting.probability(model))
     return scored
 
 
@@ -148,10 +132,7 @@ class Detector:
         """Store the detector, with the rows that the forest's explanations refer to."""
         self.features.save(spark, f"{path}/features")
         for name, model in self.base.items():
-            if isinstance(model, boosting.Boosted):
-                model.save(spark, f"{path}/{name}")
-            else:
-                model.write().overwrite().save(f"{path}/{name}")
+            model.save(spark, f"{path}/{name}")
         if self.meta is not None:
             self.meta.write().overwrite().save(f"{path}/meta")
         if background is not None:
@@ -168,8 +149,7 @@ class Detector:
         if missing:
             raise FileNotFoundError(f"missing base models: {', '.join(missing)}; train first")
         meta = LogisticRegressionModel.load(f"{path}/meta") if path_exists(spark, f"{path}/meta/metadata") else None
-        base = {name: kind.load(spark, f"{path}/{name}") if kind is boosting.Boosted else kind.load(f"{path}/{name}")
-                for name, kind in _LOADERS.items()}
+        base = {name: kind.load(spark, f"{path}/{name}") for name, kind in _LOADERS.items()}
         return cls(FeatureModel.load(spark, f"{path}/features"), base, meta, path)
 
 
@@ -184,12 +164,7 @@ def importances(detector: Detector, spark) -> DataFrame:
     """(model, feature_idx, feature, importance) of all used features; sums to 1 per model."""
     rows = []
     for name, model in detector.base.items():
-        if isinstance(model, boosting.Boosted):
-            rows += [(name, int(i), float(model.importance[i])) for i in np.flatnonzero(model.importance)]
-            continue
-        weights = model.featureImportances
-        total = float(sum(weights.values)) or 1.0
-        rows += [(name, int(i), float(w) / total) for i, w in zip(weights.indices, weights.values)]
+        rows += [(name, int(i), float(model.importance[i])) for i in np.flatnonzero(model.importance)]
     table = spark.createDataFrame(rows, "model string, feature_idx int, importance double")
     names = detector.features.name_table(spark)
     return table.join(names, "feature_idx").select("model", "feature_idx", F.col("report_name").alias("feature"), "importance")
