@@ -14,6 +14,7 @@ A row goes left in a node if its feature's value is at most the threshold. Two k
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from math import factorial
 
 import numpy as np
@@ -237,11 +238,9 @@ class BackgroundShapley:
         mask = np.full(len(row), (1 << self._n) - 1, np.int64)
         note, p, q = np.full(len(row), -1), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         # Notes: the one before, the feature, and whether the row (1) or the background (2) went its way.
-        before, noted, side = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+        chain = [np.zeros(4096, np.int32), np.zeros(4096, np.int32), np.zeros(4096, np.int8)]
         notes, sums = 0, np.zeros(x.count * len(self.features))
         while len(row):
-            chain = [np.concatenate(c) for c in (before, noted, side)]
-            before, noted, side = [chain[0]], [chain[1]], [chain[2]]
             ends = t.left[node] < 0
             if ends.any():
                 self._credit(sums, row[ends], node[ends], mask[ends], note[ends], p[ends], q[ends], chain)
@@ -250,17 +249,16 @@ class BackgroundShapley:
                     break
             f = place[node]
             own = x.values[row, f] <= t.threshold[node]
-            # Is the feature noted already?
-            decided, at = np.zeros(len(row), np.int8), note.copy()
-            while True:
-                open_ = np.flatnonzero(at >= 0)
-                if not len(open_):
-                    break
-                hit = chain[1][at[open_]] == f[open_]
-                decided[open_[hit]] = chain[2][at[open_[hit]]]
-                at[open_] = np.where(hit, -1, chain[0][at[open_]])
             theirs = np.where(own, self._left[node], ~self._left[node])
             along, across = mask & theirs, mask & ~theirs
+            # Is the feature noted already? Where all backgrounds go along it makes no difference.
+            decided, asked = np.zeros(len(row), np.int8), np.flatnonzero((across != 0) & (note >= 0))
+            at = note[asked]
+            while len(asked):
+                hit = chain[1][at] == f[asked]
+                decided[asked[hit]] = chain[2][at[hit]]
+                at = np.where(hit, -1, chain[0][at])
+                asked, at = asked[at >= 0], at[at >= 0]
             mine = np.where(own, t.left[node], t.right[node])
             other = np.where(own, t.right[node], t.left[node])
             free, back = decided == 0, decided == 2
@@ -277,9 +275,10 @@ class BackgroundShapley:
                     continue
                 link = note[keep]
                 if kind:
-                    before.append(link)
-                    noted.append(f[keep])
-                    side.append(np.full(len(keep), kind, np.int8))
+                    if notes + len(keep) > len(chain[0]):
+                        chain = [np.concatenate([c, np.zeros(max(len(c), len(keep)), c.dtype)]) for c in chain]
+                    for c, made in zip(chain, (link, f[keep], kind)):
+                        c[notes : notes + len(keep)] = made
                     link = notes + np.arange(len(keep))
                     notes += len(keep)
                 for to_, one in zip(new, (row[keep], to[keep], masks[keep], link, p[keep] + (kind == 1), q[keep] + (kind == 2))):
@@ -291,24 +290,31 @@ class BackgroundShapley:
         most = int((p + q).max())
         if not most:
             return
-        # Weights of p and q features: (p - 1)! q! / (p + q)! for the row's side, p! (q - 1)! / (p + q)! for the other.
-        weight = np.zeros((most + 1, most + 1, 2))
-        for a in range(most + 1):
-            for b in range(most + 1 - a):
-                if a + b:
-                    weight[a, b, 0] = factorial(a - 1) * factorial(b) / factorial(a + b) if a else 0.0
-                    weight[a, b, 1] = factorial(a) * factorial(b - 1) / factorial(a + b) if b else 0.0
+        weight = side_weights(-(-most // 32) * 32)
         value = self._t.value[node] * np.bitwise_count(mask) / (self._n * len(self._t.root))
         gain, loss = value * weight[p, q, 0], -value * weight[p, q, 1]
-        at = note
+        at, cells, values = note, [], []
         while True:
             open_ = np.flatnonzero(at >= 0)
             if not len(open_):
-                return
+                break
             row, at, gain, loss = row[open_], at[open_], gain[open_], loss[open_]
-            cell = row * len(self.features) + chain[1][at]
-            sums += np.bincount(cell, np.where(chain[2][at] == 1, gain, loss), len(sums))
+            cells.append(row * len(self.features) + chain[1][at])
+            values.append(np.where(chain[2][at] == 1, gain, loss))
             at = chain[0][at]
+        sums += np.bincount(np.concatenate(cells), np.concatenate(values), len(sums))
+
+
+@lru_cache(8)
+def side_weights(most: int) -> np.ndarray:
+    """Weights of p and q features: (p - 1)! q! / (p + q)! for the row's side, p! (q - 1)! / (p + q)! for the other."""
+    weight = np.zeros((most + 1, most + 1, 2))
+    for a in range(most + 1):
+        for b in range(most + 1 - a):
+            if a + b:
+                weight[a, b, 0] = factorial(a - 1) * factorial(b) / factorial(a + b) if a else 0.0
+                weight[a, b, 1] = factorial(a) * factorial(b - 1) / factorial(a + b) if b else 0.0
+    return weight
 
 
 def save(trees: Trees, spark: SparkSession, path: str) -> None:
