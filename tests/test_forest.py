@@ -145,3 +145,21 @@ def test_depth_bound_scores_storage_and_edge_cases(spark, data, tmp_path):
 
 def depth_of(trees, node):
     return 0 if trees.left[node] < 0 else 1 + max(depth_of(trees, trees.left[node]), depth_of(trees, trees.right[node]))
+
+
+@pytest.mark.parametrize("depth", [None, 3])
+def test_looked_up_codes_and_all_entries_give_the_same_tree(spark, data, depth):
+    bins = boosting.find_bins(table(spark, *data), FEATURES, bins=200)
+    block = one_block(bins, *data)
+    weight = forest._bag(block, 3, 0)
+    codes = forest.coded(bins, block)
+    assert codes is not None and codes.shape == data[0].shape and ((codes > 0) == (data[0] != 0)).all()
+    assert forest.finished(bins, block, weight, 77, depth=depth) == forest._finished_from_entries(bins, block, weight, 77, depth=depth)
+    assert forest.finished(bins, block, weight, 77, depth=depth, codes=codes) == forest.finished(bins, block, weight, 77, depth=depth)
+
+
+def test_a_feature_of_many_bins_has_no_codes():
+    bins = boosting.Bins(np.array([0, 300]), np.arange(300.0), np.array([0]))
+    block = boosting.Block(("", 0, 0), np.array([0, 1, 1], np.int8), np.array([1, 2], np.int32), np.array([260, 299], np.int32))
+    assert forest.coded(bins, block) is None
+    assert len(forest.finished(bins, block, np.ones(3, int), 5).left) == 3

@@ -206,3 +206,16 @@ def test_margins_are_the_same_when_a_worker_remembers_none(data):
     step = boosting._margin(block, bins, 0.1, trees)
     boosting._margins.clear()
     assert np.array_equal(step, boosting._margin(block, bins, 0.1, trees))
+
+
+def test_finding_nodes_of_rows_does_not_copy_the_block():
+    import tracemalloc
+
+    size = 1 << 20
+    bins = boosting.Bins(np.array([0, 2, 4]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([0, 2]))
+    block = boosting.Block(("", 0, 0), np.zeros(100, np.int8), np.arange(size, dtype=np.int32) % 100, np.sort(np.arange(size, dtype=np.int32) % 4))
+    tracemalloc.start()
+    at = boosting.nodes_of(block, bins, [0, 0, 0], [0, 0, 0], [1, -1, -1], [2, -1, -1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(at.tolist()) <= {1, 2} and peak < 7 * size
