@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from mailsift.functions.fixed_values import HTML_TAGS
-from mailsift.functions.patterns import AT_WORD_END, matches, trim_space, with_computed
+from mailsift.functions.patterns import AT_WORD_END, by_runs, matches, trim_space, with_computed
 
 KNOWN_TAG = rf"(?iu)</?(?:{HTML_TAGS}){AT_WORD_END}[^>]*+>"
 
@@ -160,9 +160,7 @@ def joined_pieces(pieces: Column) -> Column:
     return F.array_join(F.filter(cleaned, lambda p: p != ""), " ")
 
 
-@F.pandas_udf(StringType())
-def _parsed_text(markup: pd.Series) -> pd.Series:
-    return markup.map(lambda m: None if m is None else html_to_text(m))
+_parsed_text = F.arrow_udf(by_runs(html_to_text), StringType())
 
 
 def with_visible_text(df: DataFrame, text: str) -> DataFrame:

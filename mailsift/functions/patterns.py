@@ -7,10 +7,17 @@ depend on the JVM's notion of ``\\b``, ``\\w``, ``\\d`` and ``\\s``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Bytes of texts that a Python function holds as Python strings at once, where one text is not longer.
+BYTES_AT_ONCE = 1 << 20
+
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # \w and the POSIX classes used as guards are ASCII-only and cost one table lookup.
 WORD_CHAR = r"\w\p{L}\p{N}"
@@ -66,6 +73,27 @@ def trim_space(text: Column) -> Column:
     return replace_all(text, rf"\A[{SPACE}]++|(?!\p{{Graph}})[{SPACE}]++\z", "")
 
 
+def by_runs(work: Callable[[str], str], most: int = BYTES_AT_ONCE) -> Callable[[pa.Array], pa.Array]:
+    """The function for all texts of an Arrow batch, NULL for NULL.
+
+    A batch may hold thousands of long texts, which take several times their bytes as Python strings, so
+    only runs of ``most`` bytes are unpacked together.
+    """
+
+    def mapped(texts: pa.Array) -> pa.Array:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        parts, start = [pa.array([], pa.string())], 0
+        while start < len(texts):
+            done = int(upto[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, done + most, side="right")))
+            run = texts.slice(start, end - start).to_pylist()
+            parts.append(pa.array([None if t is None else work(t) for t in run], pa.string()))
+            start = end
+        return pa.concat_arrays(parts)
+
+    return mapped
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Append (or replace) a costly column that later filters use.
 

@@ -178,3 +178,20 @@ def test_empty_source_has_no_rate(spark):
 def test_unknown_eligibility_is_not_eligible(spark, value, kept):
     df = spark.createDataFrame([(value,)], "included_in_training boolean")
     assert O.eligible(df).count() == kept
+
+
+def test_texts_of_a_batch_are_unpacked_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from mailsift.functions.patterns import by_runs
+
+    texts = pa.array([None, "", *["=?utf-8?b?w6Q=?= " * 6000] * 200, None])
+    tracemalloc.start()
+    found = by_runs(lambda text: C._ENCODED_WORD_PARTS.sub(C._word_text, text))(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [None, "", *["ä " * 6000] * 200, None] and peak < texts.nbytes / 4
+    assert by_runs(str.upper, 1)(pa.array(["a", None, "bc"]).slice(1)).to_pylist() == [None, "BC"]
+    assert by_runs(str.upper)(pa.array([], pa.string())).to_pylist() == []
