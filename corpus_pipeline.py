@@ -20,8 +20,7 @@ CHUNKS_KEPT = 150_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = language_id.learn(docs)
-    return language_id.accepted(docs, net, language_id.least_probability(docs, net))
+    return language_id.stage(docs, language_id.learn(docs), Workspace(spark, "language-id"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

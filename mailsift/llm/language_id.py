@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import byte_set, held_out, passing, runs, seeded_share, utf8
+from mailsift.llm.common import Workspace, byte_set, held_out, passing, runs, seeded_share, utf8
+from mailsift.workspace import sized
 
 UNITS = 8
 WINDOW, CONTEXT = 192, 8
@@ -30,6 +32,8 @@ SEED = 4
 # A text is accepted from the probability on that all but this share of labelled documents give to their own language,
 # and from this far up the way from equal probabilities to certainty.
 REJECTED, MARGIN = 0.01, 0.25
+# Buckets that probabilities are counted by, and the most of them that are sorted.
+BUCKETS = 4096
 UNKNOWN = "und"
 
 LETTER_BYTES = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -275,32 +279,82 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def least_probability(docs: DataFrame, net: Network, sample: int = SAMPLE, rejected: float = REJECTED) -> float:
-    """The probability from which on a text counts as one of a learnt language, from labelled documents not held out.
+def _floor(net: Network) -> float:
+    """The least probability that any text must reach."""
+    return (1 + MARGIN * (len(net.languages) - 1)) / len(net.languages)
 
-    Whole texts of at most about ``sample`` seeded documents of each language are scored; the low quantile of their own
-    language's probability is taken. With less than two languages nothing can be told from the probability: 0.
+
+def with_probabilities(docs: DataFrame, net: Network) -> DataFrame:
+    """Append ``_likeliest``, the highest probability of a text (-1 without a letter), and ``_own``, that of the row's own
+    label, where the row is labelled with a learnt language, has a letter and is not held out.
+    """
+    names = pa.array(net.languages, pa.string())
+
+    def judge(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        likeliest, own = [np.zeros(0)], [np.zeros(0)]
+        for part in runs(pa.record_batch([texts, langs], ["text", "lang"]), "text"):
+            column = part.column("text")
+            good = np.array([t is not None and bool(_LETTER.search(t)) for t in column.to_pylist()], bool)
+            if net.languages:
+                p = document_probabilities(net, *utf8(column))
+                label = pc.index_in(part.column("lang"), names).to_numpy(zero_copy_only=False)
+                known = good & ~np.isnan(label.astype(float))
+                mine = np.full(len(p), np.nan)
+                mine[known] = p[known, label[known].astype(int)]
+            else:
+                p, mine = np.zeros((len(column), 1)), np.full(len(column), np.nan)
+            likeliest.append(np.where(good, p.max(axis=1), -1.0))
+            own.append(mine)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(likeliest)), pa.array(np.concatenate(own), from_pandas=True)], ["likeliest", "own"])
+
+    told = F.arrow_udf(judge, "likeliest double, own double")
+    lang = F.when(~held_out(), F.col("lang").cast("string"))
+    both = docs.withColumn("_told", told(F.col("text").cast("string"), lang))
+    return both.withColumns({"_likeliest": F.col("_told.likeliest"), "_own": F.col("_told.own")}).drop("_told")
+
+
+def least_probability(docs: DataFrame, net: Network, rejected: float = REJECTED) -> float:
+    """The probability from which on a text counts as one of a learnt language, from all labelled documents not held out.
+
+    It is the probability that all but the share ``rejected`` of these whole texts reach for their own language. With less
+    than two languages nothing can be told from the probability: 0.
     """
+    return _least(sized(with_probabilities(docs, net).select("_own"), "own-language"), net, rejected)
+
+
+def _least(judged: DataFrame, net: Network, rejected: float = REJECTED) -> float:
     if len(net.languages) < 2:
         return 0.0
+    own = judged.filter("_own is not null").select(F.col("_own").alias("v"))
+    count = own.count()
+    return max(_floor(net), value_at(own, int(rejected * (count - 1)))) if count else _floor(net)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in runs(batch, "text"):
-                p = document_probabilities(net, *utf8(part.column("text")))
-                own = [net.languages.index(lang) for lang in part.column("lang").to_pylist()]
-                yield pa.record_batch([pa.array(p[np.arange(len(p)), own])], ["own"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    rows = rows.filter(F.col("lang").isin(net.languages) & F.col("text").rlike(r"\p{L}")).filter(~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    floor = (1 + MARGIN * (len(net.languages) - 1)) / len(net.languages)
-    if not counts:
-        return floor
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
-    drawn = rows.filter(seeded_share(SEED + 2, "doc_id") < share[F.col("lang")]).select("text", "lang")
-    own = [r["own"] for r in drawn.mapInArrow(work, "own double").collect()]
-    return max(floor, float(np.quantile(own, rejected))) if own else floor
+def value_at(values: DataFrame, rank: int, buckets: int = BUCKETS) -> float:
+    """The value ``v``, from 0 to 1, that as many others stand before as ``rank`` says, among all rows.
+
+    Counts by bucket tell the bucket that holds it, which is cut into buckets again until it is small.
+    """
+    low, width = 0.0, 1.0
+    for _ in range(4):
+        bucket = F.least(F.greatest(F.floor((F.col("v") - low) / width * buckets), F.lit(0)), F.lit(buckets - 1))
+        held = values.withColumn("b", bucket)
+        for b, n in sorted(held.groupBy("b").agg(F.count("*")).collect()):
+            if rank < n:
+                break
+            rank -= n
+        values, low, width = held.filter(F.col("b") == b).select("v"), low + width * b / buckets, width / buckets
+        if n <= buckets:
+            return sorted(r.v for r in values.collect())[rank]
+    # What is still together differs by less than a rounding error.
+    return values.agg(F.min("v").alias("v")).first().v
+
+
+def stage(docs: DataFrame, net: Network, work: Workspace) -> DataFrame:
+    """The rows of ``docs`` that are ``accepted`` from ``least_probability`` on; every text goes through the network once."""
+    judged = work.keep(with_probabilities(docs, net))
+    return judged.filter(F.col("_likeliest") >= _least(judged, net)).select(*docs.columns)
 
 
 def accepted(docs: DataFrame, net: Network, least: float) -> DataFrame:

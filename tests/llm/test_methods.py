@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -219,6 +220,34 @@ def test_one_language_leaves_only_the_letters_to_decide(spark):
     assert language_id.least_probability(docs, net) == 0 and language_id.accepted(docs, net, 0.0).count() == 30
 
 
+def test_the_least_probability_is_that_of_all_labelled_documents(spark, sf_dir, documents):
+    """The one that a sort of all finds, also with fewer drawn documents than there are, and the stage keeps what reaches it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = language_id.learn(docs, sample=5, steps=20)
+    rows = language_id.with_probabilities(docs, net).select("doc_id", "text", "lang", "_likeliest", "_own").collect()
+    own = []
+    for r in rows:
+        p = language_id.document_probabilities(net, *utf8(pa.array([r.text], pa.string())))[0]
+        letter = r.text is not None and any(c.isalpha() for c in r.text)
+        assert r._likeliest == (pytest.approx(p.max(), abs=1e-6) if letter else -1)
+        learnt = letter and r.lang in net.languages and zlib.crc32(str(r.doc_id).encode()) % 5 != 0
+        assert (r._own is None) == (not learnt)
+        if learnt:
+            assert r._own == pytest.approx(p[net.languages.index(r.lang)], abs=1e-6)
+            own.append(r._own)
+    for share in (0.0, 0.3, 0.9):
+        want = max(language_id._floor(net), sorted(own)[int(share * (len(own) - 1))])
+        assert language_id.least_probability(docs, net, rejected=share) == pytest.approx(want, abs=1e-6)
+    values = spark.createDataFrame([(v,) for v in [*own, *[0.5] * 40, 0.0, 1.0]], "v double").cache()
+    for rank in (0, 7, len(own) // 2, len(own) + 41):
+        assert language_id.value_at(values, rank, buckets=8) == sorted([*own, *[0.5] * 40, 0.0, 1.0])[rank]
+    kept = corpus_pipeline.identify_language(spark, docs, sf_dir)
+    full = language_id.learn(docs)
+    again = language_id.accepted(docs, full, language_id.least_probability(docs, full))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {
+        r.doc_id for r in again.select("doc_id").collect()}
+
+
 def test_gradients_of_the_byte_network():
     rng = np.random.default_rng(0)
     net = language_id.fresh(["a", "b"], units=3, seed=1)
