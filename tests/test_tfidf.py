@@ -69,3 +69,27 @@ def test_weights_against_brute_force(spark, corpus, tmp_path):
     assert got.keys() == want.keys()
     for key, value in want.items():
         assert got[key] == pytest.approx(value)
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 20])
+def test_counts_do_not_depend_on_how_many_tokens_a_task_takes(spark, corpus, monkeypatch, at_once):
+    monkeypatch.setattr(T, "TOKENS_AT_ONCE", at_once)
+    df = spark.createDataFrame([(t,) for t in [*corpus, None, ""]], "text string").coalesce(2)
+    _, tf, docs, _ = expected(corpus, 10)
+    found = {r.term: (r.tf, r.df) for r in T.token_counts(df).unionByName(T.bigram_counts(df)).collect()}
+    assert found == {t: (tf[t], docs[t]) for t in tf}
+
+
+def test_bigrams_of_many_given_tokens_are_the_same(spark, corpus, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in corpus], "text string")
+    tokens = T.token_counts(df).filter("tf >= 30").cache()
+    few = {tuple(r) for r in T.bigram_counts(df, tokens=tokens).collect()}
+    monkeypatch.setattr(T, "LOOKED_UP", 1)
+    assert few == {tuple(r) for r in T.bigram_counts(df, tokens=tokens).collect()}
+
+
+def test_occurrences_are_not_generated_as_rows(spark, corpus):
+    """Terms are counted where texts are read: no row of its own for an occurrence."""
+    df = spark.createDataFrame([(t,) for t in corpus], "text string")
+    plan = T.token_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
