@@ -195,3 +195,25 @@ def test_texts_of_a_batch_are_unpacked_a_few_at_a_time():
     assert found.to_pylist() == [None, "", *["ä " * 6000] * 200, None] and peak < texts.nbytes / 4
     assert by_runs(str.upper, 1)(pa.array(["a", None, "bc"]).slice(1)).to_pylist() == [None, "BC"]
     assert by_runs(str.upper)(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_few_copies_never_make_texts_travel(spark):
+    rows = [(i, 0, f"text {i % 7}") for i in range(40)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = O.first_copies(spark.createDataFrame(rows, "row_id bigint, source_rank int, text string"))
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.row_id for r in got.collect()) == list(range(7))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_dense_features_are_not_computed_again(spark):
+    from mailsift.functions import fixed_values as V
+    from mailsift.operators.assemble import with_dense_features
+
+    dense = with_dense_features(spark.createDataFrame([(1, "Act now! http://bit.ly/x")], "row_id bigint, text string"))
+    assert {dict(dense.dtypes)[c] for c in V.DENSE_FEATURES} == {"double"}
+    marked = dense.withColumn("url_count", F.lit(77.0))
+    assert with_dense_features(marked).first().url_count == 77.0
