@@ -85,6 +85,25 @@ def quality_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return _flag_counts(before, "before").unionByName(_flag_counts(after, "after"))
 
 
+def cleaning_report(df: DataFrame) -> DataFrame:
+    """``quality_report`` of a table and its cleaned form from one pass: a row's flags are told before and after its text is cleaned."""
+    names = {stage: [f"_{stage}_{name}" for name in QUALITY_FLAGS] for stage in ("before", "after")}
+
+    def flagged(rows: DataFrame, stage: str) -> DataFrame:
+        flags = C.quality_flags(F.col("text"))
+        return rows.withColumns({column: flags[name] for column, name in zip(names[stage], QUALITY_FLAGS)})
+
+    before = flagged(df.select("source_dataset", "text"), "before")
+    after = flagged(C.with_clean_text(before), "after").withColumn("_kept", ~C.is_blank_or_placeholder(F.col("text")))
+    counts = after.groupBy("source_dataset").agg(
+        F.count_if("_kept").alias("_rows"), *[F.count_if(c).alias(c) for c in names["before"]],
+        *[F.count_if(F.col(c) & F.col("_kept")).alias(c) for c in names["after"]])
+    # A source that keeps no row after cleaning has none there.
+    stages = [F.struct(F.lit(stage).alias("stage"), (F.lit(stage == "before") | (F.col("_rows") > 0)).alias("_there"), *[
+        F.col(c).alias(name) for c, name in zip(columns, QUALITY_FLAGS)]) for stage, columns in names.items()]
+    return counts.select("source_dataset", F.inline(F.array(*stages))).filter("_there").select("stage", "source_dataset", *QUALITY_FLAGS)
+
+
 def _flag_counts(df: DataFrame, stage: str) -> DataFrame:
     flags = C.quality_flags(F.col("text"))
     return df.groupBy(F.lit(stage).alias("stage"), "source_dataset").agg(

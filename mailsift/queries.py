@@ -121,8 +121,7 @@ def cleaned_text(spark, sf_dir):
 
 
 def quality_flags_before_after(spark, sf_dir):
-    before = _unique(spark, sf_dir)
-    return cleaning.quality_report(before, cleaning.clean(before))
+    return cleaning.cleaning_report(_unique(spark, sf_dir))
 
 
 def non_email_tags(spark, sf_dir):

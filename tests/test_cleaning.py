@@ -217,3 +217,14 @@ def test_stored_dense_features_are_not_computed_again(spark):
     assert {dict(dense.dtypes)[c] for c in V.DENSE_FEATURES} == {"double"}
     marked = dense.withColumn("url_count", F.lit(77.0))
     assert with_dense_features(marked).first().url_count == 77.0
+
+
+def test_flags_before_and_after_cleaning_come_from_one_pass(spark):
+    texts = ["<p>Hello</p>", "plain", "<p> &nbsp; </p>", "cafÃ© =?utf-8?b?w6Q=?=", "� <b>x</b>"]
+    rows = [(i, 0, f"s{i % 2}", t) for i, t in enumerate(texts)] + [(9, 1, "blank", "<p> </p>")]
+    df = spark.createDataFrame(rows, "row_id bigint, source_rank int, source_dataset string, text string")
+    got, want = O.cleaning_report(df), O.quality_report(df, O.clean(df))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ("before", "blank", 1, 0, 0, 0) in {tuple(r) for r in got.collect()} and not got.filter("stage = 'after' and source_dataset = 'blank'").count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
