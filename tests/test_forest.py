@@ -163,3 +163,29 @@ def test_a_feature_of_many_bins_has_no_codes():
     block = boosting.Block(("", 0, 0), np.array([0, 1, 1], np.int8), np.array([1, 2], np.int32), np.array([260, 299], np.int32))
     assert forest.coded(bins, block) is None
     assert len(forest.finished(bins, block, np.ones(3, int), 5).left) == 3
+
+
+def test_large_nodes_are_split_alike_from_cells_and_from_entries(data, monkeypatch):
+    x, y = data
+    own = [np.unique(np.append(x[:, f], 0.0)) for f in range(FEATURES)]
+    at = np.concatenate([[0], np.cumsum([len(b) for b in own])])
+    bins = boosting.Bins(at, np.concatenate(own), np.array([a + np.searchsorted(b, 0.0) for a, b in zip(at, own)]))
+    block, weight = one_block(bins, x, y), np.random.default_rng(2).poisson(1.0, len(y))
+    grown, calls = [], []
+    sums = forest.Columns.sums
+    monkeypatch.setattr(forest.Columns, "sums", lambda self, *a: calls.append(1) or sums(self, *a))
+    for cells in (1 << 60, 0):
+        monkeypatch.setattr(forest, "LARGE_NODE", cells)
+        grown.append(forest.finished(bins, block, weight, 7))
+        assert bool(calls) == (cells == 0)
+    grown.append(forest._finished_from_entries(bins, block, weight, 7))
+    for other in grown[1:]:
+        for name in ("feature", "bin", "left", "right", "total", "gain"):
+            assert getattr(grown[0], name) == getattr(other, name)
+
+
+def test_counts_that_do_not_fit_one_number_are_not_packed():
+    assert forest.Columns.packed(np.array([[0.0], [float(1 << 21)], [1.0]])) is None
+    packed = forest.Columns.packed(np.array([[2.0, 0.0], [3.0, 4.0], [1.0, 1.0]]))
+    one, total = (1 << 21) - 1, int(packed.sum())
+    assert [total & one, total >> 21 & one, total >> 42] == [2, 7, 2]

@@ -219,3 +219,47 @@ def test_finding_nodes_of_rows_does_not_copy_the_block():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert set(at.tolist()) <= {1, 2} and peak < 7 * size
+
+
+def test_features_that_split_alike_are_a_tie_for_the_first():
+    """Their gains differ only by how sums are rounded, whichever way they are added up."""
+    bins = boosting.Bins(np.array([0, 2, 4]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([0, 2]))
+    sums = np.array([[-3.0, -3.0 * (1 + 1e-13)], [5.0, 5.0], [9.0, 9.0]])
+    totals = np.array([[2.0], [20.0], [40.0]])
+    (_, gain, feature, cut, _, _), = boosting.best_splits(np.array([1, 3]), sums, totals, bins, boosting.Growth())
+    assert (feature, cut) == (0, 0) and gain > 0
+    block = boosting.Block(("r", 0, 0), np.zeros(40, np.int8), np.arange(18) % 9, np.repeat([1, 3], 9).astype(np.int32))
+    cells = boosting.Cells.of(bins, block)
+    whole = np.zeros((3, 2, 2))
+    whole[:, 1] = sums
+    assert boosting._best_split(np.arange(2), whole, totals[:, 0], bins, cells, boosting.Growth())[1:3] == (0, 0)
+
+
+def test_a_level_goes_through_the_rows_of_smaller_children_only(data, monkeypatch):
+    x, y = data
+    own = [np.unique(np.append(x[:, f], 0.0)) for f in range(FEATURES)]
+    at = np.concatenate([[0], np.cumsum([len(b) for b in own])])
+    bins = boosting.Bins(at, np.concatenate(own), np.array([a + np.searchsorted(b, 0.0) for a, b in zip(at, own)]))
+    row, feature = np.nonzero(x)
+    number = bins.numbers(feature, x[row, feature])
+    order = np.argsort(number, kind="stable")
+    block = boosting.Block(("r", 0, 0), y.astype(np.int8), row[order], number[order].astype(np.int32))
+    seen = []
+    of_rows = boosting.Cells.of_rows
+    monkeypatch.setattr(boosting.Cells, "of_rows", lambda self, rows, values: seen.append(len(rows)) or of_rows(self, rows, values))
+    growth = boosting.Growth(depth=4, least_hessian=1e-3)
+    grown = boosting._whole_tree(bins, growth, block, boosting.Cells.of(bins, block), np.zeros(len(y)))
+    rows = [t[2] for t in grown.total]
+    pairs = [(rows[a], rows[b]) for a, b in zip(grown.left, grown.right) if a >= 0 and grown.depth[a] < 4]
+    assert len(seen) > 3 and seen == [min(pair) for pair in pairs if max(pair) > 1]
+    leaf = boosting.nodes_of(block, bins, grown.feature, grown.bin, grown.left, grown.right)
+    assert all(rows[n] == (leaf == n).sum() for n, left in enumerate(grown.left) if left < 0)
+
+
+def test_tables_too_large_for_one_task_take_the_passes(spark, data, monkeypatch):
+    x, y = data
+    rows, growth = table(spark, x, y, 2), boosting.Growth(rounds=2, depth=3)
+    monkeypatch.setattr(boosting, "_whole_tree", None)
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 1)
+    model = boosting.fit(rows, growth)
+    assert len(model.trees.root) == 2
