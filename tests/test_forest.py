@@ -189,3 +189,14 @@ def test_counts_that_do_not_fit_one_number_are_not_packed():
     packed = forest.Columns.packed(np.array([[2.0, 0.0], [3.0, 4.0], [1.0, 1.0]]))
     one, total = (1 << 21) - 1, int(packed.sum())
     assert [total & one, total >> 21 & one, total >> 42] == [2, 7, 2]
+
+
+def test_blocks_are_not_shuffled_to_tasks_that_grow_whole_trees(spark, data, monkeypatch):
+    from pyspark import RDD
+
+    rows = table(spark, *data)
+    bins = boosting.find_bins(rows, FEATURES)
+    blocks = boosting.write_blocks(rows, bins, block_rows=48)
+    monkeypatch.setattr(RDD, "partitionBy", None)
+    model = forest.fit(rows, bins, blocks, trees=5)
+    assert len(model.trees.root) == 5 and min(np.diff([*model.trees.root, len(model.trees.left)])) > 1
