@@ -200,3 +200,16 @@ def test_blocks_are_not_shuffled_to_tasks_that_grow_whole_trees(spark, data, mon
     monkeypatch.setattr(RDD, "partitionBy", None)
     model = forest.fit(rows, bins, blocks, trees=5)
     assert len(model.trees.root) == 5 and min(np.diff([*model.trees.root, len(model.trees.left)])) > 1
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 14])
+def test_trees_that_grow_side_by_side_are_those_that_grow_alone(data, monkeypatch, cells):
+    x, y = data
+    bins = bins_of(x)
+    block = one_block(bins, x, y)
+    monkeypatch.setattr(forest, "LARGE_NODE", cells)
+    # One that sees no row, and one that sees a single label.
+    weights = [forest._bag(block, 1, t) for t in range(4)] + [np.zeros(len(y), int), (y > 0).astype(int)]
+    alone = [forest.finished(bins, block, w, 70 + t) for t, w in enumerate(weights)]
+    assert forest.side_by_side(bins, block, weights, list(range(70, 76))) == alone
+    assert [len(tree.left) for tree in alone[4:]] == [1, 1]

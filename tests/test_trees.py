@@ -263,3 +263,43 @@ def test_tables_too_large_for_one_task_take_the_passes(spark, data, monkeypatch)
     monkeypatch.setattr(boosting, "LOCAL_BYTES", 1)
     model = boosting.fit(rows, growth)
     assert len(model.trees.root) == 2
+
+
+def test_bins_are_quantiles_however_rows_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 3)) * (rng.random((3000, 3)) < (1.0, 0.3, 0.0))
+    rows = [(Vectors.sparse(3, {int(f): float(r[f]) for f in np.flatnonzero(r)}),) for r in x]
+
+    def bounds(partitions, bins):
+        found = boosting.find_bins(spark.createDataFrame(rows, ["features"]).repartition(partitions), 3, bins)
+        return [found.bound[a:b] for a, b in zip(found.at[:-1], found.at[1:])]
+
+    exact = [np.sort(c[c != 0]) for c in x.T]
+    for partitions in (1, 4):
+        # Twenty values a bin are enough to keep all of them: the quantiles are exact.
+        for found, own in zip(bounds(partitions, 150), exact):
+            places = -(-np.arange(1, 151) * len(own) // 150) - 1
+            assert found.tolist() == np.unique([0.0, *own[places[places >= 0]]]).tolist()
+        # Fewer are kept, ranks are off by a share of 1 / (20 * bins) at most.
+        monkeypatch.setattr(boosting, "SORTED_AT_ONCE", 500)
+        few = bounds(partitions, 4)
+        assert len(few[2]) == 1
+        for found, own in zip(few[:2], exact):
+            rank = np.searchsorted(own, found[found != 0], side="right") / len(own)
+            assert len(rank) == 4 and np.abs(rank - np.arange(1, 5) / 4).max() <= 1 / 80 + 1 / len(own)
+
+
+def test_all_rounds_are_one_job_where_one_task_grows_the_trees(spark, data):
+    rows = table(spark, *data, 3)
+    bins = boosting.find_bins(rows, FEATURES)
+    blocks = boosting.write_blocks(rows, bins)
+    context = spark.sparkContext
+    context.setJobGroup("all rounds", "")
+    try:
+        model = boosting.fit(rows, boosting.Growth(rounds=60, depth=1), bins, blocks, size=boosting.sizes(blocks))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # One for the sizes, whose sums take a shuffle, and one for the rounds.
+    assert len(model.trees.root) == 60
+    assert len(context.statusTracker().getJobIdsForGroup("all rounds")) <= 3
+    assert boosting.sizes(blocks) == (len(data[1]), int(data[1].sum()))
