@@ -213,3 +213,34 @@ def test_trees_that_grow_side_by_side_are_those_that_grow_alone(data, monkeypatc
     alone = [forest.finished(bins, block, w, 70 + t) for t, w in enumerate(weights)]
     assert forest.side_by_side(bins, block, weights, list(range(70, 76))) == alone
     assert [len(tree.left) for tree in alone[4:]] == [1, 1]
+
+
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 22])
+def test_rows_are_held_as_bits_and_bins(monkeypatch, at_once):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(70, 130)), 1) * (rng.random((70, 130)) < 0.1)
+    x[[0, 33, 69]] = 0
+    bins = bins_of(x)
+    block = one_block(bins, x, np.zeros(70))
+    monkeypatch.setattr(forest, "CODED_AT_ONCE", at_once)
+    codes = forest.Codes.of(bins, block)
+    row, feature = (a.ravel() for a in np.indices(x.shape))
+    assert (codes.numbers(bins, row, feature) == bins.numbers(feature, x.ravel())).all()
+    assert codes.words.nbytes + codes.before.nbytes + codes.place.nbytes < x.size // 2
+
+
+def test_tasks_that_grow_whole_trees_hold_entries_once(spark, data, monkeypatch):
+    """What they grow from are bits and columns; the blocks' entries are let go."""
+    rows = table(spark, *data)
+    bins = boosting.find_bins(rows, FEATURES, bins=200)
+    alone = forest.side_by_side
+
+    def watched(bins, block, weights, *rest, **more):
+        assert not len(block.row) and len(block.y) == 400 and len(weights) <= forest.TREES_AT_ONCE
+        return alone(bins, block, weights, *rest, **more)
+
+    blocks = boosting.write_blocks(rows, bins, block_rows=48)
+    before = forest.fit(rows, bins, blocks, trees=5, seed=3)
+    monkeypatch.setattr(forest, "side_by_side", watched)
+    after = forest.fit(rows, bins, blocks, trees=5, seed=3)
+    assert before.trees.feature.tolist() == after.trees.feature.tolist()
