@@ -1,5 +1,6 @@
 """Boosting and Shapley values against brute force on small trees and tables."""
 
+import weakref
 from itertools import combinations
 from math import factorial
 
@@ -303,3 +304,17 @@ def test_all_rounds_are_one_job_where_one_task_grows_the_trees(spark, data):
     assert len(model.trees.root) == 60
     assert len(context.statusTracker().getJobIdsForGroup("all rounds")) <= 3
     assert boosting.sizes(blocks) == (len(data[1]), int(data[1].sum()))
+
+
+def test_blocks_are_put_together_with_their_entries_held_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    blocks = [boosting.Block(("", 0, k), np.full(5, k % 2, np.int8), rng.integers(0, 5, 30).astype(np.int32), np.sort(rng.integers(0, 9, 30)).astype(np.int32))
+              for k in range(3)]
+    found = sorted((int(b), int(r) + 5 * k) for k, one in enumerate(blocks) for r, b in zip(one.row, one.bin))
+    alive, sort = [weakref.ref(b) for b in blocks], np.argsort
+    monkeypatch.setattr(boosting.np, "argsort", lambda *a, **k: sort(*a, **k) if not any(r() for r in alive) else pytest.fail("blocks are still held"))
+    given = iter([blocks.pop(0) for _ in range(3)])
+    block, = boosting._merged(given)
+    assert sorted(zip(block.bin.tolist(), block.row.tolist())) == found and block.row.dtype == np.int32
+    assert block.bin.tolist() == sorted(block.bin.tolist()) and block.y.tolist() == [0] * 5 + [1] * 5 + [0] * 5
+    assert boosting.counted(block.bin, 9).tolist() == np.bincount(block.bin, minlength=9).tolist()
