@@ -1,5 +1,6 @@
 """Boosting and Shapley values against brute force on small trees and tables."""
 
+import pickle
 import weakref
 from itertools import combinations
 from math import factorial
@@ -9,6 +10,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from mailsift.operators import boosting
+from mailsift.operators import trees as trees_module
 from mailsift.operators.trees import BackgroundShapley, PathShapley, Rows, Trees
 
 FEATURES = 5
@@ -318,3 +320,74 @@ def test_blocks_are_put_together_with_their_entries_held_once(monkeypatch):
     assert sorted(zip(block.bin.tolist(), block.row.tolist())) == found and block.row.dtype == np.int32
     assert block.bin.tolist() == sorted(block.bin.tolist()) and block.y.tolist() == [0] * 5 + [1] * 5 + [0] * 5
     assert boosting.counted(block.bin, 9).tolist() == np.bincount(block.bin, minlength=9).tolist()
+
+
+def test_scoring_follows_rows_only_until_they_reach_a_leaf():
+    """One chain of 300 nodes: a row that leaves it at the first node is not looked at again."""
+    n = 300
+    node = np.arange(2 * n + 1)
+    left = np.where(node % 2 == 0, node + 1, -1)
+    left[-1] = -1
+    table = {"feature": np.zeros(len(node)), "threshold": node / 2.0, "left": left, "right": np.where(left < 0, -1, node + 2),
+             "value": node.astype(float), "cover": np.ones(len(node)), "gain": np.ones(len(node))}
+    trees = Trees.from_tables([table, {c: v[-1:] for c, v in table.items()}])
+    x = np.append(np.zeros(2000), n + 1.0)[:, None]
+    rows = as_rows(x, trees)
+    class Counted(np.ndarray):
+        looked_up = 0
+
+        def take(self, places, *a, **k):
+            Counted.looked_up += np.size(places)
+            return np.asarray(self).take(places, *a, **k)
+
+        def __getitem__(self, places):
+            Counted.looked_up += np.size(places)
+            return np.asarray(self)[places]
+
+    trees.threshold = trees.threshold.view(Counted)
+    leaves = trees.leaves_of(rows)
+    assert leaves[:-1].tolist() == [[1, 2 * n + 1]] * 2000 and leaves[-1].tolist() == [2 * n, 2 * n + 1]
+    assert Counted.looked_up == 2000 + n
+
+
+def test_a_model_is_sent_to_the_workers_once_without_what_scoring_does_not_need(spark, data):
+    model = boosting.fit(table(spark, *data, 2), boosting.Growth(rounds=3, depth=2))
+    sent = boosting.shared(model)
+    first, again = (boosting.probability(model) for _ in range(2))
+    assert boosting.shared(model) is sent and sent.value.model.trees is None and not len(sent.value.whole.trees.gain)
+    assert len(model.trees.gain) and (sent.value.whole.importance == model.importance).all()
+    assert all(r.p == r.q for r in table(spark, *data, 2).select(first.alias("p"), again.alias("q")).collect())
+
+
+def test_packed_trees_score_alike_in_few_bytes(small):
+    trees, x, _ = small
+    rows = as_rows(x, trees)
+    assert (trees.packed().unpacked().sums(rows) == trees.sums(rows)).all()
+    # Children that do not stand side by side, as above, and a deep forest whose children do.
+    assert len(trees.packed().children) == 2
+    n = 20_000
+    node = np.arange(2 * n + 1)
+    left = np.where(node % 2 == 0, node + 1, -1)
+    left[-1] = -1
+    chain = Trees.from_tables([{
+        "feature": node % 7, "threshold": node % 50 / 2.0, "left": left, "right": np.where(left < 0, -1, node + 2),
+        "value": (node % 3).astype(float), "cover": np.ones(len(node)), "gain": np.ones(len(node))}])
+    packed = chain.packed()
+    assert len(pickle.dumps(packed)) * 6 < len(pickle.dumps(chain)) and len(packed.children) == 1
+    again, leaf = packed.unpacked(), chain.left < 0
+    for name in ("root", "left", "right"):
+        assert (getattr(again, name) == getattr(chain, name)).all()
+    assert (again.value[leaf] == chain.value[leaf]).all()
+    assert (again.feature[~leaf] == chain.feature[~leaf]).all() and (again.threshold[~leaf] == chain.threshold[~leaf]).all()
+    alone = Trees.from_tables([{c: v[-1:] for c, v in {"feature": node, "threshold": node, "left": left, "right": left, "value": node,
+                                                        "cover": node, "gain": node}.items()}])
+    assert alone.packed().unpacked().value.tolist() == alone.value.tolist()
+
+
+def test_nodes_are_saved_some_at_a_time(spark, small, tmp_path, monkeypatch):
+    trees, x, _ = small
+    monkeypatch.setattr(trees_module, "SAVED_AT_ONCE", 7)
+    trees_module.save(trees, spark, str(tmp_path / "nodes"))
+    assert len(list((tmp_path / "nodes").glob("*.parquet"))) == -(-len(trees.left) // 7)
+    again = Trees.from_rows(spark.read.parquet(str(tmp_path / "nodes")))
+    assert all((getattr(again, c) == getattr(trees, c)).all() for c in ("root", "feature", "threshold", "left", "right", "value", "cover"))
