@@ -244,3 +244,17 @@ def test_tasks_that_grow_whole_trees_hold_entries_once(spark, data, monkeypatch)
     monkeypatch.setattr(forest, "side_by_side", watched)
     after = forest.fit(rows, bins, blocks, trees=5, seed=3)
     assert before.trees.feature.tolist() == after.trees.feature.tolist()
+
+
+def test_blocks_are_joined_by_bin_in_the_order_of_blocks(data):
+    x, y = data
+    bins = bins_of(x)
+    parts = [one_block(bins, x[a:b], y[a:b]) for a, b in ((0, 150), (150, 150), (150, 390), (390, 400))]
+    # Letting blocks go takes less memory than sorting all entries.
+    row, number = np.concatenate([p.row + a for p, a in zip(parts, (0, 150, 150, 390))]), np.concatenate([p.bin for p in parts])
+    order = np.argsort(number, kind="stable")
+    found = boosting.joined(parts)
+    assert not parts and (found.y == y).all() and found.row.dtype == found.bin.dtype == np.int32
+    assert (found.row == row[order]).all() and (found.bin == number[order]).all()
+    none = boosting.joined([one_block(bins, x[:0], y[:0]), one_block(bins, 0 * x[:3], y[:3])])
+    assert len(none.y) == 3 and not len(none.row) and not len(none.bin)

@@ -391,3 +391,19 @@ def test_nodes_are_saved_some_at_a_time(spark, small, tmp_path, monkeypatch):
     assert len(list((tmp_path / "nodes").glob("*.parquet"))) == -(-len(trees.left) // 7)
     again = Trees.from_rows(spark.read.parquet(str(tmp_path / "nodes")))
     assert all((getattr(again, c) == getattr(trees, c)).all() for c in ("root", "feature", "threshold", "left", "right", "value", "cover"))
+
+
+def test_vectors_are_unpacked_some_rows_at_a_time(spark, data, monkeypatch):
+    x, y = data
+    rows = table(spark, x, y, 1)
+    bins = boosting.find_bins(rows, FEATURES, bins=200)
+    whole = boosting.write_blocks(rows, bins).collect()
+    vectors = rows.select("features").toArrow().column("features").combine_chunks()
+    sizes, unpack = [], boosting.entries
+    monkeypatch.setattr(boosting, "entries", lambda part: sizes.append(len(part)) or unpack(part))
+    monkeypatch.setattr(boosting, "UNPACKED_ROWS", 64)
+    row, feature, value = map(np.concatenate, zip(*boosting.held_values(vectors)))
+    assert max(sizes) == 64 and sum(sizes) == len(x)
+    own = np.nonzero(x)
+    assert sorted(zip(row, feature, value)) == sorted(zip(*own, x[own]))
+    assert boosting.write_blocks(rows, bins).collect() == whole
