@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from mailsift.operators import boosting, forest, kernels, models
+from mailsift.operators import boosting, forest, kernels, models, trees
 from mailsift.operators.trees import BackgroundShapley, PathShapley, Rows
 
 FEATURES = 40
@@ -80,9 +80,9 @@ def test_explanations_are_the_same(spark, data, fitted, java):
         row, feature = np.nonzero(part)
         return Rows(trees.used_features(), len(part), row, feature, part[row, feature])
 
-    trees = forest.fit(rows, bins, blocks, 9, None, 5).trees
-    model = BackgroundShapley(trees, held(trees, x[::47][:20]))
-    part = held(trees, x[300:340])
+    grown = forest.fit(rows, bins, blocks, 9, None, 5).trees
+    model = BackgroundShapley(grown, held(grown, x[::47][:20]))
+    part = held(grown, x[300:340])
     assert model.values(part, java) == pytest.approx(model.values(part), abs=1e-12)
     for growth in models.growths(models.TrainingOptions(rounds=8)).values():
         boosted = boosting.fit(rows, growth, bins, blocks)
@@ -126,3 +126,14 @@ def test_large_nodes_go_by_feature(spark, java):
         assert number[inner].tolist() == np.array(wanted.bin)[inner].tolist()
         assert np.stack([positive, whole, held_rows], axis=1).tolist() == np.array(wanted.total).tolist()
         assert gain == pytest.approx(np.array(wanted.gain), abs=1e-9)
+
+
+def test_nodes_are_saved_in_pieces(spark, fitted, tmp_path, monkeypatch):
+    """More nodes than go to the tasks at once, read back as they were."""
+    rows, bins, blocks = fitted
+    made = forest.fit(rows, bins, blocks, 6, None, 2)
+    monkeypatch.setattr(trees, "SAVED_AT_ONCE", 128)
+    monkeypatch.setattr(trees, "PIECE", 32)
+    made.save(spark, str(tmp_path / "forest"))
+    same_trees(forest.Forest.load(spark, str(tmp_path / "forest")).trees, made.trees)
+    assert len(made.trees.left) > 300 and made.trees.to_rows(5, 40).equals(made.trees.to_rows().slice(5, 35))
